@@ -59,7 +59,7 @@ def path_of(df: DataFrame) -> str:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null counts as no words."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def text_crc(text: Column) -> Column:
