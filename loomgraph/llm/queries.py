@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import quality, sharding, url_filter
+from loomgraph.llm import mixing, quality, sharding, url_filter
 
 #: Host and path rules, and words in hosts whose pages the list names.
 RULES = [
@@ -26,6 +26,10 @@ def op1_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_crc32")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -39,7 +43,7 @@ def op9_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_ring, op6_url_filter, op9_quality_ratio)}
+QUERIES = {f.__name__: f for f in (op1_shard_ring, op3_mix_schedule, op6_url_filter, op9_quality_ratio)}
 
 ORACLES = {
     "op6_url_filter": r"""
