@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, quality, sharding, url_filter
+from loomgraph.llm import exact_dedup, mixing, packing, quality, sharding, token_files, url_filter
 
 #: Host and path rules, and words in hosts whose pages the list names.
 RULES = [
@@ -38,12 +41,30 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules, listed).drop("listed")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_json(name: str) -> str:
+    """A public tokenizer's file, read by the driver and sent along with the tasks (2 MB)."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op8_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"))
+
+
 def op9_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_ring, op3_mix_schedule, op6_url_filter, op9_quality_ratio)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_ids(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
+    return token_files.read_ids(manifest)
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_ring, op3_mix_schedule, op6_url_filter, op7_exact_dedup, op8_pack_curve, op9_quality_ratio, op10_token_files)}
 
 ORACLES = {
     "op6_url_filter": r"""
@@ -64,4 +85,11 @@ ORACLES = {
         SELECT page_id, host, path, r.rule AS rule,
                coalesce(r.v, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict
         FROM best""",
+    "op7_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, coalesce(length(text), 0) AS cp,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY t ORDER BY cp DESC, doc_id)""",
 }
