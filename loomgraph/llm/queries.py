@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup, mixing, packing, quality, sharding, token_files, url_filter
+from loomgraph.llm import exact_dedup, language_model, mixing, packing, quality, sharding, token_files, url_filter
 
 #: Host and path rules, and words in hosts whose pages the list names.
 RULES = [
@@ -29,6 +29,10 @@ def op1_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_crc32")
 
@@ -64,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_ring, op3_mix_schedule, op6_url_filter, op7_exact_dedup, op8_pack_curve, op9_quality_ratio, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_shard_ring, op2_lm_score, op3_mix_schedule, op6_url_filter, op7_exact_dedup, op8_pack_curve, op9_quality_ratio, op10_token_files)}
 
 ORACLES = {
     "op6_url_filter": r"""
