@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup, jaccard_join, language_model, mixing, packing, quality, sharding, token_files, url_filter
+from loomgraph.llm import exact_dedup, jaccard_join, language_model, mixing, packing, quality, sharding, suffix_dedup, token_files, url_filter
 
 #: Host and path rules, and words in hosts whose pages the list names.
 RULES = [
@@ -41,6 +41,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -72,7 +76,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_ring, op2_lm_score, op3_mix_schedule, op4_jaccard_join, op6_url_filter, op7_exact_dedup, op8_pack_curve, op9_quality_ratio, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_shard_ring, op2_lm_score, op3_mix_schedule, op4_jaccard_join, op5_suffix_dedup, op6_url_filter, op7_exact_dedup, op8_pack_curve, op9_quality_ratio, op10_token_files)}
 
 ORACLES = {
     "op6_url_filter": r"""
