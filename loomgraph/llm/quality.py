@@ -141,7 +141,11 @@ def judge(
     scored = with_repeats(scored.withColumn("score", likelihood_ratio(weights)))
     scored = scored.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    kept = ~failed & (F.col("score") >= threshold)
+    # always true, but not deterministic: a filter on the verdict stays above this
+    # projection, instead of being pushed down with the whole expression written out in it
+    kept = F.when(F.monotonically_increasing_id() >= 0, kept)
     return scored.select(
         id_col, *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
-        failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"),
+        failed.alias("base_failed"), kept.alias("kept"),
     )
