@@ -1,8 +1,78 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: quality, exact and near duplicates, mixing, packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept. The
+first four return the columns of ``documents``, the last the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomgraph.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from loomgraph.llm.queries import tokenizer_json
+from loomgraph.llm.shared import SPACE, stored, text_crc
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    return quality.judge(rows, trusted, carry=("_row",)).where("kept").select("_row.*")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row that stays of each group of equal texts.
+
+    Rows of one id and one normalised text are told apart by length and, if fully equal,
+    by nothing: one of them stays.
+    """
+    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", ""), 256)
+    named = docs.withColumn("_sha", sha).withColumn("_id", F.col("doc_id"))
+    found = named.join(kept, named["_id"].eqNullSafe(kept["_id"]) & (named["_sha"] == kept["_sha"]), "left_semi")
+    same = W.partitionBy("_id", "_sha").orderBy(F.desc(F.length("text")))
+    return found.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of similar documents."""
+    linked = jaccard_join.join(docs)
+    gone = linked.where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number."""
+    mix = mixing.mix(docs).withColumn("_copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    mix = mix.where("_copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
+        F.max("_copies").alias("_copies")
+    )
+    named = docs.withColumn("_crc", text_crc(F.col("text")))
+    found = named.join(mix, named["doc_id"].eqNullSafe(mix["_id"]) & (named["_crc"] == mix["_crc"]))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+
+
+def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_json("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mixing_sources),
+    ("packing", packing_sequences),
+]
+
+#: Hash orders, a tokenizer and a trained ratio have no SQL form; see the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
