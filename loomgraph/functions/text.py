@@ -93,3 +93,17 @@ def route_pattern(template: Column) -> Column:
 
 def level(score: Column, high: float, medium: float, names: tuple[str, str, str] = ("high", "medium", "low")) -> Column:
     return F.when(score >= high, names[0]).when(score >= medium, names[1]).otherwise(names[2])
+
+
+def file_role(path: Column, exported: Column, classes: Column, functions: Column, symbols: Column) -> Column:
+    """The role of a file by its path, else by the numbers of its symbols."""
+    low = F.lower(path)
+    return (
+        F.when(is_test_file(path), "test")
+        .when(low.rlike(r"(^|/)(components?|views?|pages?|ui)/|\.(tsx|jsx|vue|css|html)$"), "frontend-ui")
+        .when(low.rlike(r"(^|/)(stores?|state|hooks|reducers?)/"), "frontend-state")
+        .when(low.rlike(r"(^|/)(api|server|backend|routes?|controllers?|handlers?)/"), "backend")
+        .when(low.rlike(r"(^|/)config|\.(json|ya?ml|toml|ini)$"), "config")
+        .when(exported >= 3, "core").when(classes >= 2, "model").when(functions >= 3, "service").when(symbols >= 10, "core")
+        .otherwise("other")
+    )

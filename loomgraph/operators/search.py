@@ -64,3 +64,25 @@ def spread_scores(scores: DataFrame, links: DataFrame, least: float = 20.0, part
     given = both.join(scores.where(F.col("score") >= least), both["src"] == scores["id"])
     given = given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * part).alias("extra"))
     return scores.join(given, "id", "full").select("id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
+
+
+def find_symbols(symbols: DataFrame, wanted: str) -> DataFrame:
+    """``(id, name, tier)`` of the best tier that has rows: the name holds the wanted text; it
+    shares a part of a camel- or snake-case name; a part begins with the other's."""
+    from loomgraph.functions.text import identifier_parts
+
+    low = wanted.lower()
+    parts = identifier_parts(F.lit(wanted))
+    own = identifier_parts(F.col("name"))
+    near = F.exists(own, lambda a: F.exists(parts, lambda b: (F.length(a) >= 3) & (F.length(b) >= 3) & (F.startswith(a, b) | F.startswith(b, a))))
+    tier = F.when(F.contains(F.lower("name"), F.lit(low)), 0).when(F.arrays_overlap(own, parts), 1).when(near, 2)
+    found = symbols.select("id", "name", tier.alias("tier")).where("tier is not null")
+    best = found.agg(F.min("tier").alias("tier"))  # one row
+    return found.join(F.broadcast(best), "tier").select("id", "name", "tier")
+
+
+def token_share(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(id, share)``: the part of the query's terms that a document has."""
+    terms = F.array(*[F.lit(t) for t in query])
+    hit = F.size(F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), terms)) / F.lit(float(len(set(query))))
+    return docs.select(F.col(id_col).alias("id"), hit.alias("share")).where("share > 0")

@@ -568,3 +568,57 @@ def module_bucket(spark, sf_dir):
     path = F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang")
     named = docs.select(path.alias("path"), F.when(F.col("doc_id") % 2 == 0, path).otherwise(F.concat("doc_id", F.lit(".x"))).alias("p"))
     return named.select("path", T.module_bucket(F.col("p")).alias("module"), F.col("path").alias("file"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, 0 AS tier FROM part WHERE contains(lower(p_name), 'blue')""")
+def find_symbols(spark, sf_dir):
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return search.find_symbols(found, "blue")
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS}) AS t FROM documents)
+    SELECT id, round(len(list_filter([{LISTED_TERMS}], lambda x: list_contains(t, x))) / 4, 4) AS share FROM d
+    WHERE len(list_filter([{LISTED_TERMS}], lambda x: list_contains(t, x))) > 0""")
+def token_share(spark, sf_dir):
+    found = search.token_share(table(spark, sf_dir, "documents"), QUERY_TERMS, "doc_id")
+    return found.select("id", F.round("share", 4).alias("share"))
+
+
+@query("""SELECT p_brand AS file, CASE WHEN count(*) FILTER (p_size % 3 = 0) >= 25 THEN 'core' WHEN count(*) FILTER (p_type LIKE '%A%') >= 40 THEN 'model'
+    WHEN count(*) >= 10 THEN 'core' ELSE 'other' END AS role FROM part GROUP BY 1""")
+def file_roles(spark, sf_dir):
+    """Roles of brands by the numbers of their parts, scaled to the rule's thresholds."""
+    found = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(
+        F.count_if(F.col("p_size") % 3 == 0).alias("e"), F.count_if(F.contains("p_type", F.lit("A"))).alias("c"), F.count("*").alias("n")
+    )
+    role = T.file_role(F.concat(F.lit("x/"), "file"), F.when(F.col("e") >= 25, 3).otherwise(0), F.when(F.col("c") >= 40, 2).otherwise(0), F.lit(0), F.col("n"))
+    return found.select("file", role.alias("role"))
+
+
+@query(f"""WITH {STRONG}, s AS (SELECT DISTINCT src, dst FROM strong)
+    SELECT dst AS file, 'caller' AS reason FROM (SELECT src AS dst FROM s WHERE dst IN (3, 7)) WHERE dst NOT IN (3, 7) GROUP BY 1""")
+def missed_files(spark, sf_dir):
+    from loomgraph.operators import risk
+
+    edges = strong_trade(spark, sf_dir).withColumn("kind", F.lit("call"))
+    home = nations(spark, sf_dir).select("id", F.col("id").alias("file"))
+    none = spark.createDataFrame([], "file int, neighbor int, place long")
+    return risk.missed_files(edges, home, home.where("file in (3, 7)").select("file"), none)
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN 'covered' WHEN doc_id % 4 = 0 THEN 'missed' ELSE 'unexpected' END AS outcome FROM documents
+    WHERE doc_id % 4 = 0 OR (doc_id % 3 = 0 AND doc_id % 5 <> 0)""")
+def session_compare(spark, sf_dir):
+    from loomgraph.operators import risk
+
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"))
+    found = risk.compare_sessions(files.where("file % 5 = 0"), files.where("file % 4 = 0"), files.where("file % 3 = 0"))
+    return found.withColumnRenamed("file", "id")
+
+
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    from loomgraph.streaming.events import windowed_counts
+
+    found = windowed_counts(table(spark, sf_dir, "events"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -43,3 +43,28 @@ def test_states(spark):
     symbols = spark.createDataFrame([("m::Status::1", "Status", "class", "m.py", 1, 3)], "id string, name string, kind string, file string, line int, end_line int")
     got = {(r.value, r.line, r.role) for r in states.python_states(symbols, spark.createDataFrame([("m.py", code)], "file string, content string")).collect()}
     assert got == {("READY", 2, "value"), ("DONE", 3, "value"), ("READY", 6, "writer"), ("DONE", 7, "reader")}
+
+
+def test_ignore_rules(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.sources.history import ignored
+
+    rules = ["*.log", "/build", "node_modules/", "docs/**/tmp", "!keep.log", "# no rule"]
+    want = {"a.log": True, "x/b.log": True, "keep.log": False, "build/x": True, "src/build/x": False, "a/node_modules/b.js": True, "docs/a/b/tmp": True, "src/main.py": False}
+    rows = spark.createDataFrame([(p,) for p in want], "p string")
+    assert {r.p: r.x for r in rows.select("p", ignored(F.col("p"), rules).alias("x")).collect()} == want
+
+
+def test_history(spark, tmp_path):
+    from loomgraph.sources import history
+
+    for step in (["init", "-q"], ["config", "user.email", "a@example.org"], ["config", "user.name", "A"]):
+        history.git(str(tmp_path), *step)
+    for name in ("one.py", "two.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    history.git(str(tmp_path), "add", ".")
+    history.git(str(tmp_path), "commit", "-qm", "first")
+    assert {r.file for r in history.commits(spark, str(tmp_path)).collect()} == {"one.py", "two.py"}
+    lines = spark.createDataFrame([(" M a.py",), ("R  old.py -> new.py",), ("?? b.py",)], "line string")
+    assert {(r.status, r.file) for r in history.status_rows(lines).collect()} == {("M", "a.py"), ("R", "new.py"), ("??", "b.py")}
