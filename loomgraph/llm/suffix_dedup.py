@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.language_model import packed, unpacked
-from loomgraph.llm.shared import stored
 from loomgraph.llm.words import mix, raw_bytes
 
 #: Bytes of an anchor.
-ANCHOR = 24
+ANCHOR = 16
 #: Texts of about so many bytes are hashed at a time.
 PIECE = 1 << 20
 #: A null id is later than any other.
@@ -32,16 +31,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 24 bytes at each place."""
+    """A hash of the 16 bytes at each place."""
     h = data.astype(np.uint64) + np.uint64(1)
     for width in (1, 2, 4, 8):  # of 1, 2, 4, 8 bytes to of twice as many
         if len(h) <= width:
             return np.zeros(0, np.uint64)
         h = h[:-width] * _FACTOR + h[width:]
         h ^= h >> np.uint64(29)
-    if len(h) <= 8:
-        return np.zeros(0, np.uint64)
-    return mix(h[:-8] * _FACTOR + h[8:])  # 16 and 16 bytes, of which 8 in common
+    return mix(h)
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -142,22 +139,15 @@ def _repeated_hashes(group: pa.Table) -> pa.Table:
     every, counts = np.unique(np.concatenate(sent), return_counts=True)
     repeated = np.union1d(every[counts > 1], np.concatenate([s[t] for s, t in zip(sent, twice, strict=True)]))
     rows = [(b, packed(kept)) for b, s in zip(blocks, sent, strict=True) if len(kept := s[np.isin(s, repeated, assume_unique=True)])]
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
+    bucket = pa.array([-1] * len(rows), pa.int32())
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": bucket, "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     """The length of the common prefix, known to be ``start`` at least."""
     end = min(len(a), len(b))
-    if a[start:end] == b[start:end]:
-        return end
-    low, high = start, end
-    while low < high:
-        mid = (low + high) // 2
-        if a[low : mid + 1] == b[low : mid + 1]:
-            low = mid + 1
-        else:
-            high = mid
-    return low
+    differing = int.from_bytes(a[start:end], "big") ^ int.from_bytes(b[start:end], "big")
+    return end - (differing.bit_length() + 7) // 8
 
 
 def front_coded(strings: list[bytes]) -> tuple[list[int], list[bytes]]:
@@ -232,35 +222,48 @@ def merge_runs(runs: list[Run]):
             node //= 2
 
 
-def earliest(entries: list[tuple[bytes, bytes, int]], length: int) -> dict[tuple[bytes, bytes], list[tuple[int, int, int]]]:
-    """For the suffixes of an anchor with the bytes before them, ``(suffix, before, id)``:
-    by how many bytes before the anchor a string starts, the smallest id that has that
-    string, as stretches (from, to, id) of such numbers."""
-    least: dict[tuple[bytes, bytes], int] = {}
-    for suffix, before, id_ in entries:
-        if id_ < least.get((suffix, before), LAST + 1):
-            least[suffix, before] = id_
-    spans = {(s, b): (max(0, length - len(s)), min(length - ANCHOR, len(b))) for s, b in least}
-    if len(least) == 1:
-        return {key: [(*spans[key], id_)] if spans[key][0] <= spans[key][1] else [] for key, id_ in least.items()}
-    out: dict = {key: [] for key in least}
-    for left in range(length - ANCHOR + 1):
-        cut = {key: (key[1][len(key[1]) - left :], key[0][: length - left]) for key, (low, high) in spans.items() if low <= left <= high}
-        first: dict = {}
-        for key, string in cut.items():
-            if least[key] < first.get(string, LAST + 1):
-                first[string] = least[key]
-        for key, string in cut.items():
-            found = out[key]
-            if found and found[-1][1] == left - 1 and found[-1][2] == first[string]:
-                found[-1] = (found[-1][0], left, first[string])
-            else:
-                found.append((left, left, first[string]))
-    return out
-
-
-def _wanted(group: pa.Table) -> np.ndarray:
-    parts = [unpacked(h, np.uint64) for h in group["hashes"].to_pylist()]
+def classes(prefixes: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the classes of sorted strings that agree in their first ``length`` bytes."""
+    return np.cumsum(prefixes < length)
+
+
+def earliest(suffixes: list[bytes], prefixes: np.ndarray, before: list[bytes], ids: np.ndarray, length: int):
+    """For sorted suffixes, with the common prefix of each with the one before it, and the
+    bytes before them: which strings around an anchor an earlier document may have.
+
+    A string that starts ``left`` bytes before the anchor is known by the class of its
+    suffix at ``length - left`` bytes and that of the bytes before, read backwards, at
+    ``left``; both follow from sorted order and common prefixes alone. Gives arrays
+    (entry, low, high, id): for each entry the stretches of ``left`` for which the string
+    has the same smallest id.
+    """
+    n, most = len(suffixes), length - ANCHOR
+    backwards = [b[::-1] for b in before]
+    distinct = sorted(set(backwards))
+    place = {b: k for k, b in enumerate(distinct)}
+    ranks = np.array([place[b] for b in backwards], np.int64)
+    known = np.array([0, *(common_prefix(x, y) for x, y in zip(distinct, distinct[1:], strict=False))], np.int64)
+    reach, room = np.array([len(s) for s in suffixes]), np.array([len(b) for b in before])
+    first = np.full((most + 2, n), -1, np.int64)  # the last row stays empty
+    for left in range(most + 1):
+        valid = np.flatnonzero((room >= left) & (reach >= length - left))
+        if not len(valid):
+            continue
+        keys = (classes(prefixes, length - left) * (len(distinct) + 1) + classes(known, left)[ranks])[valid]
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        least = np.minimum.reduceat(ids[valid][order], starts)
+        first[left, valid[order]] = np.repeat(least, np.diff(np.append(starts, len(order))))
+    change = np.ones(first.shape, bool)
+    change[1:] = first[1:] != first[:-1]
+    low, entry = np.nonzero((change & (first >= 0)).T)[::-1]
+    high = np.nonzero((np.concatenate([change[1:], np.ones((1, n), bool)]) & (first >= 0)).T)[1]
+    return entry, low, high, first[low, entry]
+
+
+def _wanted(replies: pa.Table) -> np.ndarray:
+    """A block's repeated anchors, from the replies of the first exchange (bucket -1)."""
+    parts = [unpacked(d, np.uint64) for d, b in zip(replies["data"].to_pylist(), replies["bucket"].to_pylist(), strict=True) if b < 0]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -274,28 +277,31 @@ def block_contexts(group: pa.Table, wanted: np.ndarray, length: int):
             yield low + text, some[text], place - begin, raw[place : min(end, place + length)], raw[max(begin, place - length + ANCHOR) : place]
 
 
-def _send_runs(length: int, buckets: int):
-    """A block's suffixes at repeated anchors as front-coded sorted runs, one per range.
+def block_runs(contexts, buckets: int) -> tuple[dict[tuple[bytes, bytes], int], dict[int, list[tuple[bytes, bytes]]]]:
+    """Distinct suffixes with the bytes before them and their smallest ids; by range, sorted.
 
-    Equal suffixes with equal bytes before them are one entry with the smallest id, so a
-    passage costs a block one entry however many of its documents hold it.
+    A passage is one entry however many of a block's documents hold it.
     """
+    found: dict[tuple[bytes, bytes], int] = {}
+    for _, id_, _, suffix, before in contexts:
+        id_ = LAST if id_ is None else id_
+        if id_ < found.get((suffix, before), LAST + 1):
+            found[suffix, before] = id_
+    by_bucket: dict[int, list] = {}
+    for key in sorted(found):
+        by_bucket.setdefault(_range_of(key[0], buckets), []).append(key)
+    return found, by_bucket
+
+
+def _send_runs(length: int, buckets: int):
+    """A block's suffixes at repeated anchors as front-coded sorted runs, one per range."""
     kind = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("run", pa.binary())])
 
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         rows = [[], [], []]
-        if group.num_rows and answers.num_rows:
-            found: dict = {}
-            for _, id_, _, suffix, before in block_contexts(group, _wanted(answers), length):
-                key = (suffix, before)
-                id_ = LAST if id_ is None else id_
-                if id_ < found.get(key, LAST + 1):
-                    found[key] = id_
-            by_bucket: dict[int, list] = {}
-            for key in found:
-                by_bucket.setdefault(_range_of(key[0], buckets), []).append(key)
+        if group.num_rows and replies.num_rows:
+            found, by_bucket = block_runs(block_contexts(group, _wanted(replies), length), buckets)
             for b, keys in by_bucket.items():
-                keys.sort()
                 for c, v in zip(rows, (b, group["block"][0].as_py(), _encode_run(keys, found)), strict=True):
                     c.append(v)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
@@ -335,56 +341,54 @@ def _decode_run(data: bytes) -> Run:
 def _merge_range(length: int):
     """Merges the runs of a range and answers each block, for its run's entries, which
     strings around an anchor are in an earlier document."""
-    kind = pa.schema([("block", pa.int64()), ("answer", pa.binary())])
-    answer = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("low", pa.uint8()), ("high", pa.uint8()), ("id", pa.int64())])
+    kind = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+    answer = pa.schema([("place", pa.uint32()), ("low", pa.uint8()), ("high", pa.uint8()), ("id", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        blocks = group["block"].to_pylist()
+        blocks, bucket = group["block"].to_pylist(), group["bucket"][0].as_py()
         runs = [_decode_run(r) for r in group["run"].to_pylist()]
-        answers: dict[int, list] = {b: [] for b in blocks}
-
-        def settle(entries):
-            found = earliest([(s, *runs[r].payload[k]) for s, r, k in entries], length)
-            for suffix, r, k in entries:
-                before = runs[r].payload[k][0]
-                for low, high, id_ in found[suffix, before]:
-                    answers[blocks[r]].append((suffix, before, low, high, id_))
-
-        entries: list[tuple[bytes, int, int]] = []
+        suffixes, prefixes, before, ids, owners, places = [], [], [], [], [], []
         for suffix, known, r, k in merge_runs(runs):
-            if known < ANCHOR and entries:  # another anchor begins
-                settle(entries)
-                entries = []
-            entries.append((suffix, r, k))
-        if entries:
-            settle(entries)
+            suffixes.append(suffix)
+            prefixes.append(known)
+            before.append(runs[r].payload[k][0])
+            ids.append(runs[r].payload[k][1])
+            owners.append(r)
+            places.append(k)
+        entry, low, high, first = earliest(suffixes, np.array(prefixes), before, np.array(ids, np.int64), length)
+        order = np.argsort(np.array(owners, np.int64)[entry], kind="stable")
+        owner, place = np.array(owners, np.int64)[entry][order], np.array(places, np.int64)[entry][order]
+        low, high, first = low[order], high[order], first[order]
+        cuts = np.searchsorted(owner, np.arange(len(runs) + 1))
         rows = []
-        for block, found in answers.items():
-            if found:
-                columns = zip(*found, strict=True)
-                batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, answer, strict=True)], schema=answer)
-                rows.append((block, _to_bytes(batch)))
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "answer": pa.array([r[1] for r in rows], pa.binary())}, schema=kind)
+        for r in np.flatnonzero(np.diff(cuts)):
+            columns = [c[cuts[r] : cuts[r + 1]] for c in (place, low, high, first)]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, answer, strict=True)], schema=answer)
+            rows.append((blocks[r], bucket, _to_bytes(batch)))
+        return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)}, schema=kind)
 
     return run
 
 
-def _remove(length: int, with_text: bool):
+def _remove(length: int, buckets: int, with_text: bool):
     """Removes from a block's documents the strings that an earlier document holds."""
     names = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     kind = pa.schema(names)
 
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        known: dict = {}
-        for data in answers["answer"].to_pylist():
-            for suffix, before, low, high, id_ in zip(*[c.to_pylist() for c in _from_bytes(data).columns], strict=True):
-                known.setdefault((suffix, before), []).append((low, high, id_))
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         ids, column = _ordered(group)
         spans: dict[int, list] = {}
-        if known:
-            heads = b"".join({s[:ANCHOR] for s, _ in known})
-            heads = np.unique(np.maximum(gram_hashes(np.frombuffer(heads, np.uint8))[::ANCHOR], np.uint64(1)))
-            for text, id_, place, suffix, before in block_contexts(group, heads, length):
+        wanted = _wanted(replies)
+        if len(ids) and len(wanted):
+            contexts = list(block_contexts(group, wanted, length))
+            _, by_bucket = block_runs(contexts, buckets)
+            known: dict = {}
+            for bucket, data in zip(replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True):
+                if bucket >= 0:
+                    keys = by_bucket[bucket]
+                    for place, low, high, id_ in zip(*[c.to_pylist() for c in _from_bytes(data).columns], strict=True):
+                        known.setdefault(keys[place], []).append((low, high, id_))
+            for text, id_, place, suffix, before in contexts:
                 own = LAST if id_ is None else id_
                 for low, high, first in known.get((suffix, before), ()):
                     if first < own:
@@ -421,22 +425,25 @@ def remove_repeats(
     ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``, the ``kept``
     bytes; one row per input row. A null text is empty; of rows with the same id none is
     earlier than another; a null id is later than all. Ids are 64-bit numbers;
-    ``length`` is at least 48 (two anchors) and at most 255.
+    ``length`` is at least 32 (two anchors) and at most 255.
     """
     if not 2 * ANCHOR <= length <= 255:
-        raise ValueError("length must lie between 48 and 255")
+        raise ValueError("length must lie between 32 and 255")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(least_blocks, -(-total // block_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, blocks)
+    # all steps are one plan, in which the shuffle of the texts by block is made once
     by_block = base.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks))).groupBy("block")
     hashes = by_block.applyInArrow(_send_hashes(length, buckets), "bucket int, block long, hashes binary, twice binary")
-    repeated = stored(hashes.groupBy("bucket").applyInArrow(_repeated_hashes, "block long, hashes binary"), "repeats-hashes")
+    reply = "block long, bucket int, data binary"
+    repeated = hashes.groupBy("bucket").applyInArrow(_repeated_hashes, reply)
     runs = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(length, buckets), "bucket int, block long, run binary")
-    answers = stored(runs.groupBy("bucket").applyInArrow(_merge_range(length), "block long, answer binary"), "repeats-answers")
+    answers = runs.groupBy("bucket").applyInArrow(_merge_range(length), reply)
+    replies = repeated.unionByName(answers)
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(length, with_text), shape)
+    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(_remove(length, buckets, with_text), shape)
     out = out.withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept")
