@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number."""
-    mix = mixing.mix(docs).withColumn("_copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    mix = mixing.mix(docs).withColumn("_copies", F.round(F.try_divide("taken", "size")).cast("int"))
     mix = mix.where("_copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
         F.max("_copies").alias("_copies")
     )

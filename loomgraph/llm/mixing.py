@@ -72,8 +72,8 @@ def schedule(sizes: DataFrame, slots: int) -> DataFrame:
     upto = F.sum("target").over(W.orderBy("source_no"))
     edges = sizes.select(
         "source_no",
-        F.floor((upto - F.col("target")) / total * POINTS).alias("low"),
-        F.floor(upto / total * POINTS).alias("high"),
+        F.floor(F.try_divide(upto - F.col("target"), total) * POINTS).alias("low"),
+        F.floor(F.try_divide(upto, total) * POINTS).alias("high"),
     ).where("high > low")
     points = spark.range(slots).select(
         F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN + POINTS // 2, F.lit(POINTS)).alias("point")
