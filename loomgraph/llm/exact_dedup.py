@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm.shared import stored
 
@@ -166,8 +167,6 @@ def dedup(
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_kind = base.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type, sql_type = to_arrow_type(id_kind), id_kind.simpleString()
     shape = f"id {sql_type}, n_cp long, sha string, key binary"
     rows = base.mapInArrow(_digests(key_bytes, False, None), shape)
@@ -192,9 +191,8 @@ def dedup(
     keeper = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
     keepers = texts.where(keeper).groupBy("key").agg(F.min("norm").alias("keep_norm"))
     keepers = stored(keepers, "dedup-keepers")
-    differing = stored(
-        texts.join(keepers, "key").where(F.col("norm") != F.col("keep_norm")).select("key").distinct(), "dedup-collisions"
-    )
+    # without distinct(), so that a join with a very large group may be split
+    differing = stored(texts.join(keepers, "key").where(F.col("norm") != F.col("keep_norm")).select("key"), "dedup-collisions")
     out = [
         F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"),
         (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -203,7 +201,7 @@ def dedup(
         return rows.join(index, "key").select(*out)
     plain = rows.join(differing, "key", "left_anti").join(index, "key").select(*out)
     # the full digests of colliding keys differ, or else their bytes decide
-    names = texts.join(differing, "key").select("key", "id", "n_cp", "sha", F.sha2("norm", 512).alias("bytes"))
+    names = texts.join(differing, "key", "left_semi").select("key", "id", "n_cp", "sha", F.sha2("norm", 512).alias("bytes"))
     names = names.distinct()
     exact = rows.join(differing, "key", "left_semi").join(
         names, (rows["key"] == names["key"]) & rows["id"].eqNullSafe(names["id"])
