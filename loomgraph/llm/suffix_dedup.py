@@ -12,6 +12,7 @@ suffixes are sent (prefix lengths told apart by fingerprints before strings are
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -270,11 +271,14 @@ def _wanted(replies: pa.Table) -> np.ndarray:
 def block_contexts(group: pa.Table, wanted: np.ndarray, length: int):
     """The block's suffixes at wanted anchors: (document, place, suffix, bytes before)."""
     ids, column = _ordered(group)
+    back = length - ANCHOR
     for low, data, offsets, some, places, _, texts in block_anchors(ids, column, length, wanted):
         raw = data.tobytes()
-        for place, text in zip(places.tolist(), texts.tolist(), strict=True):
-            begin, end = int(offsets[text]), int(offsets[text + 1])
-            yield low + text, some[text], place - begin, raw[place : min(end, place + length)], raw[max(begin, place - length + ANCHOR) : place]
+        begins, ends = offsets[texts], offsets[texts + 1]
+        stops, heads = np.minimum(ends, places + length), np.maximum(begins, places - back)
+        rows = (texts, places, places - begins, stops, heads)
+        for text, place, at, stop, head in zip(*(x.tolist() for x in rows), strict=True):
+            yield low + text, some[text], at, raw[place:stop], raw[head:place]
 
 
 def block_runs(contexts, buckets: int) -> tuple[dict[tuple[bytes, bytes], int], dict[int, list[tuple[bytes, bytes]]]]:
@@ -311,7 +315,7 @@ def _send_runs(length: int, buckets: int):
 
 def _range_of(suffix: bytes, buckets: int) -> int:
     """The range of a suffix: by a hash of its anchor, whose suffixes stay together."""
-    return int.from_bytes(hashlib.blake2b(suffix[:ANCHOR], digest_size=4).digest(), "little") % buckets
+    return zlib.crc32(suffix[:ANCHOR]) % buckets
 
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -397,10 +401,13 @@ def _remove(length: int, buckets: int, with_text: bool):
         rows = []
         for k, id_ in enumerate(ids):
             text = data[offsets[k] : offsets[k + 1]]
-            removed = np.zeros(len(text) + 1, bool)
-            for low, high in spans.get(k, ()):
-                removed[low:high] = True
-            removed = removed[: len(text)]
+            removed = np.zeros(len(text), bool)
+            if k in spans:
+                depth = np.zeros(len(text) + 1, np.int32)
+                edges = np.array(spans[k])
+                np.add.at(depth, edges[:, 0], 1)
+                np.add.at(depth, edges[:, 1], -1)
+                removed = np.cumsum(depth)[:-1] > 0
             starts = int((removed & ~np.concatenate([[False], removed[:-1]])).sum()) if len(text) else 0
             kept = text[~removed].tobytes()
             rows.append((id_, len(text), int(removed.sum()), starts, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
