@@ -16,6 +16,7 @@ from loomgraph.llm.shared import process_cache
 
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+MARKS = ".,;:!?"
 
 
 class ChunkEncoder:
@@ -53,21 +54,19 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         known, cut = self.known, [self.chunks(t) for t in texts]
-        missing = {c for parts in cut for c in parts if c not in known}
+        missing = set().union(*cut).difference(known)
         if missing and self.keeps_space:
             # white space after a space: cut such a text more carefully
             odd = {c for c in missing if not self.clean(c)}
             if odd:
                 cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
-                missing = {c for parts in cut for c in parts if c not in known}
+                missing = set().union(*cut).difference(known)
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
             known[""] = b""
-            missing = {c for parts in cut for c in parts} - {""}
+            missing = set().union(*cut) - {""}
         if missing:
-            order = list(missing)
-            for chunk, got in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, self.dtype).tobytes()
+            self.learn(missing)
         found = [np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype) for parts in cut]
         if self.keeps_space:  # chunks that are right only where they stood are not remembered
             for chunk in missing:
@@ -75,6 +74,17 @@ class ChunkEncoder:
                     del known[chunk]
         return found
 
+    def learn(self, missing: set[str]) -> None:
+        """Encodes chunks. A mark at the end of a letter is always a piece of its own, so
+        the chunk without it, often known or wanted too, is encoded instead."""
+        known = self.known
+        marked = {c for c in missing if c[-1] in MARKS and len(c) > 1 and c[-2].lower().isalpha() and c[-2] < "\u0250"}
+        order = list((missing - marked).union(c[:-1] for c in marked).union(c[-1] for c in marked).difference(known))
+        for chunk, got in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+            known[chunk] = np.array(got.ids, self.dtype).tobytes()
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+
 
 def encoder(tokenizer_json: str, keeps_space: bool) -> ChunkEncoder:
     """The encoder of this worker process."""
