@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.exact_dedup import FILTER_BITS, HELD_FILTER_BYTES, filter_of, may_hold
 from loomgraph.llm.language_model import packed, unpacked
 from loomgraph.llm.shared import dropped, path_of, stored
 from loomgraph.llm.words import mix, word_hashes
 
 #: Cells of the frequency sketch: 2**SKETCH_BITS counters of four bytes.
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -63,11 +64,20 @@ def _sketch(width: int, bits: int, parts: int):
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count():
+            cells, n = np.unique(np.concatenate(waiting) >> np.uint64(64 - bits), return_counts=True)
+            counts[cells.astype(np.int64)] += n.astype(np.uint32)
+            waiting.clear()
+
         for batch in batches:
             for part in _groups(batch):
-                sets = shingle_sets(part.column(1), width)
-                cells = np.concatenate(sets) >> np.uint64(64 - bits)
-                counts += np.bincount(cells.astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                waiting.extend(shingle_sets(part.column(1), width))
+                if sum(map(len, waiting)) > 1 << 21:
+                    count()
+        if waiting:
+            count()
         pieces = np.split(counts, parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([packed(p) for p in pieces], pa.binary())], schema=kind)
 
@@ -75,7 +85,7 @@ def _sketch(width: int, bits: int, parts: int):
 
 
 def _add_sketches(group: pa.Table) -> pa.Table:
-    total = sum(unpacked(c, np.uint32).astype(np.uint64) for c in group["counts"].to_pylist())
+    total = sum(unpacked(c, np.uint32) for c in group["counts"].to_pylist())
     return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
 
 
@@ -84,7 +94,7 @@ def allowed_losses(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of a set: two linked sets have one in common.
 
     Rare tokens come first, in order of hash, and frequent ones after them. A set that
@@ -95,13 +105,16 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     for each class, tokens less one make e + 1. The number of classes follows the size of
     the set, by steps of 4/3 so that linked sets are in the same step or the next one;
     each set is indexed for its own and the next step.
+
+    Also gives how many of its signatures a set shares at least with a partner in which it
+    misses 4, 5, 6 or 7 sevenths of what it may lose (see ``least_shared``).
     """
     losses = allowed_losses(len(tokens), percent)
     rare = tokens[~frequent]
     if len(rare) > losses:
-        return rare[: losses + 1]
+        return rare[: losses + 1], least_shared(np.ones(losses + 1, np.int64), losses)
     common = tokens[frequent]
-    out = [rare]
+    out, needs = [rare], []
     step = int(np.floor(np.log(len(tokens)) / np.log(100 / percent)))
     for at in (step, step + 1):
         classes = max(1, int((100 / percent) ** at / 8))
@@ -113,7 +126,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         gains = len(rare) + np.cumsum(~new)
         reach = int(np.searchsorted(gains, losses + 1)) + 1
         if gains[-1] < losses + 1:  # too few per class: single tokens, marked by the step
-            out.append(mix(common[: losses + 1 - len(rare)] ^ np.uint64(at << 8)))
+            some = common[: losses + 1 - len(rare)]
+            out.append(mix(some ^ np.uint64(at << 8)))
+            needs.append(least_shared(np.ones(len(rare) + len(some), np.int64), losses))
             continue
         prefix, kinds = salted[:reach], kind[:reach]
         order = np.argsort(kinds, kind="stable")
@@ -123,17 +138,33 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             if not same.any():
                 break
             out.append(mix(prefix[:-apart][same] + mix(prefix[apart:][same])))
-    return np.unique(np.concatenate(out))
+        sizes = np.unique(kinds, return_counts=True)[1]
+        # losing tokens of a class of m one by one takes m - 1, m - 2, ... pairs
+        takes = np.concatenate([np.ones(len(rare), np.int64), *[np.arange(m - 1, -1, -1) for m in sizes]])
+        needs.append(least_shared(takes, losses))
+    return np.unique(np.concatenate(out)), np.minimum(*needs)
+
+
+#: Parts, in sevenths, of the losses of a set for which the signatures left are told.
+STEPS = (4, 5, 6, 7)
+
+
+def least_shared(takes: np.ndarray, losses: int) -> np.ndarray:
+    """How many signatures at least are left when a set loses the given parts of its losses;
+    ``takes`` has what each token, lost in the worst order, takes along."""
+    taken = np.cumsum(np.sort(takes)[::-1])
+    lost = np.array([-(-losses * k // STEPS[-1]) for k in STEPS])
+    return takes.sum() - np.where(lost > 0, taken[np.minimum(lost, len(taken)) - 1], 0)
 
 
 def _frequent_cells(cells: np.ndarray) -> np.ndarray:
-    """Cells far above the mean: some shingle in them is in many texts."""
-    return cells > 4 * cells.mean() + 64
+    """Cells well above the mean: some shingle in them is in many texts."""
+    return cells > cells.mean() + 6 * np.sqrt(cells.mean()) + 16
 
 
 def _index(width: int, bits: int, percent: int, table: bytes, buckets: int, sent: int):
     """A map of (id, text), one of each class, to packed signatures by range of hashes."""
-    kind = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+    kind = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), *[(f"need{k}", pa.binary()) for k in STEPS]])
 
     def run(batches):
         cells = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
@@ -141,19 +172,22 @@ def _index(width: int, bits: int, percent: int, table: bytes, buckets: int, sent
         count = 0
 
         def flush():
-            keys, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, ids, sizes = keys[order], ids[order], sizes[order]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            keys = columns[0]
             cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-            rows = [(b, *(packed(x[cuts[b] : cuts[b + 1]]) for x in (keys, ids, sizes))) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+            rows = [(b, *(packed(c[cuts[b] : cuts[b + 1]]) for c in columns)) for b in range(buckets) if cuts[b + 1] > cuts[b]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
         for batch in batches:
             for part in _groups(batch):
                 for id_, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
                     if len(tokens):
-                        made = signatures(tokens, cells[(tokens >> np.uint64(64 - bits)).astype(np.int64)], percent)
-                        held.append((made, np.full(len(made), id_, np.int64), np.full(len(made), len(tokens), np.uint32)))
+                        frequent = cells[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
+                        made, needs = signatures(tokens, frequent, percent)
+                        full = lambda x, kind: np.full(len(made), x, kind)  # noqa: B023, E731
+                        held.append((made, full(id_, np.int64), full(len(tokens), np.uint32), *[full(x, np.uint32) for x in needs]))
                         count += len(made)
                 if count > sent:
                     yield flush()
@@ -168,27 +202,47 @@ def _shared_keys(group: pa.Table) -> pa.Table:
     """The signatures of a range that two or more sets have, with these sets."""
     keys = np.concatenate([unpacked(k, np.uint64) for k in group["keys"].to_pylist()])
     ids = np.concatenate([unpacked(k, np.int64) for k in group["ids"].to_pylist()])
-    sizes = np.concatenate([unpacked(k, np.uint32) for k in group["sizes"].to_pylist()])
+    names = ["sizes", *[f"need{k}" for k in STEPS]]
+    values = [np.concatenate([unpacked(k, np.uint32) for k in group[c].to_pylist()]) for c in names]
     order = np.argsort(keys, kind="stable")
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
+    keys, ids, values = keys[order], ids[order], [v[order] for v in values]
     same = keys[1:] == keys[:-1]
     kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return pa.table({"key": keys[kept].view(np.int64), "node": ids[kept], "n": sizes[kept].astype(np.int64)})
+    columns = {n: v[kept].astype(np.int64) for n, v in zip(["n", *names[1:]], values, strict=True)}
+    return pa.table({"key": keys[kept].view(np.int64), "node": ids[kept]} | columns)
 
 
-def _sets(width: int):
-    """A map of (node, text) to (node, its set packed)."""
+def _sets(width: int, held: tuple[bytes, int] | None):
+    """A map of (node, text) to (node, its set), of nodes that the filter may hold."""
     kind = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         for batch in batches:
+            if held is not None:
+                nodes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                batch = batch.filter(pa.array(may_hold(np.frombuffer(held[0], np.uint8), nodes, held[1])))
             for part in _groups(batch):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
 
     return run
 
 
+def sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``(node, tokens)`` of the nodes among ``texts(node, text)``, one row for each.
+
+    A Bloom filter of the nodes, unless it were too large, leaves out most other texts
+    before their sets are made; the join leaves out the rest.
+    """
+    count, held = nodes.count(), None
+    if count * FILTER_BITS <= 8 * HELD_FILTER_BYTES:
+        bits = max(64, count * FILTER_BITS)
+        wanted = np.fromiter((r[0] for r in nodes.toLocalIterator()), np.int64, count).view(np.uint64)  # bounded above
+        held = (filter_of(wanted, bits).tobytes(), bits)
+    made = texts.mapInArrow(_sets(width, held), "node long, tokens binary").join(nodes, "node", "left_semi")
+    return stored(made.dropDuplicates(["node"]), "jaccard-sets")
+
+
 def _verify(percent: int):
     """A filter of pairs (a, b, set of a, set of b) by their Jaccard similarity."""
 
@@ -206,12 +260,17 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets, ``sets(node, tokens)``, are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes of ``texts(node, text)`` whose sets are similar enough."""
+    pairs = stored(pairs.select("a", "b"), "jaccard-tried")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(texts, stored(nodes, "jaccard-nodes"), width)
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    links = stored(joined.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    dropped(links.sparkSession, path_of(sets)) if sets.inputFiles() else None
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,6 +281,7 @@ def components(links: DataFrame) -> DataFrame:
     Ties are made by aggregate and join, so a node of many links is no single group.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -232,7 +292,8 @@ def components(links: DataFrame) -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, "cc-edges")
-        changed = not new.exceptAll(edges).isEmpty() or not edges.exceptAll(new).isEmpty()
+        state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        changed, before = state != before, state
         for old in (edges, large):
             dropped(old.sparkSession, path_of(old)) if old.inputFiles() else None
         edges = new
@@ -255,9 +316,10 @@ def join(
     sketch of fixed size counts the shingles of all texts and tells frequent from rare;
     any division gives right results, a good one few candidates. :func:`signatures` are
     exchanged as packed arrays; documents that share one are candidates. Each is first
-    compared with the first document of the signature; whatever is still in different
-    components then is compared pair by pair. So a group of near copies costs a few
-    comparisons for each member, and no link between components is lost.
+    compared with one leader, the first document of most of its signatures, then with the
+    first documents of the others; what still is in different components and shares a
+    signature is compared pair by pair. So a group of near copies costs a few comparisons
+    for each member, and no link between components is lost.
 
     Returns ``id_col, n_shingles, class_id, component_id, n_links``, one row per input
     row: the first document of the class, the smallest id reachable by links, and the
@@ -277,34 +339,62 @@ def join(
     classes = stored(rows.join(classes, "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")), "jaccard-class-ids")
 
     cells = stored(base.mapInArrow(_sketch(width, sketch_bits, 64), "part int, counts binary").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary"), "jaccard-sketch")
-    counted = [unpacked(bytes(r["counts"]), np.uint64) for r in cells.orderBy("part").collect()]  # 2**sketch_bits counters
+    counted = [unpacked(bytes(r["counts"]), np.uint32) for r in cells.orderBy("part").collect()]  # 2**sketch_bits counters
     flags = np.packbits(_frequent_cells(np.concatenate(counted))).tobytes() if counted else bytes(1 << sketch_bits >> 3)
 
-    index = base.mapInArrow(_index(width, sketch_bits, percent, flags, parts, sent), "bucket int, keys binary, ids binary, sizes binary")
-    shared = stored(index.groupBy("bucket").applyInArrow(_shared_keys, "key long, node long, n long"), "jaccard-index")
+    index = base.where("id is not null").mapInArrow(_index(width, sketch_bits, percent, flags, parts, sent), "bucket int, keys binary, ids binary, sizes binary, " + ", ".join(f"need{k} binary" for k in STEPS))
+    shared = stored(index.groupBy("bucket").applyInArrow(_shared_keys, "key long, node long, n long, " + ", ".join(f"need{k} long" for k in STEPS)), "jaccard-index")
     firsts = classes.where("class = id").select(F.col("id").alias("node")).distinct()
     shared = stored(shared.join(firsts, "node", "left_semi").distinct(), "jaccard-index")
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    texts = base.where("id is not null").select(F.col("id").alias("node"), "text")
+
+    # first the leader with which a node shares most signatures
     first = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = shared.join(first, "key").where((F.col("node") != F.col("f.node")) & fits(F.col("n"), F.col("f.n")))
-    pairs = stored(pairs.select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    met = stored(shared.select("node").distinct(), "jaccard-met")
-    texts = base.select(F.col("id").alias("node"), "text").join(met, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(_sets(width), "node long, tokens binary"), "jaccard-sets")
-    links = verified(pairs, sets, percent)
+    star = shared.join(first, "key").where((F.col("node") != F.col("f.node")) & fits(F.col("n"), F.col("f.n")))
+    star = star.groupBy(F.col("f.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    # a pair with few common signatures is left to the last step
+    star = stored(star.where(20 * F.col("k") >= F.col("n")), "jaccard-pairs")
+    tried = star.groupBy("b").agg(F.min_by("a", F.struct(-F.col("k"), F.col("a"))).alias("a")).select("a", "b")
+    links = verified(tried, texts, width, percent)
+    found = components(links)
 
+    # then its other leaders, as far as they are in other components
+    member = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    apart = star.select("a", "b").join(tried, ["a", "b"], "left_anti").join(member("a"), "a", "left").join(member("b"), "b", "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = stored(links.unionByName(verified(apart, texts, width, percent)), "jaccard-links")
     found = components(links)
+
+    # then all that share a signature across components. A pair that is similar enough
+    # shares all but a part of a prefix, that of the set whose prefix ends first, and so at
+    # least as many signatures as one of the two sets keeps at its losses in this pair
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = stored(placed.join(open_keys, "key"), "jaccard-rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb")))
-    across = across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(across, sets, percent)
-    links = links.unionByName(more)
-    found = found if more.isEmpty() else components(links)
+    needed = ["n", *[f"need{k}" for k in STEPS]]
+    side = lambda end: rest.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "component", *needed)])
+    across = side("a").join(side("b"), "key").where("component_a <> component_b and node_a < node_b").where(fits(F.col("n_a"), F.col("n_b")))
+    across = across.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count("*").alias("k"), *[F.max(f"{c}_{end}").alias(f"{c}_{end}") for c in needed for end in "ab"]
+    )
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+    def need(end: str):
+        n = F.col(f"n_{end}")
+        losses, lost = n - F.ceil(percent * n / 100), n - overlap
+        out = F.col(f"need{STEPS[-1]}_{end}")
+        for k in reversed(STEPS[:-1]):
+            out = F.when(lost * STEPS[-1] <= losses * k, F.col(f"need{k}_{end}")).otherwise(out)
+        return out
+
+    across = across.where(F.col("k") >= F.least(need("a"), need("b"))).select("a", "b")
+    across = across.join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = verified(across, texts, width, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
 
     ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
     degrees = ends.groupBy("class").agg(F.count("*").alias("n_links"))
