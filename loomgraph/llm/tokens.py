@@ -16,6 +16,7 @@ from loomgraph.llm.shared import process_cache
 
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+SHORT = 9
 MARKS = ".,;:!?"
 
 
@@ -61,10 +62,11 @@ class ChunkEncoder:
             if odd:
                 cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
                 missing = set().union(*cut).difference(known)
-        if len(known) + len(missing) > REMEMBERED:
+        if len(known) + len(missing) > REMEMBERED:  # short chunks are the ones that come again
+            short = {c: ids for c, ids in known.items() if len(c) <= SHORT}
             known.clear()
-            known[""] = b""
-            missing = set().union(*cut) - {""}
+            known.update(short if 2 * len(short) < REMEMBERED else {"": b""})
+            missing = set().union(*cut).difference(known)
         if missing:
             self.learn(missing)
         found = [np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype) for parts in cut]
