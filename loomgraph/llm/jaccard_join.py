@@ -243,32 +243,51 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return stored(made.dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _verify(percent: int):
-    """A filter of pairs (a, b, set of a, set of b) by their Jaccard similarity."""
+#: Nodes whose sets lie in one block: a task that verifies holds the sets of two blocks.
+BLOCK_NODES = 2000
 
-    def run(batches):
-        kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                kept.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], schema=kind)
+
+def _verify(percent: int):
+    """The pairs (a, b) of two blocks whose sets, in the second table, are similar enough."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        nodes = sets["node"].to_numpy()
+        arrays = [np.frombuffer(x, np.uint64) for x in sets["tokens"].to_pylist()]
+        order = np.argsort(nodes)
+        pairs = pairs.sort_by("a")
+        at, to = (order[np.searchsorted(nodes, pairs[c].to_numpy(), sorter=order)].tolist() if pairs.num_rows else [] for c in "ab")
+        distinct, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *arrays]), return_inverse=True)
+        ids = np.split(back, np.cumsum([len(x) for x in arrays])[:-1]) if arrays else []
+        marked, last, kept = np.zeros(len(distinct), bool), -1, []
+        for i, j in zip(at, to, strict=True):
+            if i != last:
+                if last >= 0:
+                    marked[ids[last]] = False
+                marked[ids[i]] = True
+                last = i
+            common = int(np.count_nonzero(marked[ids[j]]))
+            kept.append(100 * common >= percent * (len(ids[i]) + len(ids[j]) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes of ``texts(node, text)`` whose sets are similar enough."""
+    """The pairs ``(a, b)`` of nodes of ``texts(node, text)`` whose sets are similar enough.
+
+    Nodes fall into blocks by hash, and pairs meet the sets of their two blocks: a set is
+    sent once to each pair of blocks, not once for each pair of nodes.
+    """
     pairs = stored(pairs.select("a", "b"), "jaccard-tried")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(texts, stored(nodes, "jaccard-nodes"), width)
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    links = stored(joined.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-nodes")
+    blocks = max(8, nodes.count() // BLOCK_NODES)
+    sets = sets_of(texts, nodes, width)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.withColumns({"p": F.least(block("a"), block("b")), "q": F.greatest(block("a"), block("b"))})
+    sent = placed.select("p", "q", F.col("a").alias("node")).unionByName(placed.select("p", "q", F.col("b").alias("node"))).distinct()
+    sent = sent.join(sets, "node").select(F.col("p").alias("pp"), F.col("q").alias("qq"), "node", "tokens")
+    joined = placed.groupBy("p", "q").cogroup(sent.groupBy("pp", "qq")).applyInArrow(_verify(percent), "a long, b long")
+    links = stored(joined, "jaccard-links")
     dropped(links.sparkSession, path_of(sets)) if sets.inputFiles() else None
     return links
 
@@ -315,15 +334,14 @@ def join(
     Documents with equal sets form a class and only its first document takes part. A
     sketch of fixed size counts the shingles of all texts and tells frequent from rare;
     any division gives right results, a good one few candidates. :func:`signatures` are
-    exchanged as packed arrays; documents that share one are candidates. Each is first
-    compared with one leader, the first document of most of its signatures, then with the
-    first documents of the others; what still is in different components and shares a
-    signature is compared pair by pair. So a group of near copies costs a few comparisons
-    for each member, and no link between components is lost.
+    exchanged as packed arrays; documents that share one are candidates. All candidates
+    whose sizes fit and which share as many signatures as a link needs at least are
+    compared, so no link is lost; a group of near copies costs a comparison for each of
+    its pairs of different sets.
 
     Returns ``id_col, n_shingles, class_id, component_id, n_links``, one row per input
     row: the first document of the class, the smallest id reachable by links, and the
-    number of links that were compared and found from this class. A null or empty text
+    number of other classes that are linked with this one. A null or empty text
     has no shingles and is its own component; rows with the same id are the same node;
     a null id gets no component. Ids are 64-bit numbers.
     """
@@ -350,35 +368,16 @@ def join(
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     texts = base.where("id is not null").select(F.col("id").alias("node"), "text")
 
-    # first the leader with which a node shares most signatures
-    first = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    star = shared.join(first, "key").where((F.col("node") != F.col("f.node")) & fits(F.col("n"), F.col("f.n")))
-    star = star.groupBy(F.col("f.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    # a pair with few common signatures is left to the last step
-    star = stored(star.where(20 * F.col("k") >= F.col("n")), "jaccard-pairs")
-    tried = star.groupBy("b").agg(F.min_by("a", F.struct(-F.col("k"), F.col("a"))).alias("a")).select("a", "b")
-    links = verified(tried, texts, width, percent)
-    found = components(links)
-
-    # then its other leaders, as far as they are in other components
-    member = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    apart = star.select("a", "b").join(tried, ["a", "b"], "left_anti").join(member("a"), "a", "left").join(member("b"), "b", "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = stored(links.unionByName(verified(apart, texts, width, percent)), "jaccard-links")
-    found = components(links)
-
-    # then all that share a signature across components. A pair that is similar enough
-    # shares all but a part of a prefix, that of the set whose prefix ends first, and so at
-    # least as many signatures as one of the two sets keeps at its losses in this pair
-    placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = stored(placed.join(open_keys, "key"), "jaccard-rest")
+    # a pair that is similar enough shares all but a part of a prefix, that of the set whose
+    # prefix ends first, and so at least as many signatures as one of the two sets keeps at
+    # its losses in this pair
     needed = ["n", *[f"need{k}" for k in STEPS]]
-    side = lambda end: rest.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "component", *needed)])
-    across = side("a").join(side("b"), "key").where("component_a <> component_b and node_a < node_b").where(fits(F.col("n_a"), F.col("n_b")))
-    across = across.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        F.count("*").alias("k"), *[F.max(f"{c}_{end}").alias(f"{c}_{end}") for c in needed for end in "ab"]
-    )
+    known = stored(shared.groupBy("node").agg(*[F.max(c).alias(c) for c in needed]), "jaccard-needs")
+    side = lambda end: shared.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n")])
+    met = side("a").join(side("b"), "key").where("node_a < node_b").where(fits(F.col("n_a"), F.col("n_b")))
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("k"))
+    for end in "ab":
+        met = met.join(known.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in needed]), end)
     overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
 
     def need(end: str):
@@ -389,12 +388,8 @@ def join(
             out = F.when(lost * STEPS[-1] <= losses * k, F.col(f"need{k}_{end}")).otherwise(out)
         return out
 
-    across = across.where(F.col("k") >= F.least(need("a"), need("b"))).select("a", "b")
-    across = across.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(across, texts, width, percent)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
+    links = verified(met.where(F.col("k") >= F.least(need("a"), need("b"))), texts, width, percent)
+    found = components(links)
 
     ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
     degrees = ends.groupBy("class").agg(F.count("*").alias("n_links"))

@@ -213,6 +213,31 @@ def test_jaccard_join(spark, docs, empty, bits):
         assert jaccard_join.join(empty).count() == 0
 
 
+def brute_links(table):
+    """Of each id the number of other distinct sets that its set is linked with."""
+    sets = {}
+    for i, t, *_ in table:
+        w = word_list(lowered(t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    linked = lambda x, y: x and y and x != y and 100 * len(x & y) >= 75 * len(x | y)
+    return {i: sum(bool(linked(x, y)) for y in set(sets.values())) for i, x in sets.items()}
+
+
+@pytest.mark.parametrize("bits", [8, 20])
+def test_jaccard_join_counts_all_links(spark, bits):
+    rng = np.random.default_rng(11)
+    table = [r for r in rows() if r[0] is not None and (r[0] != 5 or r[1] != "other text of a repeated id")]
+    for group in range(3):  # near copies on both sides of the threshold, and equal sets
+        words_ = [f"g{group}w{j}" for j in range(120)]
+        for i in range(14):
+            changed = [f"{w}c{i}" if j in set(rng.integers(0, 120, i % 4).tolist()) else w for j, w in enumerate(words_)]
+            table.append((100 * (group + 1) + i, " ".join(changed), "en", "s0", 0, None, None))
+    got = jaccard_join.join(spark.createDataFrame(table, SCHEMA), sketch_bits=bits).collect()
+    want = brute_links(table)
+    assert max(want.values()) > 5 and len(got) == len(table)
+    assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_linked_sets_share_a_signature_whatever_is_frequent():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 4, 7, 20, 61, 200, 555):
