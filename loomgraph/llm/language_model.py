@@ -1,6 +1,6 @@
-"""An interpolated modified Kneser-Ney bigram model in sorted hash arrays.
+"""An interpolated modified Kneser-Ney model of any order in sorted hash arrays.
 
-The corpus is counted in two exchanges of packed arrays. The counts lie in files of sorted
+The corpus is counted in one exchange of packed arrays for each order. The counts lie in files of sorted
 64-bit hashes in the shared folder, one for each range of hashes, which workers map into
 memory and search; no task ever holds the model.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import get_file, new_folder, process_cache, put_file, stored
+from loomgraph.llm.shared import dropped, get_file, new_folder, process_cache, put_file, stored
 from loomgraph.llm.words import mix, unmix, word_hashes
 
 #: The hash that stands for the end of a text among the word hashes.
@@ -170,23 +170,61 @@ def _count_words(bits: int):
     return run
 
 
-def pair_keys(ids: np.ndarray, before: np.ndarray, begin: int) -> np.ndarray:
-    """The hash of each token's id with that of the token before it, ``begin`` at first."""
-    left = np.concatenate([[begin], ids[:-1]])
-    left[before[:-1]] = begin
-    return mix((left.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-
-
-def _count_pairs(bits: int, vocab: HashArrays):
-    begin = int(vocab.bases[-1])
+def gram_steps(levels: dict, ids: np.ndarray, before: np.ndarray, order: int):
+    """For orders 2 to ``order`` the grams that end with each token.
 
+    A gram is the rank of its context among the grams of one order less and the id of its
+    last word; the context of a first token is the beginning of a text, whose rank is the
+    number of words, and no gram reaches beyond it. Gives ``(m, left, known, keys, ranks)``:
+    ranks of contexts or -1, the tokens whose gram has a key, these keys, and the ranks of
+    the grams, -1 if unknown; no ranks if the order has no table yet.
+    """
+    begin = int(levels[1].bases[-1])
+    place = np.arange(len(ids)) - np.repeat(before[:-1], np.diff(before))
+    ranks = ids
+    for m in range(2, order + 1):
+        left = np.concatenate([[begin], ranks[:-1]])
+        left[place < m - 2] = -1
+        if m == 2:
+            left[before[:-1]] = begin
+        known = (left >= 0) & (ids >= 0)
+        keys = gram_keys(left[known], ids[known])
+        ranks = None
+        if m in levels:
+            distinct, back = np.unique(keys, return_inverse=True)
+            ranks = np.full(len(ids), -1, np.int64)
+            ranks[known] = levels[m].find(distinct)[back]
+        yield m, left, known, keys, ranks
+
+
+def gram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+
+
+def gram_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    plain = unmix(keys)
+    return (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def suffix_ranks(levels: dict, m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The ranks, among grams of one order less, of grams of order ``m`` without their first word."""
+    if m == 2:
+        return right
+    inner = suffix_ranks(levels, m - 1, *gram_parts(levels[m - 1].values(left, "keys", np.uint64)))
+    distinct, back = np.unique(gram_keys(inner, right), return_inverse=True)
+    return levels[m - 1].find(distinct)[back]
+
+
+def _count_grams(bits: int, levels: dict, m: int):
     def run(batches):
         collector = Collector(bits)
         for batch in batches:
             for part in _pieces(batch):
                 tokens, before = _with_ends(_training(part).column(1))
                 if len(tokens):
-                    yield from collector.add(pair_keys(_ids(vocab, tokens), before, begin))
+                    for *_, keys, _ in gram_steps(levels, _ids(levels[1], tokens), before, m):
+                        pass
+                    yield from collector.add(keys)
         yield from collector.flush()
 
     return run
@@ -213,51 +251,92 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=5)[1:5].tolist()
 
 
-def _write_pairs(folder: str, vocab: HashArrays):
-    """Writes a range of pairs; gives, by range of words, how many pairs with counts 1, 2,
-    3 or more begin with a word and how many distinct pairs end with it."""
-    begin = int(vocab.bases[-1])
-    kind = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("stats", pa.binary()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.list_(pa.int64()))])
-
+def _write_grams(folder: str, m: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
         keys, counts = _merged(group)
-        put_file(folder, f"pairs-keys-{bucket:05d}", keys.tobytes())
-        put_file(folder, f"pairs-counts-{bucket:05d}", counts.astype(np.uint32).tobytes())
-        plain = unmix(keys)
-        left, right = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        column = np.minimum(counts, 3).astype(np.int64) - 1
-        cells, n = np.unique(np.concatenate([left * 4 + column, right * 4 + 3]), return_counts=True)
-        bounds = np.append(vocab.bases[:-1], begin + 1) * 4
-        cuts = np.searchsorted(cells, bounds)
-        rows = [[], [], [], [], [], []]
-        for p in range(len(cuts) - 1):
-            if cuts[p + 1] > cuts[p]:
-                some = slice(cuts[p], cuts[p + 1])
-                values = (p, packed(cells[some]), packed(n[some].astype(np.uint32)), bucket, 0, None)
-                for c, v in zip(rows, values, strict=True):
-                    c.append(v)
-        for c, v in zip(rows, (-1, None, None, bucket, len(keys), _counts_of_counts(counts)), strict=True):
-            c.append(v)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+        put_file(folder, f"grams{m}-keys-{bucket:05d}", keys.tobytes())
+        put_file(folder, f"grams{m}-raw-{bucket:05d}", counts.astype(np.uint32).tobytes())
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "counts": pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _final(level: HashArrays, bucket: int, top: bool) -> np.ndarray:
+    """The counts that the model uses: as met for the highest order, else of distinct words
+    to the left; grams at the beginning of a text have none and keep the count as met."""
+    raw = level.file(bucket, "raw", np.uint32)
+    if top:
+        return np.asarray(raw)
+    lower = level.file(bucket, "lower", np.uint32)
+    return np.where(lower > 0, lower, raw)
+
+
+_SUMS = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())])
+
+
+def _send(to: HashArrays, cells: np.ndarray, weights: np.ndarray, width: int):
+    """Sums of weights by cell, ``width`` cells for each rank, by range; a row for each range."""
+    cells, sums = summed(cells, weights)
+    cuts = np.searchsorted(cells, to.bases * width)
+    parts = np.flatnonzero(to.sizes).tolist()
+    rows = [[packed(x[cuts[p] : cuts[p + 1]]) for p in parts] for x in (cells, sums.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], schema=_SUMS)
+
+
+def _suffixes(levels: dict, m: int):
+    """For ranges of grams, how many distinct ones end with each gram of one order less."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                if levels[m].sizes[bucket]:
+                    ends = suffix_ranks(levels, m, *gram_parts(levels[m].file(bucket, "keys", np.uint64)))
+                    yield _send(levels[m - 1], ends, np.ones(len(ends), np.int64), 1)
 
     return run
 
 
-def _write_stats(folder: str, vocab: HashArrays):
-    """Sums the figures of a range of words: files of n1, n2, n3 and of distinct left words."""
+def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
+    """For ranges of grams, by context: the sum of counts, and how many are 1, 2, 3 or more."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                if levels[m].sizes[bucket]:
+                    left, _ = gram_parts(levels[m].file(bucket, "keys", np.uint64))
+                    counts = _final(levels[m], bucket, top).astype(np.int64)
+                    put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", counts.astype(np.uint32).tobytes())
+                    cells = np.concatenate([left * 4, left * 4 + np.minimum(counts, 3)])
+                    yield _send(contexts, cells, np.concatenate([counts, np.ones(len(left), np.int64)]), 4)
+
+    return run
+
+
+def _summed_table(group: pa.Table, to: HashArrays, width: int) -> tuple[int, np.ndarray]:
+    part = group["part"][0].as_py()
+    flat = np.zeros(int(to.sizes[part]) * width, np.uint32)
+    for cells, sums in zip(group["cells"].to_pylist(), group["sums"].to_pylist(), strict=True):
+        flat[unpacked(cells, np.int64) - width * int(to.bases[part])] += unpacked(sums, np.uint32)
+    return part, flat.reshape(-1, width)
+
+
+def _write_lower(to: HashArrays):
+    def run(group: pa.Table) -> pa.Table:
+        part, table = _summed_table(group, to, 1)
+        put_file(to.folder, f"{to.kind}-lower-{part:05d}", table.tobytes())
+        final = table[:, 0] if to.kind == "words" else _final(to, part, False)
+        return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([_counts_of_counts(final)], pa.list_(pa.int64()))})
+
+    return run
+
 
+def _write_contexts(to: HashArrays, high: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
-        part = group["part"][0].as_py()
-        low, size = int(vocab.bases[part]), int(vocab.sizes[part]) + (part == len(vocab.sizes) - 1)
-        table = np.zeros((size, 4), np.uint32)
-        flat = table.reshape(-1)
-        for ids, n in zip(group["ids"].to_pylist(), group["stats"].to_pylist(), strict=True):
-            flat[unpacked(ids, np.int64) - 4 * low] += unpacked(n, np.uint32)
-        for k, name in enumerate(("n1", "n2", "n3", "ending")):
-            put_file(folder, f"words-{name}-{part:05d}", np.ascontiguousarray(table[:, k]).tobytes())
-        return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([_counts_of_counts(table[:, 3])], pa.list_(pa.int64())),
-                         "begin": pa.array([table[-1, :3].astype(np.int64).tolist() if part == len(vocab.sizes) - 1 else None], pa.list_(pa.int64()))})
+        part, table = _summed_table(group, to, 4)
+        put_file(to.folder, f"{to.kind}-total-{part:05d}", np.ascontiguousarray(table[:, 0]).tobytes())
+        put_file(to.folder, f"{to.kind}-freed-{part:05d}", (table[:, 1:].astype(np.float64) @ high).tobytes())
+        return pa.table({"part": pa.array([part], pa.int32())})
 
     return run
 
@@ -272,42 +351,34 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.clip(found, [0.05, 0.05, 0.05], [0.95, 1.95, 2.95])
 
 
-def _score(vocab: HashArrays, pairs: HashArrays, model: dict, id_type):
+def _score(levels: dict, contexts: dict, model: dict, id_type):
     names = ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     types = (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     kind = pa.schema(list(zip(names, types, strict=True)))
-    begin, size = int(vocab.bases[-1]), int(vocab.bases[-1]) + 1
-    high, low = np.concatenate([[0], model["pair_discounts"]]), np.concatenate([[0], model["word_discounts"]])
+    vocab, order = levels[1], max(levels)
+    size = int(vocab.bases[-1]) + 1
+    losses = {m: np.concatenate([[0], d]) for m, d in model["discounts"].items()}
 
     def run(batches):
         for batch in batches:
             for part in _pieces(batch):
                 tokens, before = _with_ends(part.column(1))
                 distinct, back = np.unique(tokens, return_inverse=True)
-                ids = vocab.find(distinct)
-                value = lambda name: vocab.values(ids, name, np.uint32).astype(np.float64)  # noqa: B023, E731
-                count, ending = value("counts"), value("ending")
+                found = vocab.find(distinct)
+                value = lambda name: vocab.values(found, name, np.uint32).astype(np.float64)  # noqa: B023, E731
+                count, ending = value("counts"), value("lower")
                 base = np.log10((count + 1) / (model["tokens"] + size))
                 # words: distinct left neighbours, discounted; the rest spread evenly over all words and one unknown
-                kept = np.maximum(ending - low[np.minimum(ending, 3).astype(int)], 0) / max(1, model["pairs"])
-                word = kept + model["word_rest"] / size
-                freed = high[1] * value("n1") + high[2] * value("n2") + high[3] * value("n3")
-                # pairs: the context of a first token is the beginning
-                left = np.concatenate([[0], back[:-1]])
-                first = np.zeros(len(back), bool)
-                first[before[:-1]] = True
-                context = np.where(first, model["texts"], count[left])
-                share = np.where(first, model["begin_freed"], freed[left])
-                known = (ids[back] >= 0) & (first | (ids[left] >= 0))
-                plain = pair_keys(np.maximum(ids[back], 0), before, begin)[known]
-                some, again = np.unique(plain, return_inverse=True)
-                seen = np.zeros(len(back))
-                seen[known] = pairs.values(pairs.find(some), "counts", np.uint32)[again]
-                direct = np.maximum(seen - high[np.minimum(seen, 3).astype(int)], 0)
-                met = context > 0
-                safe = np.where(met, context, 1.0)
-                p = np.where(met, (direct + share * word[back]) / safe, word[back])
-                p = np.where(met & (share <= 0) & (direct <= 0), word[back], p)
+                kept = np.maximum(ending - losses[1][np.minimum(ending, 3).astype(int)], 0) / max(1, model["pairs"])
+                p = (kept + model["word_rest"] / size)[back]
+                for m, left, _, _, ranks in gram_steps(levels, found[back], before, order):
+                    some, again = np.unique(left, return_inverse=True)
+                    total = contexts[m - 1].values(some, "total", np.uint32).astype(np.float64)[again]
+                    freed = contexts[m - 1].values(some, "freed", np.float64)[again]
+                    seen = levels[m].values(ranks, "counts", np.uint32).astype(np.float64)
+                    direct = np.maximum(seen - losses[m][np.minimum(seen, 3).astype(int)], 0)
+                    met = (total > 0) & ((freed > 0) | (direct > 0))
+                    p = np.where(met, (direct + freed * p) / np.where(met, total, 1.0), p)
                 sums = lambda x: np.add.reduceat(x, before[:-1])  # noqa: B023, E731
                 n = np.diff(before)
                 columns = (part.column(0), is_held_out(part.column(0).to_pylist()), n, sums((count[back] > 0).astype(np.int64)),
@@ -317,14 +388,16 @@ def _score(vocab: HashArrays, pairs: HashArrays, model: dict, id_type):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Learns the model from all documents that are not held out and scores all of them.
 
     Tokens are words, A-Z lower-cased, and one end per text; the first token's context is
-    the beginning of a text. Every pair is counted, none is pruned. The probability of a
-    pair is its discounted count over that of its context, plus the mass so freed times
-    the word's own probability, which rests on its number of distinct left neighbours and
-    is interpolated with the even distribution over all words and an unknown one.
+    the beginning of a text. Every gram of up to ``order`` words is counted, none is pruned.
+    The probability of a gram is its discounted count over that of its context, plus the
+    mass so freed times the probability of the gram without its first word. Counts of
+    grams below the highest order are numbers of distinct words to the left, except at the
+    beginning of a text; that of words is interpolated with the even distribution over all
+    words and an unknown one.
 
     Returns ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` per
     row; scores are log10 probabilities of whole texts. Null and empty texts are an end
@@ -332,35 +405,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     folder = new_folder(spark, "language-model")
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    shape = "bucket int, keys binary, counts binary"
+    shape, sums = "bucket int, keys binary, counts binary", "part int, cells binary, sums binary"
     found = stored(
         rows.mapInArrow(_count_words(bits), shape).groupBy("bucket").applyInArrow(_write_words(folder), "bucket int, n long, total long"), "lm-words"
     ).collect()  # a row per range of hashes
     vocab = HashArrays(folder, "words", bits, {r["bucket"]: r["n"] for r in found})
     tokens = sum(r["total"] for r in found)
-    written = stored(
-        rows.mapInArrow(_count_pairs(bits, vocab), shape).groupBy("bucket").applyInArrow(
-            _write_pairs(folder, vocab), "part int, ids binary, stats binary, bucket int, n long, counts array<bigint>"), "lm-pairs"
-    )
-    heads = written.where("part = -1").select("bucket", "n", "counts").collect()
-    pairs = HashArrays(folder, "pairs", bits, {r["bucket"]: r["n"] for r in heads})
-    stats = stored(
-        written.where("part >= 0").groupBy("part").applyInArrow(_write_stats(folder, vocab), "part int, counts array<bigint>, begin array<bigint>"), "lm-stats"
-    ).collect()
+    buckets = spark.range(0, 1 << bits, 1, 1 << bits)
     total = lambda rows_: [sum(r["counts"][i] for r in rows_) for i in range(4)]
-    of_words = total(stats)
-    n_pairs, n_words = int(pairs.bases[-1]), int(vocab.bases[-1])
-    low, high = discounts(of_words), discounts(total(heads))
+    levels, seen = {1: vocab}, {}
+    for m in range(2, order + 1):
+        heads = stored(
+            rows.mapInArrow(_count_grams(bits, levels, m), shape).groupBy("bucket").applyInArrow(
+                _write_grams(folder, m), "bucket int, n long, counts array<bigint>"), "lm-grams"
+        ).collect()
+        levels = levels | {m: HashArrays(folder, f"grams{m}", bits, {r["bucket"]: r["n"] for r in heads})}
+        if int(levels[m].bases[-1]) >= 1 << 32:
+            raise ValueError(f"more than 2**32 grams of {m} words")
+        seen[m] = total(heads)
+        ends = buckets.mapInArrow(_suffixes(levels, m), sums).groupBy("part")
+        seen[m - 1] = total(stored(ends.applyInArrow(_write_lower(levels[m - 1]), "part int, counts array<bigint>"), "lm-lower").collect())
+    found_discounts = {m: discounts(n) for m, n in seen.items()}
+    contexts = {m: levels[m] for m in range(2, order)}
+    # the beginning of a text is a context beside the words
+    last = {(1 << bits) - 1: int(vocab.sizes[-1]) + 1} if tokens else {}
+    contexts[1] = HashArrays(folder, "words", bits, dict(enumerate(vocab.sizes.tolist())) | last)
+    for m in range(2, order + 1):
+        by_context = buckets.mapInArrow(_contexts(levels, m, contexts[m - 1], m == order), sums).groupBy("part")
+        stored(by_context.applyInArrow(_write_contexts(contexts[m - 1], found_discounts[m]), "part int"), "lm-contexts")
+        for b in np.flatnonzero(levels[m].sizes):
+            for column in ("raw", "lower"):
+                dropped(spark, f"{folder}/grams{m}-{column}-{b:05d}")
+    of_words, low = seen[1], found_discounts[1]
+    n_pairs, n_words = int(levels[2].bases[-1]), int(vocab.bases[-1])
     more = n_words - of_words[0] - of_words[1]
     rest = (low[0] * of_words[0] + low[1] * of_words[1] + low[2] * max(0, more)) / n_pairs if n_pairs else 1.0
-    begin = next((r["begin"] for r in stats if r["begin"]), [0, 0, 0])
-    texts = rows.where(F.pmod(F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")), F.lit(7)) != 2).count()
-    model = {"tokens": tokens, "pairs": n_pairs, "texts": texts, "pair_discounts": high, "word_discounts": low,
-             "word_rest": rest, "begin_freed": float(np.dot(high, begin))}
+    model = {"tokens": tokens, "pairs": n_pairs, "discounts": found_discounts, "word_rest": rest}
     shape = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_score(vocab, pairs, model, to_arrow_type(kind)), shape).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_score(levels, contexts, model, to_arrow_type(kind)), shape).withColumnRenamed("id", id_col)

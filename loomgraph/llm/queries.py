@@ -30,7 +30,7 @@ def op1_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op3_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,48 @@ def test_language_model(docs, empty):
     assert language_model.score(empty).count() == 0
 
 
+def brute_scores(table, order):
+    """Scores by an interpolated model of any order whose grams are tuples."""
+    end, begin = "\0end", "\0begin"
+    texts = [(i, [begin, *word_list(lowered(t)), end]) for i, t, *_ in table]
+    met = {m: collections.Counter() for m in range(1, order + 1)}
+    for i, w in texts:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            for m in met:
+                met[m].update(tuple(w[k : k + m]) for k in range(1 if m == 1 else 0, len(w) - m + 1))
+    used = {order: met[order]}
+    for m in range(1, order):
+        lefts = collections.Counter(g[1:] for g in met[m + 1])
+        used[m] = {g: c if g[0] == begin else lefts[g] for g, c in met[m].items()}
+    cut = {m: [0, *language_model.discounts([sum(c == k for c in used[m].values()) for k in (1, 2, 3, 4)])] for m in used}
+    total, freed = collections.Counter(), collections.Counter()
+    for m in used:
+        for g, c in used[m].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += cut[m][min(c, 3)]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(met[1]) + 1)
+        if not total[g[:-1]]:
+            return lower
+        c = used[len(g)].get(g, 0)
+        return (max(c - cut[len(g)][min(c, 3)], 0) + freed[g[:-1]] * lower) / total[g[:-1]]
+
+    found = [(i, sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w)))) for i, w in texts]
+    return collections.Counter((i, round(x, 5)) for i, x in found), p, met[1]
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(docs, empty, order):
+    got = language_model.score(docs, order=order).collect()
+    want, p, words_ = brute_scores(rows(), order)
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+    assert want != brute_scores(rows(), 2)[0]
+    context = ("\0begin", "the", "quick")[-order + 1 :]
+    assert abs(sum(p((*context, *b)) for b in words_) + p((*context, "never seen")) - 1) < 1e-9
+    assert language_model.score(empty, order=order).count() == 0
+
+
 def test_word_hashes_agree_with_words():
     texts = [t for _, t, *_ in rows()]
     hashes, before = words.word_hashes(pa.array(texts, pa.string()))
