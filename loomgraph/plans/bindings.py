@@ -502,6 +502,32 @@ def test_match(spark, sf_dir):
     return joins.best_tier([found], ["item_id"], [F.col("doc_id")]).select("item_id", "doc_id", "stage")
 
 
+@query(None)
+def test_match_all(spark, sf_dir):
+    """For each benchmark item the best document: one that holds all its distinct runs of
+    five tokens, else the one that holds most of them; an item of fewer tokens is matched
+    whole. Runs are compared as 64-bit hashes."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+
+    def runs(df, id_, n):
+        found = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.xxhash64(F.slice("t", i, n)))
+        return df.where(F.size("t") >= n).select(id_, F.explode(F.array_distinct(found)).alias("h"))
+
+    wanted = runs(items, "item_id", 5).distinct()
+    shared = runs(docs, "doc_id", 5).join(wanted, "h").groupBy("item_id", "doc_id").agg(F.countDistinct("h").alias("n"))
+    shared = shared.join(wanted.groupBy("item_id").agg(F.count("*").alias("of")), "item_id")
+    short = items.where(F.size("t") < 5).select("item_id", F.size("t").alias("size"), "t")
+    sizes = [r["size"] for r in short.select("size").distinct().collect()]  # at most four
+    stages = [shared.where("n = of"), shared.where("n < of")]
+    for n in sorted(sizes, reverse=True):
+        found = runs(docs, "doc_id", n).join(runs(short.where(F.col("size") == n), "item_id", n), "h")
+        stages.append(found.select("item_id", "doc_id", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("of")).distinct())
+    order = [F.desc("n"), F.col("doc_id")]
+    best = joins.best_tier([s.select("item_id", "doc_id", "n") for s in stages], ["item_id"], order)
+    return best.select("item_id", "doc_id", F.least("stage", F.lit(2)).alias("stage"), F.col("n").alias("n_shared"))
+
+
 #: Lines as four diagnostic tools print them.
 DIAGNOSTICS = [
     "src/a.ts(12,5): error TS2304: Cannot find name 'x'.",
