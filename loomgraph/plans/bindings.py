@@ -470,6 +470,17 @@ def enclosing_interval(spark, sf_dir):
     return found.select("event_id", "span")
 
 
+@query(None)
+def enclosing_interval_all(spark, sf_dir):
+    """For each event the shortest session of its user that holds it; every event begins one."""
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("long")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("t"))
+    length = 60 * (3600 % (F.col("event_id") % 97 + 30)) + 3600
+    spans = events.select(F.col("event_id").alias("span"), "user_id", F.col("t").alias("a"), (F.col("t") + length).alias("b"))
+    found = joins.enclosing(events, spans, "user_id", "t", "a", "b", 86400, ["event_id"], [F.col("span")])
+    return found.select("event_id", "span")
+
+
 @query("""WITH c AS (SELECT c_custkey, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey),
     s AS (SELECT s_nationkey AS n, n_regionkey AS r, min_by(s_suppkey, (-s_acctbal, s_suppkey)) AS k, max(s_acctbal) AS bal
           FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)
@@ -596,6 +607,15 @@ def module_bucket(spark, sf_dir):
     return named.select("path", T.module_bucket(F.col("p")).alias("module"), F.col("path").alias("file"))
 
 
+@query(None)
+def module_bucket_all(spark, sf_dir):
+    """The module of every document; one without a language has a path without an ending."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat_ws(".", F.col("doc_id").cast("string"), "lang"))
+    named = docs.select(path.alias("path"), F.when(F.col("doc_id") % 2 == 0, path).otherwise(F.concat("doc_id", F.lit(".x"))).alias("p"))
+    return named.select("path", T.module_bucket(F.col("p")).alias("module"), F.col("path").alias("file"))
+
+
 @query("""SELECT p_partkey AS id, p_name AS name, 0 AS tier FROM part WHERE contains(lower(p_name), 'blue')""")
 def find_symbols(spark, sf_dir):
     found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))

@@ -23,3 +23,22 @@ def test_match_all_reads_whole_items(spark, tmp_path):
     assert got == want and {s for _, s, _ in got.values()} == {0, 1, 2}
     first_five = {r.item_id for r in bindings.test_match(spark, str(tmp_path)).collect()}
     assert set(got) - first_five  # what the query over first tokens does not find
+
+
+def test_every_event_begins_a_session(spark, tmp_path):
+    events = [(i, i % 3, 1_700_000_000 + (i * 7919) % 90_000) for i in range(1, 121)]
+    made = spark.createDataFrame(events, "event_id long, user_id long, t long")
+    made.selectExpr("event_id", "user_id", "timestamp_seconds(t) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    spans = [(i, u, t, t + 60 * (3600 % (i % 97 + 30)) + 3600) for i, u, t in events]
+    want = {i: min((b - a, -a, s) for s, v, a, b in spans if v == u and a <= t <= b)[2] for i, u, t in events}
+    got = [tuple(r) for r in bindings.enclosing_interval_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(events) and dict(got) == want
+    assert {tuple(r) for r in bindings.enclosing_interval(spark, str(tmp_path)).collect()} != set(got)
+
+
+def test_module_bucket_all_has_every_document(spark, tmp_path):
+    docs = [(1, "de", "web"), (2, "de", "web"), (3, "en", "mail"), (4, "en", "mail"), (5, None, "web"), (6, None, "web"), (8, "fr", None)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.path, r.module) for r in bindings.module_bucket_all(spark, str(tmp_path)).collect()}
+    assert got == {("web/1.de", "(root)"), ("web/2.de", "web"), ("mail/3.en", "(root)"), ("mail/4.en", "mail"), ("web/5", "(root)"), ("web/6", "web"), ("8.fr", "(root)")}
+    assert bindings.module_bucket(spark, str(tmp_path)).count() == 2
