@@ -575,6 +575,17 @@ def risk_score(spark, sf_dir):
     return found.withColumn("risk", T.level(F.col("score"), 6, 3))
 
 
+@query(None)
+def risk_score_all(spark, sf_dir):
+    """The risk of each turn by all words and points of the rules; a long turn stands for five neighbours."""
+    from loomgraph.operators import risk
+
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("file"), F.when(F.length("text") > 200, 5).otherwise(0).alias("neighbors"), F.lit(0.0).alias("top_rank")
+    )
+    return risk.assess(turns).select("conv_id", "turn", F.col("risk_score").alias("score"), "risk")
+
+
 @query("""SELECT lang AS language, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, language LIMIT 3""")
 def language_histogram(spark, sf_dir):
     found = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"))
@@ -652,6 +663,19 @@ def missed_files(spark, sf_dir):
     return risk.missed_files(edges, home, home.where("file in (3, 7)").select("file"), none)
 
 
+@query(None)
+def missed_files_all(spark, sf_dir):
+    """Nations that trade into two changed ones, or whose suppliers mostly share orders with theirs."""
+    from loomgraph.operators import risk
+
+    edges = strong_trade(spark, sf_dir).withColumn("kind", F.lit("call"))
+    home = nations(spark, sf_dir).select("id", F.col("id").alias("file"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("file"))
+    together = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").select(F.col("l_orderkey").alias("commit_id"), "file")
+    along = metrics.co_change_neighbors(metrics.co_change(together), 5)
+    return risk.missed_files(edges, home, home.where("file in (3, 7)").select("file"), along)
+
+
 @query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN 'covered' WHEN doc_id % 4 = 0 THEN 'missed' ELSE 'unexpected' END AS outcome FROM documents
     WHERE doc_id % 4 = 0 OR (doc_id % 3 = 0 AND doc_id % 5 <> 0)""")
 def session_compare(spark, sf_dir):

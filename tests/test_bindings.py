@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
+
+import pyarrow.parquet as pq
+
+from loomgraph.operators import risk
 from loomgraph.plans import bindings
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_match_all_reads_whole_items(spark, tmp_path):
     texts = {1: "a b c d e f g", 2: "x x c d e f g y", 3: "b c d e f g", 4: "p q r", 5: "z a b c d e f g", 6: None, 7: "q r s t p q"}
@@ -42,3 +50,32 @@ def test_module_bucket_all_has_every_document(spark, tmp_path):
     got = {(r.path, r.module) for r in bindings.module_bucket_all(spark, str(tmp_path)).collect()}
     assert got == {("web/1.de", "(root)"), ("web/2.de", "web"), ("mail/3.en", "(root)"), ("mail/4.en", "mail"), ("web/5", "(root)"), ("web/6", "web"), ("8.fr", "(root)")}
     assert bindings.module_bucket(spark, str(tmp_path)).count() == 2
+
+
+def test_risk_score_all_counts_each_word_of_the_rules(spark, tmp_path):
+    texts = ["billing and Crypto", "auth token auth", "schema of the db", "api " + "x" * 200, "nothing", None]
+    rows = [(1, k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for _, k, text in rows:
+        words = set((text or "").lower().split())
+        n = 3 * len(words & set(risk.HIGH_WORDS)) + len(words & set(risk.MEDIUM_WORDS)) + 3 * (len(text or "") > 200)
+        want[k] = (n, "high" if n >= 6 else "medium" if n >= 3 else "low")
+    assert {r.turn: (r.score, r.risk) for r in bindings.risk_score_all(spark, str(tmp_path)).collect()} == want
+    assert want[0] == (6, "high")
+
+
+def test_missed_files_all_has_co_change_neighbours(spark):
+    lines = pq.read_table(f"{SMALL}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"]).to_pylist()
+    home = {r["s_suppkey"]: r["s_nationkey"] for r in pq.read_table(f"{SMALL}/supplier.parquet").to_pylist()}
+    orders = collections.defaultdict(set)
+    for r in lines:
+        orders[r["l_orderkey"]].add(home[r["l_suppkey"]])
+    pairs = collections.Counter(p for o in orders.values() for p in itertools.permutations(sorted(o), 2))
+    want = {r.file: r.reason for r in bindings.missed_files(spark, SMALL).collect()}
+    for changed in (3, 7):
+        for _, b in sorted((-n, b) for (a, b), n in pairs.items() if a == changed)[:3]:
+            if b not in (3, 7):
+                want.setdefault(b, "co-change")
+    got = {r.file: r.reason for r in bindings.missed_files_all(spark, SMALL).collect()}
+    assert got == want and "co-change" in got.values()
