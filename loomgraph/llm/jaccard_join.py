@@ -44,16 +44,21 @@ def _groups(batch: pa.RecordBatch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+def node_of(tokens: np.ndarray) -> int:
+    """The node of a set: 64 bits of its digest. Equal sets are one node, whatever their ids."""
+    return int.from_bytes(hashlib.sha256(tokens.tobytes()).digest()[:8], "little", signed=True)
+
+
 def _digests(width: int, id_type):
-    """A map of (id, text) to (id, number of shingles, digest of the set)."""
-    kind = pa.schema([("id", id_type), ("n", pa.int64()), ("digest", pa.binary())])
+    """A map of (id, text) to (id, number of shingles, node of the set)."""
+    kind = pa.schema([("id", id_type), ("n", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in _groups(batch):
                 sets = shingle_sets(part.column(1), width)
-                digests = [hashlib.sha256(s.tobytes()).digest()[:16] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=kind)
+                nodes = [node_of(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], schema=kind)
 
     return run
 
@@ -163,7 +168,7 @@ def _frequent_cells(cells: np.ndarray) -> np.ndarray:
 
 
 def _index(width: int, bits: int, percent: int, table: bytes, buckets: int, sent: int):
-    """A map of (id, text), one of each class, to packed signatures by range of hashes."""
+    """A map of (id, text) to packed signatures, with the nodes of their sets, by range of hashes."""
     kind = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), *[(f"need{k}", pa.binary()) for k in STEPS]])
 
     def run(batches):
@@ -182,12 +187,12 @@ def _index(width: int, bits: int, percent: int, table: bytes, buckets: int, sent
 
         for batch in batches:
             for part in _groups(batch):
-                for id_, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
+                for tokens in shingle_sets(part.column(1), width):
                     if len(tokens):
                         frequent = cells[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
                         made, needs = signatures(tokens, frequent, percent)
                         full = lambda x, kind: np.full(len(made), x, kind)  # noqa: B023, E731
-                        held.append((made, full(id_, np.int64), full(len(tokens), np.uint32), *[full(x, np.uint32) for x in needs]))
+                        held.append((made, full(node_of(tokens), np.int64), full(len(tokens), np.uint32), *[full(x, np.uint32) for x in needs]))
                         count += len(made)
                 if count > sent:
                     yield flush()
@@ -213,26 +218,27 @@ def _shared_keys(group: pa.Table) -> pa.Table:
 
 
 def _sets(width: int, held: tuple[bytes, int] | None):
-    """A map of (node, text) to (node, its set), of nodes that the filter may hold."""
+    """A map of (text) to (node, its set), of nodes that the filter may hold."""
     kind = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            if held is not None:
-                nodes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                batch = batch.filter(pa.array(may_hold(np.frombuffer(held[0], np.uint8), nodes, held[1])))
             for part in _groups(batch):
-                sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
+                sets = [x for x in shingle_sets(part.column(0), width) if len(x)]
+                nodes = np.array([node_of(x) for x in sets], np.int64)
+                kept = np.ones(len(sets), bool)
+                if held is not None and len(sets):
+                    kept = may_hold(np.frombuffer(held[0], np.uint8), nodes.view(np.uint64), held[1])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array([x.tobytes() for x, k in zip(sets, kept, strict=True) if k], pa.binary())], schema=kind)
 
     return run
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``(node, tokens)`` of the nodes among ``texts(node, text)``, one row for each.
+    """``(node, tokens)`` of the nodes among the sets of ``texts(text)``, one row for each.
 
-    A Bloom filter of the nodes, unless it were too large, leaves out most other texts
-    before their sets are made; the join leaves out the rest.
+    A Bloom filter of the nodes, unless it were too large, leaves out most other sets;
+    the join leaves out the rest. Rows of one node have equal sets.
     """
     count, held = nodes.count(), None
     if count * FILTER_BITS <= 8 * HELD_FILTER_BYTES:
@@ -273,7 +279,7 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes of ``texts(node, text)`` whose sets are similar enough.
+    """The pairs ``(a, b)`` of nodes, sets of ``texts(text)``, whose sets are similar enough.
 
     Nodes fall into blocks by hash, and pairs meet the sets of their two blocks: a set is
     sent once to each pair of blocks, not once for each pair of nodes.
@@ -351,10 +357,10 @@ def join(
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     id_type = to_arrow_type(base.schema["id"].dataType)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(base.mapInArrow(_digests(width, id_type), "id long, n long, digest binary"), "jaccard-classes")
+    rows = stored(base.mapInArrow(_digests(width, id_type), "id long, n long, node long"), "jaccard-classes")
     # texts without shingles are linked with nothing
-    classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"))
-    classes = stored(rows.join(classes, "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")), "jaccard-class-ids")
+    classes = rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("class"))
+    classes = stored(rows.join(classes, "node", "left").select("id", "n", "node", F.when(F.col("n") > 0, F.col("class")).alias("class")), "jaccard-class-ids")
 
     cells = stored(base.mapInArrow(_sketch(width, sketch_bits, 64), "part int, counts binary").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary"), "jaccard-sketch")
     counted = [unpacked(bytes(r["counts"]), np.uint32) for r in cells.orderBy("part").collect()]  # 2**sketch_bits counters
@@ -362,11 +368,11 @@ def join(
 
     index = base.where("id is not null").mapInArrow(_index(width, sketch_bits, percent, flags, parts, sent), "bucket int, keys binary, ids binary, sizes binary, " + ", ".join(f"need{k} binary" for k in STEPS))
     shared = stored(index.groupBy("bucket").applyInArrow(_shared_keys, "key long, node long, n long, " + ", ".join(f"need{k} long" for k in STEPS)), "jaccard-index")
-    firsts = classes.where("class = id").select(F.col("id").alias("node")).distinct()
-    shared = stored(shared.join(firsts, "node", "left_semi").distinct(), "jaccard-index")
+    # a signature of one set alone, in several rows, makes no pair
+    shared = stored(shared.distinct(), "jaccard-index")
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    texts = base.where("id is not null").select(F.col("id").alias("node"), "text")
+    texts = base.where("id is not null").select("text")
 
     # a pair that is similar enough shares all but a part of a prefix, that of the set whose
     # prefix ends first, and so at least as many signatures as one of the two sets keeps at
@@ -389,12 +395,18 @@ def join(
         return out
 
     links = verified(met.where(F.col("k") >= F.least(need("a"), need("b"))), texts, width, percent)
-    found = components(links)
-
-    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
-    degrees = ends.groupBy("class").agg(F.count("*").alias("n_links"))
-    out = classes.join(found.withColumnRenamed("node", "class"), "class", "left").join(degrees, "class", "left")
+    # components are of ids: all ids of a class, all texts of an id, and linked classes are tied
+    of_node = classes.where("class is not null").select("node", "class").distinct()
+    member = lambda end: of_node.select(F.col("node").alias(end), F.col("class").alias(f"c{end}"))
+    ties = links.join(member("a"), "a").join(member("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    ties = ties.unionByName(classes.where("class is not null and id is not null").select(F.col("id").alias("a"), F.col("class").alias("b")))
+    found = components(ties)
+
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    out = classes.join(found.withColumnRenamed("node", "id"), "id", "left").join(degrees, "node", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("class_id"),
-        F.coalesce("component", "class", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )

@@ -280,6 +280,18 @@ def test_jaccard_join_counts_all_links(spark, bits):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+@pytest.mark.parametrize("near", [0, 1])
+def test_jaccard_join_keeps_both_texts_of_an_id(spark, near):
+    one, two = (" ".join(f"{g}{j}" for j in range(60)) for g in "ab")
+    table = [(1, one, *[None] * 5), (1, two, *[None] * 5), (2, (one, two)[near] + " tail", *[None] * 5), (3, (two, one)[near] + " end", *[None] * 5), *rows()]
+    table = [r if k < 4 or r[0] is None else (r[0] + 10, *r[1:]) for k, r in enumerate(table)]
+    got = jaccard_join.join(spark.createDataFrame(table, SCHEMA)).collect()
+    want = brute_components(table)
+    assert len(got) == len(table) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    assert all(r.component_id == want.get(r.doc_id) for r in got)
+    assert sorted(r.n_links for r in got if r.doc_id in (1, 2, 3)) == [1, 1, 1, 1]
+
+
 def test_linked_sets_share_a_signature_whatever_is_frequent():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 4, 7, 20, 61, 200, 555):
