@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, and a word: the longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +40,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back.
 
     Cuts the lineage: a lost executor costs no more than the tasks that read the table.
+    The shuffle files of the job that wrote it go at its end, not when the driver happens to
+    collect its garbage.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gone(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        if files := table.inputFiles():
+            dropped(table.sparkSession, os.path.dirname(files[0]))
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -52,11 +67,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table made by :func:`stored`."""
-    return os.path.dirname(df.inputFiles()[0])
-
-
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null counts as no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -246,9 +246,10 @@ def brute_components(table):
 
 @pytest.mark.parametrize("bits", [8, 20])
 def test_jaccard_join(spark, docs, empty, bits):
-    table = [r for r in rows() if r[0] != 5 or r[1] != "other text of a repeated id"]
-    got = jaccard_join.join(spark.createDataFrame(table, SCHEMA), sketch_bits=bits).collect()
+    table = rows()
+    got = jaccard_join.join(docs, sketch_bits=bits, carry=("size", "id")).collect()
     want = brute_components(table)
+    assert sum(r["size"] == "clash" for r in got) == sum(r[5] == "clash" for r in table)
     assert len(got) == len(table)
     assert all(r.component_id == want.get(r.doc_id) for r in got)
     if bits == 20:
