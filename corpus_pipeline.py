@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from loomgraph.llm.queries import tokenizer_json
-from loomgraph.llm.shared import SPACE, stored, text_crc
+from loomgraph.llm.shared import SPACE, WORD, stored, text_crc
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,21 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similar documents."""
-    linked = jaccard_join.join(docs)
-    gone = linked.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of similar texts the document with the smallest id stays.
+
+    Rows are known by id and text: an id with a second, different text loses only the text
+    that is similar to an earlier one. Of rows of one id in one group the one with the
+    smallest text hash stays, of fully equal rows one. Rows without id or words are in no
+    group and all stay, as do all columns, whatever their names.
+    """
+    rows = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("crc"), F.struct("*").alias("row"))
+    linked = jaccard_join.join(rows, carry=("crc",)).where("doc_id is not null and n_shingles > 0")
+    linked = stored(linked.select("doc_id", "crc", "group_id"), "near-groups")
+    stays = linked.where("doc_id = group_id").groupBy("doc_id").agg(F.min("crc").alias("crc"))
+    single = F.col("doc_id").isNull() | (F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))) == 0)
+    alone = rows.where(single).select("row.*")
+    first = rows.where(~single).join(stays, ["doc_id", "crc"], "left_semi")
+    return first.dropDuplicates(["doc_id", "crc"]).select("row.*").unionByName(alone)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
