@@ -540,7 +540,7 @@ def join(
     spark = docs.sparkSession
     base = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     made = [("n", T.LongType()), ("node", T.LongType()), ("short", T.BinaryType()), ("part", T.IntegerType()), ("counts", T.BinaryType())]
-    shape = T.StructType([*[T.StructField(*c) for c in made], *base.schema.fields[1:]])
+    shape = T.StructType([*[T.StructField(*c) for c in made], *[T.StructField(f.name, f.dataType) for f in base.schema.fields[1:]]])  # all may be null
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     survey = stored(base.mapInArrow(_survey(width, sketch_bits, 64, to_arrow_schema(shape)), shape), "jaccard-survey")
     rows = survey.where("part is null").drop("short", "part", "counts")
