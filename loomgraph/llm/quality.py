@@ -14,6 +14,9 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Pseudo-counts per bucket that pull the trusted distribution towards the raw one.
 PRIOR = 10
+#: The least ratio of a document that is kept. Of the labelled rows of sf0.1 that pass the base
+#: rules it keeps 3301 of 3302 good ones and 5 of 301 bad ones (-0.06: all, and 18).
+THRESHOLD = -0.04
 
 
 def text_of(text: Column) -> Column:
@@ -81,9 +84,10 @@ def ratio_weights(
     """
     ids = trusted.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
     # at most max_trusted ids
-    marked = docs.join(F.broadcast(ids), docs[id_col] == F.col("_id"), "left").select(F.col(text_col), F.col("_id").isNotNull().cast("long").alias("good"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    marked = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id"), "left").select("_text", F.col("_id").isNotNull().cast("long").alias("good"))
     counted = (
-        with_hashes(marked, text_col)
+        with_hashes(marked, "_text")
         .select("good", F.explode(F.concat("_h1", "_h2")).alias("h"))
         .groupBy(F.pmod("h", F.lit(n_buckets)).alias("b"))
         .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
@@ -116,7 +120,7 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     n_buckets: int = 8192,
-    threshold: float = -0.06,
+    threshold: float = THRESHOLD,
     max_trusted: int = 100_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -130,22 +134,23 @@ def judge(
     is a fixed parameter: the verdict of a document depends on no other setting.
 
     With no trusted row the ratio says nothing and the base rules decide. Null and empty
-    texts have no words and fail; repeated rows are judged one by one; ``carry`` names
-    columns to be kept. One row per input row.
+    texts have no words and fail; a null id is trusted by none; repeated rows are judged one by
+    one, so there are no ties; very long texts are judged whole, in the memory of one task;
+    ``carry`` names columns to be kept, and columns of any other name are not read. One row
+    per input row.
     """
     weights = ratio_weights(docs, trusted, n_buckets, max_trusted, id_col, text_col)
-    named = docs.select(id_col, *carry, F.col(text_col).alias("_text"))
+    kept_with = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.lit(None)
+    named = docs.select(F.col(id_col).alias("_doc"), kept_with.alias("_carry"), F.col(text_col).alias("_text"))
     scored = with_hashes(named, "_text")
     for name, value in base_features(F.col("_text")).items():
         scored = scored.withColumn(name, value)
     scored = with_repeats(scored.withColumn("score", likelihood_ratio(weights)))
     scored = scored.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    kept = ~failed & (F.col("score") >= threshold)
-    # always true, but not deterministic: a filter on the verdict stays above this
+    found = {name: F.col(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")}
+    found |= {"base_failed": failed, "kept": ~failed & (F.col("score") >= threshold)}
+    # always true, but not deterministic: a filter on any of these stays above this
     # projection, instead of being pushed down with the whole expression written out in it
-    kept = F.when(F.monotonically_increasing_id() >= 0, kept)
-    return scored.select(
-        id_col, *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
-        failed.alias("base_failed"), kept.alias("kept"),
-    )
+    held = [F.when(F.monotonically_increasing_id() >= 0, value).alias(name) for name, value in found.items()]
+    return scored.select(F.col("_doc").alias(id_col), *[F.col(f"_carry.c{k}").alias(c) for k, c in enumerate(carry)], *held)
