@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,6 +59,16 @@ def layout(docs: DataFrame, sizes: DataFrame, seed: int, cell_words: int) -> Dat
     return placed.join(sums, ["source_no", "cell"]).withColumn("start", F.col("cell_start") + F.col("before"))
 
 
+def point_of(slot: Column) -> Column:
+    """``slot`` times the golden ratio, modulo 1, in units of 1 / POINTS.
+
+    The factor is multiplied by halves, so no product leaves 64 bits however large the slot.
+    """
+    low = F.pmod(slot, F.lit(POINTS))
+    high = F.pmod(low * F.lit(GOLDEN >> 16), F.lit(1 << 16)) * F.lit(1 << 16)
+    return F.pmod(high + low * F.lit(GOLDEN & 0xFFFF) + F.lit(POINTS // 2), F.lit(POINTS))
+
+
 def schedule(sizes: DataFrame, slots: int) -> DataFrame:
     """Slots of the mix with source and rank: ``(source_no, block)``.
 
@@ -75,9 +85,7 @@ def schedule(sizes: DataFrame, slots: int) -> DataFrame:
         F.floor(F.try_divide(upto - F.col("target"), total) * POINTS).alias("low"),
         F.floor(F.try_divide(upto, total) * POINTS).alias("high"),
     ).where("high > low")
-    points = spark.range(slots).select(
-        F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN + POINTS // 2, F.lit(POINTS)).alias("point")
-    )
+    points = spark.range(slots).select(F.col("id").alias("slot"), point_of(F.col("id")).alias("point"))
     # met by stretches of the point range, so that neither side is sent to every task
     part = POINTS // 1024
     edges = edges.withColumn("part", F.explode(F.expr(f"sequence(low div {part}, (high - 1) div {part})")))
@@ -115,7 +123,8 @@ def mix(
     Returns ``id_col, size, source_size, target, taken, text_crc32``, one row per input row;
     size counts words, a null text has none. A null source is a source of its own,
     last in order; sources without words have target 0; repeated rows are separate;
-    reruns agree, since hashes of id and text fix every order.
+    reruns agree, since hashes of id and text fix every order. Very long texts count whole
+    and may lie in many blocks; other columns are not read, so their names may be any.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(
