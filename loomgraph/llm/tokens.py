@@ -32,7 +32,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.marked = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {"": b""}
@@ -53,7 +54,10 @@ class ChunkEncoder:
         return chunk[:1] != " " or (len(chunk) > 1 and not chunk[1].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text. One that holds the string of an added token, which the tokenizer
+        looks for before it cuts, is encoded as a whole."""
+        if self.marked and any(map(self.marked.search, texts)):
+            return [self.whole(t) if self.marked.search(t) else self.encode([t])[0] for t in texts]
         known, cut = self.known, [self.chunks(t) for t in texts]
         missing = set().union(*cut).difference(known)
         if missing and self.keeps_space:
@@ -76,6 +80,9 @@ class ChunkEncoder:
                     del known[chunk]
         return found
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
     def learn(self, missing: set[str]) -> None:
         """Encodes chunks. A mark at the end of a letter is always a piece of its own, so
         the chunk without it, often known or wanted too, is encoded instead."""
