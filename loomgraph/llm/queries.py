@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, jaccard_join, language_model, mixing, packing, quality, sharding, suffix_dedup, token_files, url_filter
 
-#: Host and path rules, and words in hosts whose pages the list names.
-RULES = [
-    ("net", "/", "block"),
-    ("example.net", "/en/", "allow"),
-    ("example.com", "/de/", "block"),
-    ("org", "/fr/", "allow"),
-]
-LISTED_HOSTS = r"(casino-win|cheap-pills|free-bets)\."
+#: Host and path rules, and the list: whole sites by name, with and without a blog.
+RULES = """VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)"""
+LISTED_SITES = """
+    SELECT prefix || name || '.example.' || top AS url
+    FROM VALUES ('casino-win'), ('cheap-pills'), ('free-bets'), ('ads-track'), ('spam-farm'), ('adult-x') AS names(name)
+    LATERAL VIEW explode(array('com', 'net', 'org')) tops AS top LATERAL VIEW explode(array('', 'blog.')) prefixes AS prefix"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +45,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_part(F.col("url"))
-    listed = pages.where(host.rlike(LISTED_HOSTS)).select(url_filter.canonical(host, path).alias("url"))
-    return url_filter.filter_urls(pages, rules, listed).drop("listed")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {RULES}"), spark.sql(LISTED_SITES)).drop("listed")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +82,15 @@ ORACLES = {
             FROM pages),
         rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
                                   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-        named AS (
-            SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') AS name FROM parts),
+        sites(site) AS (
+            SELECT prefix || name || '.example.' || top
+            FROM (VALUES ('casino-win'), ('cheap-pills'), ('free-bets'), ('ads-track'), ('spam-farm'), ('adult-x')) n(name),
+                 (VALUES ('com'), ('net'), ('org')) t(top), (VALUES (''), ('blog.')) p(prefix)),
+        named AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') AS name FROM parts),
         best AS (
             SELECT *, (SELECT max_by({'rule': h || p, 'v': v}, length(h || p)) FROM rules
                        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r,
-                   name IN (SELECT name FROM named WHERE regexp_matches(host, '(casino-win|cheap-pills|free-bets)\.')) AS hit
+                   name IN (SELECT site FROM sites) AS hit
             FROM named)
         SELECT page_id, host, path, r.rule AS rule,
                coalesce(r.v, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words (of 64 bits) of a filter that is held as a literal in each task: 1 MB.
 HELD_WORDS = 2**17
@@ -44,10 +46,6 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def _rule_key(start: Column, end: Column):
-    return lambda suffix: F.concat(start, suffix, end)
-
-
 class BlockedBloom:
     """A Bloom filter whose probes of one key all fall into one 64-bit word."""
 
@@ -93,45 +91,46 @@ def filter_urls(
 
     ``rules(host, path, verdict)``: a rule fits its host and all subdomains where the
     url's path starts with the rule's. ``listed(url)``: canonical URLs (see
-    :func:`canonical`, without scheme) to be blocked.
+    :func:`canonical`, without scheme) to be blocked; one without a path lists its whole host.
 
-    A page's keys are its canonical URL and, for every suffix of its host and every
-    length that rule paths have, a rule key. The blocked Bloom filter lets possible hits
+    A page's keys are its canonical URL, its canonical host and, for every number of labels
+    that rule hosts have and every length of their paths, a rule key: as many keys as the
+    rules have shapes, however long the url. The blocked Bloom filter lets possible hits
     pass to an equi-join with the exact keys, which removes false positives.
 
     Returns ``id_col, host, path, rule, listed, verdict``, one row per input row. A null
     url, or one without ``://``, has empty host and path, no rule and ``allow``. An
-    empty rule table or list is allowed; a null in either is ignored.
+    empty rule table or list is allowed; a null in either is ignored; of two rules with one
+    host and path one counts. Repeated rows and ids are judged one by one; very long urls cost
+    their length once for each shape; other columns are not read, so their names may be any.
     """
     mark = F.lit("\x00")
     entry = F.concat("host", "path")
     rule_keys = rules.where("host is not null and path is not null").select(
         F.concat(F.lit("rule"), mark, entry).alias("key"), entry.alias("rule"), "verdict",
-        F.length("path").alias("reach"),
+        F.length("path").alias("reach"), F.size(F.split("host", r"\.")).alias("labels"),
     ).dropDuplicates(["key"])
     list_keys = listed.where("url is not null").select(
         F.concat(F.lit("list"), mark, "url").alias("key"), F.lit(None).cast("string").alias("rule"),
         F.lit("block").alias("verdict"),
     ).distinct()
-    reaches = [r[0] for r in rule_keys.select("reach").distinct().orderBy("reach").collect()]
-    exact = rule_keys.drop("reach").unionByName(list_keys)
+    shapes = rule_keys.select("labels", "reach").distinct().orderBy("labels", "reach").collect()  # of rules, few
+    exact = rule_keys.drop("reach", "labels").unionByName(list_keys)
     bloom = BlockedBloom(exact, held_words=held_words)
 
     parts = pages.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col),
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
         host_of(F.col(url_col)).alias("host"), path_part(F.col(url_col)).alias("path"),
     )
+    parts = stored(parts, "url-parts")  # row numbers have to stay
     labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))),
-    )
-    named = [F.array(F.concat(F.lit("list"), mark, canonical(F.col("host"), F.col("path"))))]
-    for reach in reaches:
-        key = _rule_key(F.concat(F.lit("rule"), mark), F.substring("path", 1, reach))
-        fitting = F.transform(suffixes, key)
-        named.append(F.when(F.length("path") >= reach, fitting).otherwise(F.array().cast("array<string>")))
-    parts = parts.withColumn("keys", F.when(F.col("host") != "", F.concat(*named)).otherwise(F.array().cast("array<string>")))
+    named = [F.concat(F.lit("list"), mark, canonical(F.col("host"), x)) for x in (F.col("path"), F.lit(""))]
+    for n, reach in shapes:
+        suffix = F.concat_ws(".", F.slice(labels, -n, n))
+        fits = (F.size(labels) >= n) & (F.length("path") >= reach)
+        named.append(F.when(fits, F.concat(F.lit("rule"), mark, suffix, F.substring("path", 1, reach))))
+    keys = F.array_compact(F.array_distinct(F.array(*named)))
+    parts = parts.withColumn("keys", F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>")))
     if bloom.literal is not None:
         parts = parts.withColumn("keys", F.filter("keys", bloom.may_hold))
         hits = parts.select("*", F.explode_outer("keys").alias("key")).drop("keys")
@@ -141,11 +140,11 @@ def filter_urls(
         possible = bloom.passing(hits.select("_row", "key")).join(exact, "key")
         judged = hits.join(possible, ["_row", "key"], "left")
     by_rule = F.col("rule").isNotNull()
-    best = judged.groupBy("_row", id_col, "host", "path").agg(
+    best = judged.groupBy("_row", "_id", "host", "path").agg(
         F.max(F.when(by_rule, F.struct(F.length("rule"), "rule", "verdict"))).alias("best"),
         F.coalesce(F.bool_or(~by_rule & F.col("verdict").isNotNull()), F.lit(False)).alias("listed"),
     )
     return best.select(
-        id_col, "host", "path", F.col("best.rule").alias("rule"), "listed",
+        F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), "listed",
         F.coalesce("best.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
     )
