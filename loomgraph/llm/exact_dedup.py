@@ -17,6 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 FILTER_BITS, FILTER_PROBES = 10, 4
 #: The largest filter of hits that is sent to every task; beyond it all texts are shuffled.
 HELD_FILTER_BYTES = 16 << 20
+#: Rows for each digest range, at most: a task compacts one range.
+BUCKET_ROWS = 2_000_000
 
 
 def normalised(text: bytes) -> bytes:
@@ -51,6 +53,11 @@ def heads_of(keys: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(k[:8].ljust(8, b"\0"), "big") for k in keys], np.uint64)
 
 
+def _heads(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(heads_of(batch.column(0).to_pylist()).view(np.int64))], ["head"])
+
+
 def _digests(key_bytes: int, with_text: bool, held: tuple[bytes, int] | None):
     """A map of batches (id, text) to (id, n_cp, sha, key) or, for hits, with the text."""
 
@@ -171,7 +178,7 @@ def dedup(
     shape = f"id {sql_type}, n_cp long, sha string, key binary"
     rows = base.mapInArrow(_digests(key_bytes, False, None), shape)
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "dedup-digests")
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS)
     fill, schema = _memtables(id_type, n_buckets, memtable_rows)
     runs = rows.select("id", "n_cp", "key", "rid").mapInArrow(fill, "bucket int, run binary, filter binary, bits long")
     index = stored(
@@ -184,7 +191,8 @@ def dedup(
     n_hits = hits.count()
     if n_hits * FILTER_BITS <= 8 * HELD_FILTER_BYTES:
         n_bits = max(64, FILTER_BITS * n_hits)
-        packed = filter_of(heads_of([bytes(r[0]) for r in hits.select("key").toLocalIterator()]), n_bits)  # bounded above
+        heads = hits.select("key").mapInArrow(_heads, "head long").toArrow()["head"].to_numpy()  # bounded above
+        packed = filter_of(heads.view(np.uint64), n_bits)
         held = (packed.tobytes(), n_bits)
     texts = base.mapInArrow(_digests(key_bytes, True, held), shape + ", norm binary")
     texts = stored(texts.join(hits.select("key", "keep_id", "keep_cp"), "key"), "dedup-hits")
