@@ -81,7 +81,9 @@ def shard(
 
     Returns ``id_col, size, text_crc32, shard, slot``: size is UTF-8 bytes plus 8 (a null
     text has 0 bytes), slots are gapless from 0 in each shard. Repeated rows and ids are
-    separate rows; an empty table gives no rows; other columns are not carried.
+    separate rows, and rows that tie in all columns are told apart by their place in the
+    table; an empty table gives no rows; a very long text is a large unit; other columns are
+    not read, so their names may be any.
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)))
@@ -90,9 +92,9 @@ def shard(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
             text_crc(F.col(text_col)).alias("crc"),
-            key.alias("key"),
+            key.alias("key"), F.monotonically_increasing_id().alias("row"),
         ),
-        "shard-rows",
+        "shard-rows",  # row numbers have to stay
     )
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     if not count:
@@ -102,16 +104,20 @@ def shard(
         )
     per_unit = max(64, -(-count // 2**13))
     cell = F.pmod(F.col("key"), F.lit(cells)).cast("int")
-    order = W.partitionBy("cell").orderBy("key", "id", "size", "crc")
-    rows = rows.withColumn("cell", cell).withColumn("rank", F.row_number().over(order) - 1)
-    rows = rows.withColumn("sub", F.expr(f"cast(rank div {per_unit} as int)"))
+    rows = rows.withColumn("cell", cell)
+    # a row per cell; a cell with more than one unit deals its rows out by number
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / per_unit).alias("units"))
+    rows = rows.join(F.broadcast(counts), "cell")
+    rows = rows.withColumn("sub", F.when(F.col("units") > 1, F.pmod(F.xxhash64("row"), F.col("units"))).otherwise(0).cast("int"))
+    order = W.partitionBy("cell", "sub").orderBy("key", "id", "size", "crc", "row")
+    rows = rows.withColumn("rank", F.row_number().over(order) - 1).drop("units")
     units = rows.groupBy("cell", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     placed = assign_units(units, ring(spark, n_shards, vnodes, cells), n_shards, -(-total // n_shards))
     along = W.partitionBy("shard").orderBy("cell", "sub")
     placed = placed.withColumn("base", F.sum("n").over(along) - F.col("n"))
     # at most cells + 2**13 rows of five numbers
     found = rows.join(F.broadcast(placed.select("cell", "sub", "shard", "base")), ["cell", "sub"])
-    slot = F.col("base") + F.col("rank") % per_unit
+    slot = F.col("base") + F.col("rank")
     return found.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", slot.cast("long").alias("slot")
     )
