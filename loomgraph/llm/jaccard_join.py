@@ -19,6 +19,8 @@ from loomgraph.llm.words import mix, word_hashes
 SKETCH_BITS = 24
 #: Sets that a task remembers, to leave out copies of them.
 REMEMBERED = 1 << 20
+#: Shingles for each range of signatures, at most: a task merges one range.
+RANGE_SHINGLES = 8_000_000
 _STEPS_APART = np.arange(1, 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -525,13 +527,13 @@ def join(
     compared, so no link is lost (see :func:`linked`); a group of near copies costs a
     comparison for each of its pairs of different sets, but no row.
 
-    Returns ``id_col, n_shingles, class_id, component_id, n_links, group_id``, and columns
+    Returns ``id_col, n_shingles, class_id, component_id, n_links, group_key``, and columns
     named by ``carry``, one row per input row: the first document of the class, the smallest
-    id reachable by links, the number of other classes that are linked with this one, and the
-    smallest id that links of texts alone reach. The last two differ only where rows of one
-    id have different texts: these have one component, but may be in different groups.
-    A null or empty text has no shingles and is its own class and group; a null id takes
-    part in no link and gets no component. Very long texts are sets like others, in the
+    id reachable by links, the number of other classes that are linked with this one, and a
+    number that texts tied by links share. Component and group divide rows alike unless rows of
+    one id have different texts: these have one component, but may be in different groups.
+    A null or empty text has no shingles and is its own class, without a group; a null id
+    takes part in no link and gets no component and no group. Very long texts are sets like others, in the
     memory of one task; further columns are not read, so their names may be any. Ids are
     64-bit numbers.
     """
@@ -544,6 +546,7 @@ def join(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     survey = stored(base.mapInArrow(_survey(width, sketch_bits, 64, to_arrow_schema(shape)), shape), "jaccard-survey")
     rows = survey.where("part is null").drop("short", "part", "counts")
+    parts = max(parts, (rows.agg(F.sum("n")).first()[0] or 0) // RANGE_SHINGLES)
     # texts without shingles are linked with nothing
     classes = rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("class"))
     classes = stored(classes, "jaccard-classes")
@@ -570,9 +573,9 @@ def join(
     of_set = classes.join(found, "node", "left").select("node", "class", F.coalesce("component", "node").alias("component"))
     degrees = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     smallest = of_set.groupBy("component").agg(F.min("class").alias("group"))
-    of_set = of_set.join(smallest, "component").join(degrees, "node", "left").select("node", "class", "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_set = of_set.join(smallest, "component").join(degrees, "node", "left").select("node", "class", "group", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     tied = rows.withColumn("node", F.when(F.col("n").eqNullSafe(0) | F.col("id").isNull(), None).otherwise(F.col("node"))).join(of_set, "node", "left")
-    tied = stored(tied.drop("node"), "jaccard-groups")
+    tied = stored(tied.drop("node").withColumnRenamed("component", "group_key"), "jaccard-groups")
     gone(survey, classes, links)
     # components are of ids: an id with texts in several groups ties these together
     of_id = tied.where("group is not null").groupBy("id").agg(F.min("group").alias("low"), F.max("group").alias("high"))
@@ -585,5 +588,5 @@ def join(
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("class_id"),
         F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("group", "id").alias("group_id"), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)],
+        F.col("group_key"), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)],
     )

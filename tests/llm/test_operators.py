@@ -72,7 +72,7 @@ def test_a_new_shard_moves_a_limited_part(spark):
     a = sharding.shard(many, 10).select("doc_id", F.col("shard").alias("a"))
     b = sharding.shard(many, 11).select("doc_id", F.col("shard").alias("b"))
     moved = a.join(b, "doc_id").where("a <> b").count()
-    assert moved < 0.45 * 3000
+    assert moved < 2.5 * 3000 / 11
 
 
 def test_one_id_on_a_third_of_all_rows_is_split(spark):
@@ -394,11 +394,10 @@ def encoded(name, end, table):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for _, x, *_ in table]
 
 
-ODD = ["", " ", "  ", "a  b", "\n\n a \n b  \n", "x\t y", " lead", "trail\n", "it's. we'll, 12. 3, é. ß!", "日本。 x", "<|endoftext|> z", "a .b ., c", "İ. Σ. K.", "a  b 　c"]
+ODD = ["", " ", "  ", "a  b", "\n\n a \n b  \n", "x\t y", " lead", "trail\n", "it's. we'll, 12. 3, é. ß!", "日本。 x", "<|endoftext|> z", "a <|ENDOFTEXT|>b<|endoftext|>", "x [UNK]. [PAD]", "a .b ., c", "İ. Σ. K.", "a  b 　c"]
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -477,7 +476,7 @@ def test_quality(spark, docs, empty):
     assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed and r.score >= -0.06)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
     assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 12 and not r.base_failed)
     assert quality.judge(empty, trusted).count() == 0
     assert all(r.score == 0 for r in quality.judge(docs, trusted.limit(0)).collect())
@@ -490,3 +489,98 @@ def test_the_ratio_tells_junk_from_trusted_text(spark):
     got = quality.judge(both, spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long"), n_buckets=64).collect()
     scores = {r.doc_id: r.score for r in got}
     assert min(scores[i] for i in range(40)) > max(scores[100 + i] for i in range(1, 10))
+
+
+def test_a_stretch_of_one_byte_is_one_entry():
+    dashes = "-" * 300_000
+    group = pa.table({"id": [1, 2], "text": ["a " + dashes, dashes + " z"], "block": [0, 0]})
+    hashes = np.unique(np.concatenate([h for *_, h, _ in suffix_dedup.block_anchors(*suffix_dedup._ordered(group), 50)]))
+    found = list(suffix_dedup.block_contexts(group, hashes, 50))
+    assert len(found) < 1000 and sum(1 + more for _, _, _, more, _, _ in found) > 590_000
+    keys, ids, where = suffix_dedup.block_runs(found)
+    assert keys == sorted(set(keys)) and len(ids) == len(keys) and (np.diff(where[0]) >= 0).all()
+
+
+def test_suffix_dedup_of_dashes(spark):
+    table = [(1, "x" * 20_000), (2, "y" + "x" * 20_000 + "z"), (3, "x" * 49), (4, "x" * 50 + "-" * 60), (5, "-" * 59 + "x" * 51)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), least_blocks=3).collect()}
+    assert got == {1: (0, 0), 2: (20_000, 1), 3: (0, 0), 4: (50, 1), 5: (110, 1)}
+
+
+# ---- limits, names and hot keys ----------------------------------------------------------
+
+INTERNAL = ["_id", "_doc", "_text", "_h1", "_h2", "_row", "_sha", "_n", "_crc", "_copies", "_copy", "n", "node", "key", "crc", "row", "block", "cell", "source_no", "carry_0", "keys", "host", "path", "rid"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.drop("size", "id").select("*", *[F.lit("keep").alias(c) for c in [*INTERNAL, "size", "id"]])
+
+
+@pytest.mark.parametrize("name", ["shard", "score", "mix", "join", "dedup", "judge", "repeats"])
+def test_other_columns_may_have_any_name(spark, docs, clashing, name):
+    trusted = spark.createDataFrame([(i,) for i in range(8)], "doc_id long")
+    run = {
+        "shard": lambda d: sharding.shard(d, 4).drop("slot", "shard"), "score": language_model.score, "mix": lambda d: mixing.mix(d, least_slots=64),
+        "join": jaccard_join.join, "dedup": exact_dedup.dedup, "judge": lambda d: quality.judge(d, trusted), "repeats": suffix_dedup.remove_repeats,
+    }[name]
+    assert collections.Counter(map(tuple, run(clashing).collect())) == collections.Counter(map(tuple, run(docs).collect()))
+
+
+def test_points_of_slots_beyond_32_bits(spark):
+    slots = [0, 1, 5, 4_000_000_000, 2**40 + 12345, 2**62]
+    got = [r.p for r in spark.createDataFrame([(s,) for s in slots], "s long").select(mixing.point_of(F.col("s")).alias("p")).collect()]
+    assert got == [(s * mixing.GOLDEN + mixing.POINTS // 2) % mixing.POINTS for s in slots]
+
+
+def test_counts_beyond_32_bits():
+    keys, counts = language_model.summed(np.array([7, 7, 7, 9], np.uint64), np.array([2**31] * 3 + [1], np.int64))
+    assert keys.tolist() == [7, 9] and counts.tolist() == [3 * 2**31, 1]
+    assert len(language_model.count_bytes(counts)) == 16 and len(language_model.count_bytes(counts[1:])) == 4
+
+
+def test_long_urls_cost_their_length_once(spark):
+    long = "http://" + ".".join(["a"] * 20_000) + ".example.net/en/x"
+    pages = spark.createDataFrame([(1, long), (2, "http://no.such/")], "page_id long, url string")
+    rules = spark.createDataFrame([("example.net", "/en/", "block")], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("no.such",)], "url string")
+    got = {r.page_id: (r.rule, r.listed, r.verdict) for r in url_filter.filter_urls(pages, rules, listed).collect()}
+    assert got == {1: ("example.net/en/", False, "block"), 2: (None, True, "block")}
+
+
+def test_the_filter_lets_few_others_pass_and_the_join_none(spark):
+    listed = spark.range(3000).select(F.concat(F.lit("listed.org/"), F.col("id")).alias("url"))
+    bloom = url_filter.BlockedBloom(listed.select(F.col("url").alias("key")))
+    others = spark.range(20_000).select(F.concat(F.lit("other.org/"), F.col("id")).alias("key"))
+    false_hits = bloom.passing(others).count()
+    assert 0 < false_hits < 0.05 * 20_000 and bloom.passing(listed.select(F.col("url").alias("key"))).count() == 3000
+    pages = others.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "key").alias("url"))
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    assert url_filter.filter_urls(pages, rules, listed).where("verdict = 'block'").count() == 0
+
+
+@pytest.mark.parametrize("module", [exact_dedup, jaccard_join])
+def test_filters_too_large_to_be_held_change_nothing(docs, monkeypatch, module):
+    run = exact_dedup.dedup if module is exact_dedup else jaccard_join.join
+    want = collections.Counter(map(tuple, run(docs).collect()))
+    monkeypatch.setattr(module, "HELD_FILTER_BYTES", 0)
+    assert collections.Counter(map(tuple, run(docs).collect())) == want
+
+
+def test_a_filter_on_a_quality_column_stays_above(spark, docs):
+    got = quality.judge(docs, spark.createDataFrame([], "doc_id long")).where("not base_failed").select("doc_id")
+    assert "Filter" in got._jdf.queryExecution().optimizedPlan().toString().split("Project")[0] or got.count() > 0
+
+
+def test_links_within_and_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    table = []
+    for group in range(4):
+        words_ = [f"h{group}w{j}" for j in range(80)]
+        for i in range(25):
+            changed = [f"{w}c{i}" if j in set(rng.integers(0, 80, i % 5).tolist()) else w for j, w in enumerate(words_)]
+            table.append((100 * (group + 1) + i, " ".join(changed), "en", "s0", 0, None, None))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400)  # a few sets a block
+    got = jaccard_join.join(spark.createDataFrame(table, SCHEMA)).collect()
+    assert {r.doc_id: r.n_links for r in got} == brute_links(table)
+    assert {r.doc_id: r.component_id for r in got} == brute_components(table)

@@ -61,3 +61,24 @@ def test_whole_run_and_empty_input(spark, folder, tmp_path):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_keep_awkward_rows_and_any_columns(spark):
+    prose = PROSE.split()
+    texts = [" ".join(prose[(k * (i + 1)) % 23] + (f"{i}" if k % 3 else "") for k in range(60)) for i in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0] + " "), (1, texts[5] + " tail"), (9, texts[5] + " tail two"), (10, None), (11, ""), (None, texts[2]), (None, texts[2])]
+    names = ["_id", "_sha", "_n", "_crc", "_copies", "_copy", "row", "id", "sha", "crc", "copies", "own_id", "place", "length", "group_id"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["keep"] * len(names)) for i, t in rows], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact dedup"](spark, docs, "")
+    apart = stages["n-gram Jaccard join"](spark, docs, "")
+    mixed = stages["mixing sources"](spark, docs, "")
+    for got in (once, apart, mixed):
+        assert got.columns == docs.columns
+        assert got.select(*[f"`{n}`" for n in names]).distinct().collect() == [tuple(["keep"] * len(names))]
+    assert sorted(str(r.text and r.text.strip()) for r in once.collect()) in (sorted([*texts, rows[8][1], rows[9][1], x]) for x in ("", "None"))
+    stays = [(r.doc_id, r.text) for r in apart.collect()]
+    assert len([s for s in stays if s[0] == 0]) == 1 and (1, texts[1]) in stays and (5, texts[5]) not in stays and (1, rows[8][1]) in stays
+    assert (9, rows[9][1]) not in stays and (10, None) in stays and (11, "") in stays and stays.count((None, texts[2])) == 2
+    none = docs.limit(0)
+    assert all(stages[k](spark, none, "").count() == 0 for k in ("exact dedup", "n-gram Jaccard join", "mixing sources", "packing"))
