@@ -16,24 +16,28 @@ from loomgraph.llm.shared import SPACE, WORD, stored, text_crc
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio.
+
+    Each row is judged on its own, repeated rows and ids too; null and empty texts go;
+    columns may have any name.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     return quality.judge(rows, trusted, carry=("_row",)).where("kept").select("_row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal texts.
+    """The row that stays of each group of equal texts: the longest, then the smallest id.
 
     Rows of one id and one normalised text are told apart by length and, if fully equal,
-    by nothing: one of them stays.
+    by nothing: one of them stays. Null and empty texts are equal; columns may have any name.
     """
-    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", ""), 256)
-    named = docs.withColumn("_sha", sha).withColumn("_id", F.col("doc_id"))
-    found = named.join(kept, named["_id"].eqNullSafe(kept["_id"]) & (named["_sha"] == kept["_sha"]), "left_semi")
-    same = W.partitionBy("_id", "_sha").orderBy(F.desc(F.length("text")))
-    return found.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+    rows = docs.select(F.col("doc_id").alias("own_id"), sha.alias("own_sha"), F.coalesce(F.length("text"), F.lit(0)).alias("length"), F.struct("*").alias("row"))
+    found = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
+    same = W.partitionBy("own_id", "own_sha").orderBy(F.desc("length"))
+    return found.withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group and all stay, as do all columns, whatever their names.
     """
     rows = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("crc"), F.struct("*").alias("row"))
-    linked = jaccard_join.join(rows, carry=("crc",)).where("doc_id is not null and n_shingles > 0")
-    linked = stored(linked.select("doc_id", "crc", "group_id"), "near-groups")
-    stays = linked.where("doc_id = group_id").groupBy("doc_id").agg(F.min("crc").alias("crc"))
+    linked = jaccard_join.join(rows, carry=("crc",)).where("group_key is not null")
+    stays = linked.groupBy("group_key").agg(F.min(F.struct("doc_id", "crc")).alias("first")).select("first.*")
     single = F.col("doc_id").isNull() | (F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))) == 0)
     alone = rows.where(single).select("row.*")
     first = rows.where(~single).join(stays, ["doc_id", "crc"], "left_semi")
@@ -55,17 +58,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
-    mix = mixing.mix(docs).withColumn("_copies", F.round(F.try_divide("taken", "size")).cast("int"))
-    mix = mix.where("_copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
-        F.max("_copies").alias("_copies")
-    )
-    named = docs.withColumn("_crc", text_crc(F.col("text")))
-    found = named.join(mix, named["doc_id"].eqNullSafe(mix["_id"]) & (named["_crc"] == mix["_crc"]))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    """Each document as often as the mix takes its words, to the nearest whole number.
+
+    Texts without words are not taken. Rows of one id and text count once, at the most copies
+    that one of them gets; columns may have any name.
+    """
+    mix = mixing.mix(docs).withColumn("copies", F.round(F.try_divide("taken", "size")).cast("int"))
+    mix = mix.where("copies > 0").groupBy(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id").alias("own_id"), text_crc(F.col("text")).alias("own_crc"), F.struct("*").alias("row"))
+    found = rows.join(mix, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_crc") == F.col("crc")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; a null or empty text is its end id alone, each row a
+    document of its own, other columns are not read."""
     return packing.pack(docs, tokenizer_json("word_bpe_49k.json"))
 
 
