@@ -1,8 +1,8 @@
 """Removal of byte strings repeated from earlier documents, by a distributed suffix sort.
 
 A block of documents sorts suffixes of its own and exchanges them as front-coded runs; the
-tasks that receive the runs of a range merge them with loser trees that use the common
-prefixes they know instead of comparing again. Not every suffix is exchanged: any string
+tasks that receive the runs of a range, between two splitters, merge them with loser trees that
+use the common prefixes they know instead of comparing again. Not every suffix is exchanged: any string
 of the sought length holds an anchor, the smallest of its k-byte hashes, so sorting the
 suffixes at anchors, with the bytes before them, meets every repeated string. A first
 exchange of anchor hashes leaves those that occur in two documents or more, and only their
@@ -12,7 +12,8 @@ suffixes are sent (prefix lengths told apart by fingerprints before strings are
 from __future__ import annotations
 
 import hashlib
-import zlib
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -268,54 +269,97 @@ def _wanted(replies: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def alike(data: np.ndarray, places: np.ndarray, texts: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Whether each place but the first has the context of the place before it, since both lie
+    in a stretch of one byte that reaches beyond their contexts."""
+    change = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1]]))
+    stretch = np.searchsorted(change, places, "right") - 1
+    begin = np.maximum(change[stretch], offsets[texts])
+    end = np.minimum(np.append(change, len(data))[stretch + 1], offsets[texts + 1])
+    inside = (places - (length - ANCHOR) >= begin) & (places + length <= end)
+    return inside[1:] & inside[:-1] & (places[1:] == places[:-1] + 1) & (texts[1:] == texts[:-1])
+
+
 def block_contexts(group: pa.Table, wanted: np.ndarray, length: int):
-    """The block's suffixes at wanted anchors: (document, place, suffix, bytes before)."""
+    """The block's suffixes at wanted anchors: (document, its id, place, how many more places
+    after it have the same context, suffix, bytes before)."""
     ids, column = _ordered(group)
     back = length - ANCHOR
     for low, data, offsets, some, places, _, texts in block_anchors(ids, column, length, wanted):
+        if not len(places):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], ~alike(data, places, texts, offsets, length)]))
+        more = np.diff(np.append(first, len(places))) - 1
+        places, texts = places[first], texts[first]
         raw = data.tobytes()
         begins, ends = offsets[texts], offsets[texts + 1]
         stops, heads = np.minimum(ends, places + length), np.maximum(begins, places - back)
-        rows = (texts, places, places - begins, stops, heads)
-        for text, place, at, stop, head in zip(*(x.tolist() for x in rows), strict=True):
-            yield low + text, some[text], at, raw[place:stop], raw[head:place]
+        rows = (texts, places, places - begins, more, stops, heads)
+        for text, place, at, n, stop, head in zip(*(x.tolist() for x in rows), strict=True):
+            yield low + text, some[text], at, n, raw[place:stop], raw[head:place]
 
 
-def block_runs(contexts, buckets: int) -> tuple[dict[tuple[bytes, bytes], int], dict[int, list[tuple[bytes, bytes]]]]:
-    """Distinct suffixes with the bytes before them and their smallest ids; by range, sorted.
+def block_runs(contexts) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
+    """Distinct suffixes with the bytes before them, sorted; their smallest ids; and where they
+    are: rows (entry, document, place, more places, id), by entry.
 
     A passage is one entry however many of a block's documents hold it.
     """
     found: dict[tuple[bytes, bytes], int] = {}
-    for _, id_, _, suffix, before in contexts:
+    least, where = array("q"), [array("q") for _ in range(5)]
+    for text, id_, place, more, suffix, before in contexts:
         id_ = LAST if id_ is None else id_
-        if id_ < found.get((suffix, before), LAST + 1):
-            found[suffix, before] = id_
-    by_bucket: dict[int, list] = {}
-    for key in sorted(found):
-        by_bucket.setdefault(_range_of(key[0], buckets), []).append(key)
-    return found, by_bucket
-
-
-def _send_runs(length: int, buckets: int):
-    """A block's suffixes at repeated anchors as front-coded sorted runs, one per range."""
-    kind = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("run", pa.binary())])
+        k = found.setdefault((suffix, before), len(found))
+        if k == len(least):
+            least.append(id_)
+        elif id_ < least[k]:
+            least[k] = id_
+        for column, value in zip(where, (k, text, place, more, id_), strict=True):
+            column.append(value)
+    keys = sorted(found)
+    order = np.array([found[k] for k in keys], np.int64)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    rows = np.stack([np.frombuffer(c, np.int64) for c in where]) if len(least) else np.zeros((5, 0), np.int64)
+    rows[0] = rank[rows[0]]
+    return keys, np.frombuffer(least, np.int64)[order] if len(least) else order, rows[:, np.argsort(rows[0], kind="stable")]
+
+
+def _send_runs(length: int, splitters: list[bytes]):
+    """A block's suffixes at repeated anchors as front-coded sorted runs, one per range, and
+    where the block has them."""
+    kind = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("run", pa.binary()), ("own", pa.binary())])
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = [[], [], []]
+        rows = [[], [], [], []]
         if group.num_rows and replies.num_rows:
-            found, by_bucket = block_runs(block_contexts(group, _wanted(replies), length), buckets)
-            for b, keys in by_bucket.items():
-                for c, v in zip(rows, (b, group["block"][0].as_py(), _encode_run(keys, found)), strict=True):
+            keys, ids, where = block_runs(block_contexts(group, _wanted(replies), length))
+            cuts = [0, *[bisect_left(keys, (s, b"")) for s in splitters], len(keys)]
+            places = np.searchsorted(where[0], cuts)
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                low, high = cuts[b], cuts[b + 1]
+                own = where[:, places[b] : places[b + 1]].copy()
+                own[0] -= low
+                for c, v in zip(rows, (b, group["block"][0].as_py(), _encode_run(keys[low:high], ids[low:high]), packed(own.reshape(-1))), strict=True):
                     c.append(v)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
 
     return run
 
 
-def _range_of(suffix: bytes, buckets: int) -> int:
-    """The range of a suffix: by a hash of its anchor, whose suffixes stay together."""
-    return zlib.crc32(suffix[:ANCHOR]) % buckets
+def splitters_of(docs: DataFrame, count: int, length: int, buckets: int, sample: int) -> list[bytes]:
+    """Strings that divide the anchors of texts into ranges of about equal numbers.
+
+    From the beginnings of about ``sample`` of ``count`` documents, chosen by hash: they
+    decide which task merges what, not what is found.
+    """
+    some = docs.where(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(max(1, count // sample))) == 0)
+    texts = [r[0].encode() for r in some.where("text is not null").select(F.substring("text", 1, 2048)).collect()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    places, _ = anchors_of(data, offsets, length) if texts else (np.zeros(0, np.int64), None)
+    raw = data.tobytes()
+    known = sorted(raw[p : p + ANCHOR] for p in places.tolist())
+    return sorted({known[len(known) * k // buckets] for k in range(1, buckets)}) if known else []
 
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -330,10 +374,10 @@ def _from_bytes(data: bytes) -> pa.Table:
         return source.read_all()
 
 
-def _encode_run(keys: list[tuple[bytes, bytes]], ids: dict) -> bytes:
+def _encode_run(keys: list[tuple[bytes, bytes]], ids: np.ndarray) -> bytes:
     prefixes, rests = front_coded([k[0] for k in keys])
     columns = {"prefix": pa.array(prefixes, pa.uint16()), "rest": pa.array(rests, pa.binary()),
-               "before": pa.array([k[1] for k in keys], pa.binary()), "id": pa.array([ids[k] for k in keys], pa.int64())}
+               "before": pa.array([k[1] for k in keys], pa.binary()), "id": pa.array(ids, pa.int64())}
     return _to_bytes(pa.record_batch(columns))
 
 
@@ -342,11 +386,23 @@ def _decode_run(data: bytes) -> Run:
     return Run(prefixes, rests, list(zip(before, ids, strict=True)))
 
 
+def spans_of(own: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """The stretches ``(document, start, stop)`` that earlier documents have, for the rows
+    ``own(entry, document, place, more places, id)`` of one run; ``places`` are entries."""
+    begin = np.searchsorted(places, own[0])
+    n = np.searchsorted(places, own[0], "right") - begin
+    row = np.repeat(np.arange(own.shape[1]), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
+    earlier = first[at] < own[4][row]
+    row, at = row[earlier], at[earlier]
+    start = own[2][row] - high[at]
+    return np.stack([own[1][row], start, own[2][row] + own[3][row] - low[at] + length])
+
+
 def _merge_range(length: int):
-    """Merges the runs of a range and answers each block, for its run's entries, which
-    strings around an anchor are in an earlier document."""
+    """Merges the runs of a range and answers each block which stretches of its documents are
+    in an earlier document."""
     kind = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
-    answer = pa.schema([("place", pa.uint32()), ("low", pa.uint8()), ("high", pa.uint8()), ("id", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         blocks, bucket = group["block"].to_pylist(), group["bucket"][0].as_py()
@@ -360,57 +416,42 @@ def _merge_range(length: int):
             owners.append(r)
             places.append(k)
         entry, low, high, first = earliest(suffixes, np.array(prefixes), before, np.array(ids, np.int64), length)
-        order = np.argsort(np.array(owners, np.int64)[entry], kind="stable")
-        owner, place = np.array(owners, np.int64)[entry][order], np.array(places, np.int64)[entry][order]
-        low, high, first = low[order], high[order], first[order]
+        owner, place = np.array(owners, np.int64)[entry], np.array(places, np.int64)[entry]
+        order = np.lexsort([place, owner])
+        owner, place, low, high, first = owner[order], place[order], low[order], high[order], first[order]
         cuts = np.searchsorted(owner, np.arange(len(runs) + 1))
         rows = []
-        for r in np.flatnonzero(np.diff(cuts)):
-            columns = [c[cuts[r] : cuts[r + 1]] for c in (place, low, high, first)]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, answer, strict=True)], schema=answer)
-            rows.append((blocks[r], bucket, _to_bytes(batch)))
+        for r, own in enumerate(group["own"].to_pylist()):
+            some = slice(cuts[r], cuts[r + 1])
+            found = spans_of(unpacked(own, np.int64).reshape(5, -1), place[some], low[some], high[some], first[some], length)
+            if found.shape[1]:
+                rows.append((blocks[r], bucket, packed(found.reshape(-1))))
         return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)}, schema=kind)
 
     return run
 
 
-def _remove(length: int, buckets: int, with_text: bool):
-    """Removes from a block's documents the strings that an earlier document holds."""
+def _remove(with_text: bool):
+    """Removes from a block's documents the stretches that an earlier document holds."""
     names = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     kind = pa.schema(names)
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         ids, column = _ordered(group)
-        spans: dict[int, list] = {}
-        wanted = _wanted(replies)
-        if len(ids) and len(wanted):
-            contexts = list(block_contexts(group, wanted, length))
-            _, by_bucket = block_runs(contexts, buckets)
-            known: dict = {}
-            for bucket, data in zip(replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True):
-                if bucket >= 0:
-                    keys = by_bucket[bucket]
-                    for place, low, high, id_ in zip(*[c.to_pylist() for c in _from_bytes(data).columns], strict=True):
-                        known.setdefault(keys[place], []).append((low, high, id_))
-            for text, id_, place, suffix, before in contexts:
-                own = LAST if id_ is None else id_
-                for low, high, first in known.get((suffix, before), ()):
-                    if first < own:
-                        spans.setdefault(text, []).append((place - high, place - low + length))
         data, offsets = raw_bytes(column)
+        depth = np.zeros(len(data) + 1, np.int32)
+        for reply in replies["data"].to_pylist():
+            text, start, stop = unpacked(reply, np.int64).reshape(3, -1)
+            np.add.at(depth, offsets[text] + start, 1)
+            np.add.at(depth, offsets[text] + stop, -1)
+        removed = np.cumsum(depth, dtype=np.int32)[:-1] > 0
         rows = []
         for k, id_ in enumerate(ids):
-            text = data[offsets[k] : offsets[k + 1]]
-            removed = np.zeros(len(text), bool)
-            if k in spans:
-                depth = np.zeros(len(text) + 1, np.int32)
-                edges = np.array(spans[k])
-                np.add.at(depth, edges[:, 0], 1)
-                np.add.at(depth, edges[:, 1], -1)
-                removed = np.cumsum(depth)[:-1] > 0
-            starts = int((removed & ~np.concatenate([[False], removed[:-1]])).sum()) if len(text) else 0
-            kept = text[~removed].tobytes()
-            rows.append((id_, len(text), int(removed.sum()), starts, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            text, gone = data[offsets[k] : offsets[k + 1]], removed[offsets[k] : offsets[k + 1]]
+            n = int(np.count_nonzero(gone))
+            starts = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + bool(gone[0]) if n else 0
+            kept = (text[~gone] if n else text).tobytes()
+            rows.append((id_, len(text), n, starts, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind) if rows else kind.empty_table()
 
     return run
@@ -424,6 +465,7 @@ def remove_repeats(
     block_bytes: int = 8 << 20,
     least_blocks: int = 48,
     with_text: bool = False,
+    sample: int = 1000,
 ) -> DataFrame:
     """Removes every byte in a ``length``-byte string that also starts in a document with a
     smaller id.
@@ -432,13 +474,15 @@ def remove_repeats(
     ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``, the ``kept``
     bytes; one row per input row. A null text is empty; of rows with the same id none is
     earlier than another; a null id is later than all. Ids are 64-bit numbers;
-    ``length`` is at least 32 (two anchors) and at most 255.
+    ``length`` is at least 32 (two anchors) and at most 255. Long texts are hashed in
+    pieces and a stretch of one byte is one entry, so memory follows the block; other
+    columns are not read. about ``sample`` documents give the splitters of the ranges.
     """
     if not 2 * ANCHOR <= length <= 255:
         raise ValueError("length must lie between 32 and 255")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, count = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(least_blocks, -(-total // block_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, blocks)
@@ -447,10 +491,10 @@ def remove_repeats(
     hashes = by_block.applyInArrow(_send_hashes(length, buckets), "bucket int, block long, hashes binary, twice binary")
     reply = "block long, bucket int, data binary"
     repeated = hashes.groupBy("bucket").applyInArrow(_repeated_hashes, reply)
-    runs = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(length, buckets), "bucket int, block long, run binary")
+    splitters = splitters_of(base, count, length, buckets, sample)
+    runs = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_send_runs(length, splitters), "bucket int, block long, run binary, own binary")
     answers = runs.groupBy("bucket").applyInArrow(_merge_range(length), reply)
-    replies = repeated.unionByName(answers)
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(_remove(length, buckets, with_text), shape)
+    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(with_text), shape)
     out = out.withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept")
