@@ -24,6 +24,8 @@ from loomgraph.llm.words import mix, unmix, word_hashes
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Distinct keys that a task collects before it sends them off.
 COLLECTED = 2_000_000
+#: Bytes of text for each range of hashes, at most: a task merges the grams of one range.
+RANGE_BYTES = 64 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -55,7 +57,7 @@ class Collector:
 
     def add(self, keys: np.ndarray):
         found, counts = np.unique(keys, return_counts=True)
-        self.parts.append((found, counts.astype(np.uint32)))
+        self.parts.append((found, counts))
         self.held += len(found)
         if self.held > 2 * COLLECTED:
             self.merge()
@@ -106,20 +108,27 @@ def _training(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(~is_held_out(batch.column(0).to_pylist())))
 
 
-def mapped(uri: str, dtype) -> np.ndarray:
-    """A file of numbers, mapped into memory; fetched first if it is in a remote store."""
+def mapped(uri: str) -> np.ndarray:
+    """The bytes of a file, mapped into memory. One of a remote store is copied first into a
+    nameless file, which ends with the worker and is fetched anew by any other."""
     kept = process_cache("mapped files")
     if uri not in kept:
         place = urlparse(uri)
-        path = unquote(place.path) if place.scheme in ("", "file") else None
-        if path is None:
-            handle, path = tempfile.mkstemp()
-            with os.fdopen(handle, "wb") as out:
-                out.write(get_file(uri))
-        kept[uri] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        if place.scheme in ("", "file"):
+            path = unquote(place.path)
+            kept[uri] = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        else:
+            held = tempfile.TemporaryFile()
+            held.write(get_file(uri))
+            kept[uri] = np.memmap(held, np.uint8, "r") if held.tell() else np.zeros(0, np.uint8)
     return kept[uri]
 
 
+def count_bytes(counts: np.ndarray) -> bytes:
+    """Counts as they lie in a file: four bytes each, or eight where one needs more."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64).tobytes()
+
+
 class HashArrays:
     """Sorted hashes in one file per hash range, with arrays of values beside them."""
 
@@ -128,8 +137,10 @@ class HashArrays:
         self.sizes = np.array([sizes.get(b, 0) for b in range(1 << bits)], np.int64)
         self.bases = np.concatenate([[0], np.cumsum(self.sizes)])
 
-    def file(self, bucket: int, column: str, dtype) -> np.ndarray:
-        return mapped(f"{self.folder}/{self.kind}-{column}-{bucket:05d}", dtype)
+    def file(self, bucket: int, column: str, dtype=None) -> np.ndarray:
+        """The values of a range; without a type they are counts, whose width the size tells."""
+        data = mapped(f"{self.folder}/{self.kind}-{column}-{bucket:05d}")
+        return data.view(dtype or (np.uint64 if len(data) == 8 * self.sizes[bucket] else np.uint32))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """For each of the sorted keys its rank among all, or -1."""
@@ -142,9 +153,9 @@ class HashArrays:
                 found[cuts[b] : cuts[b + 1]] = np.where(there[at] == some, at + self.bases[b], -1)
         return found
 
-    def values(self, ranks: np.ndarray, column: str, dtype) -> np.ndarray:
-        """The values at sorted ranks, 0 for rank -1."""
-        out = np.zeros(len(ranks), dtype)
+    def values(self, ranks: np.ndarray, column: str, dtype=None) -> np.ndarray:
+        """The values at ranks, 0 for rank -1; counts without a type."""
+        out = np.zeros(len(ranks), dtype or np.uint64)
         known = np.flatnonzero(ranks >= 0)
         order = known[np.argsort(ranks[known], kind="stable")]
         cuts = np.searchsorted(ranks[order], self.bases)
@@ -232,7 +243,7 @@ def _count_grams(bits: int, levels: dict, m: int):
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([unpacked(k, np.uint64) for k in group["keys"].to_pylist()])
-    counts = np.concatenate([unpacked(c, np.uint32) for c in group["counts"].to_pylist()])
+    counts = np.concatenate([unpacked(c, np.int64) for c in group["counts"].to_pylist()])
     return summed(keys, counts)
 
 
@@ -241,7 +252,7 @@ def _write_words(folder: str):
         bucket = group["bucket"][0].as_py()
         keys, counts = _merged(group)
         put_file(folder, f"words-keys-{bucket:05d}", keys.tobytes())
-        put_file(folder, f"words-counts-{bucket:05d}", counts.astype(np.uint32).tobytes())
+        put_file(folder, f"words-counts-{bucket:05d}", count_bytes(counts))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
     return run
@@ -256,7 +267,7 @@ def _write_grams(folder: str, m: int):
         bucket = group["bucket"][0].as_py()
         keys, counts = _merged(group)
         put_file(folder, f"grams{m}-keys-{bucket:05d}", keys.tobytes())
-        put_file(folder, f"grams{m}-raw-{bucket:05d}", counts.astype(np.uint32).tobytes())
+        put_file(folder, f"grams{m}-raw-{bucket:05d}", count_bytes(counts))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "counts": pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))})
 
     return run
@@ -265,10 +276,10 @@ def _write_grams(folder: str, m: int):
 def _final(level: HashArrays, bucket: int, top: bool) -> np.ndarray:
     """The counts that the model uses: as met for the highest order, else of distinct words
     to the left; grams at the beginning of a text have none and keep the count as met."""
-    raw = level.file(bucket, "raw", np.uint32)
+    raw = level.file(bucket, "raw")
     if top:
         return np.asarray(raw)
-    lower = level.file(bucket, "lower", np.uint32)
+    lower = level.file(bucket, "lower")
     return np.where(lower > 0, lower, raw)
 
 
@@ -280,7 +291,7 @@ def _send(to: HashArrays, cells: np.ndarray, weights: np.ndarray, width: int):
     cells, sums = summed(cells, weights)
     cuts = np.searchsorted(cells, to.bases * width)
     parts = np.flatnonzero(to.sizes).tolist()
-    rows = [[packed(x[cuts[p] : cuts[p + 1]]) for p in parts] for x in (cells, sums.astype(np.uint32))]
+    rows = [[packed(x[cuts[p] : cuts[p + 1]]) for p in parts] for x in (cells, sums)]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], schema=_SUMS)
 
 
@@ -306,7 +317,7 @@ def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
                 if levels[m].sizes[bucket]:
                     left, _ = gram_parts(levels[m].file(bucket, "keys", np.uint64))
                     counts = _final(levels[m], bucket, top).astype(np.int64)
-                    put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", counts.astype(np.uint32).tobytes())
+                    put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", count_bytes(counts))
                     cells = np.concatenate([left * 4, left * 4 + np.minimum(counts, 3)])
                     yield _send(contexts, cells, np.concatenate([counts, np.ones(len(left), np.int64)]), 4)
 
@@ -315,16 +326,16 @@ def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
 
 def _summed_table(group: pa.Table, to: HashArrays, width: int) -> tuple[int, np.ndarray]:
     part = group["part"][0].as_py()
-    flat = np.zeros(int(to.sizes[part]) * width, np.uint32)
+    flat = np.zeros(int(to.sizes[part]) * width, np.int64)
     for cells, sums in zip(group["cells"].to_pylist(), group["sums"].to_pylist(), strict=True):
-        flat[unpacked(cells, np.int64) - width * int(to.bases[part])] += unpacked(sums, np.uint32)
+        flat[unpacked(cells, np.int64) - width * int(to.bases[part])] += unpacked(sums, np.int64)
     return part, flat.reshape(-1, width)
 
 
 def _write_lower(to: HashArrays):
     def run(group: pa.Table) -> pa.Table:
         part, table = _summed_table(group, to, 1)
-        put_file(to.folder, f"{to.kind}-lower-{part:05d}", table.tobytes())
+        put_file(to.folder, f"{to.kind}-lower-{part:05d}", count_bytes(table[:, 0]))
         final = table[:, 0] if to.kind == "words" else _final(to, part, False)
         return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([_counts_of_counts(final)], pa.list_(pa.int64()))})
 
@@ -334,7 +345,7 @@ def _write_lower(to: HashArrays):
 def _write_contexts(to: HashArrays, high: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         part, table = _summed_table(group, to, 4)
-        put_file(to.folder, f"{to.kind}-total-{part:05d}", np.ascontiguousarray(table[:, 0]).tobytes())
+        put_file(to.folder, f"{to.kind}-total-{part:05d}", count_bytes(table[:, 0]))
         put_file(to.folder, f"{to.kind}-freed-{part:05d}", (table[:, 1:].astype(np.float64) @ high).tobytes())
         return pa.table({"part": pa.array([part], pa.int32())})
 
@@ -365,7 +376,7 @@ def _score(levels: dict, contexts: dict, model: dict, id_type):
                 tokens, before = _with_ends(part.column(1))
                 distinct, back = np.unique(tokens, return_inverse=True)
                 found = vocab.find(distinct)
-                value = lambda name: vocab.values(found, name, np.uint32).astype(np.float64)  # noqa: B023, E731
+                value = lambda name: vocab.values(found, name).astype(np.float64)  # noqa: B023, E731
                 count, ending = value("counts"), value("lower")
                 base = np.log10((count + 1) / (model["tokens"] + size))
                 # words: distinct left neighbours, discounted; the rest spread evenly over all words and one unknown
@@ -373,9 +384,9 @@ def _score(levels: dict, contexts: dict, model: dict, id_type):
                 p = (kept + model["word_rest"] / size)[back]
                 for m, left, _, _, ranks in gram_steps(levels, found[back], before, order):
                     some, again = np.unique(left, return_inverse=True)
-                    total = contexts[m - 1].values(some, "total", np.uint32).astype(np.float64)[again]
+                    total = contexts[m - 1].values(some, "total").astype(np.float64)[again]
                     freed = contexts[m - 1].values(some, "freed", np.float64)[again]
-                    seen = levels[m].values(ranks, "counts", np.uint32).astype(np.float64)
+                    seen = levels[m].values(ranks, "counts").astype(np.float64)
                     direct = np.maximum(seen - losses[m][np.minimum(seen, 3).astype(int)], 0)
                     met = (total > 0) & ((freed > 0) | (direct > 0))
                     p = np.where(met, (direct + freed * p) / np.where(met, total, 1.0), p)
@@ -402,6 +413,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Returns ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` per
     row; scores are log10 probabilities of whole texts. Null and empty texts are an end
     alone; a null id counts as training; without training rows all words are unknown.
+    Repeated rows and ids are counted and scored one by one, very long texts whole; other
+    columns are not read. Words, and grams of less than ``order`` words, may number 2**32;
+    beyond that the operator stops with an error instead of mixing them up.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -411,13 +425,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     folder = new_folder(spark, "language-model")
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    bits = max(1, (ranges - 1).bit_length())
     shape, sums = "bucket int, keys binary, counts binary", "part int, cells binary, sums binary"
     found = stored(
         rows.mapInArrow(_count_words(bits), shape).groupBy("bucket").applyInArrow(_write_words(folder), "bucket int, n long, total long"), "lm-words"
     ).collect()  # a row per range of hashes
     vocab = HashArrays(folder, "words", bits, {r["bucket"]: r["n"] for r in found})
     tokens = sum(r["total"] for r in found)
+    if int(vocab.bases[-1]) >= (1 << 32) - 1:
+        raise ValueError("more than 2**32 words: their numbers would not fit into keys")
     buckets = spark.range(0, 1 << bits, 1, 1 << bits)
     total = lambda rows_: [sum(r["counts"][i] for r in rows_) for i in range(4)]
     levels, seen = {1: vocab}, {}
@@ -427,8 +445,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 _write_grams(folder, m), "bucket int, n long, counts array<bigint>"), "lm-grams"
         ).collect()
         levels = levels | {m: HashArrays(folder, f"grams{m}", bits, {r["bucket"]: r["n"] for r in heads})}
-        if int(levels[m].bases[-1]) >= 1 << 32:
-            raise ValueError(f"more than 2**32 grams of {m} words")
+        if m < order and int(levels[m].bases[-1]) >= 1 << 32:
+            raise ValueError(f"more than 2**32 grams of {m} words: their numbers would not fit into keys")
         seen[m] = total(heads)
         ends = buckets.mapInArrow(_suffixes(levels, m), sums).groupBy("part")
         seen[m - 1] = total(stored(ends.applyInArrow(_write_lower(levels[m - 1]), "part int, counts array<bigint>"), "lm-lower").collect())
