@@ -10,28 +10,57 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import is_test_file
 
 # Words of a path that raise its risk, three points and one point each.
-HIGH_WORDS = ["auth", "payment", "security", "password", "token", "crypto", "billing", "permission", "migration"]
-MEDIUM_WORDS = ["api", "database", "db", "user", "config", "session", "core", "schema"]
+HIGH_WORDS = ["auth", "token", "session", "password", "security", "migration", "database", "schema", "persistence"]
+MEDIUM_WORDS = ["terminal", "websocket", "pty", "input", "config", "build", "deploy", "ci"]
+CONFIG_ENDINGS = [".config.ts", ".config.js", "package.json"]
+#: Files whose change the contract rules name as configuration.
 CONFIG_FILE = r"(^|/)(package\.json|tsconfig[^/]*\.json|pyproject\.toml|Cargo\.toml|go\.mod|[^/]*\.ya?ml)$"
-TYPE_FILE = r"(^|/)types?(/|\.|$)|\.d\.ts$"
 
 
 def word_points(text: Column, words: list[str], points: int) -> Column:
+    """Points for each word that a text holds, once each; ``_`` joins words."""
     found = [F.when(text.rlike(rf"(?i)\b{word}\b"), points).otherwise(0) for word in words]
     return reduce(lambda a, b: a + b, found)
 
 
-def assess(changes: DataFrame) -> DataFrame:
-    """Adds ``risk_score`` and ``risk`` to ``(file, neighbors, top_rank)``."""
-    file = F.col("file")
-    score = (
-        F.when(F.col("neighbors") >= 10, 4).when(F.col("neighbors") >= 5, 3).otherwise(0)
-        + F.when(F.col("top_rank") > 0.01, 1).otherwise(0)
-        + word_points(file, HIGH_WORDS, 3) + word_points(file, MEDIUM_WORDS, 1)
-        + F.when(file.rlike(CONFIG_FILE), 2).otherwise(0) + F.when(file.rlike(TYPE_FILE), 1).otherwise(0)
-    )
-    scored = changes.withColumn("risk_score", score)
-    return scored.withColumn("risk", F.when(score >= 6, "high").when(score >= 3, "medium").otherwise("low"))
+def domain_points(text: Column) -> Column:
+    return word_points(text, HIGH_WORDS, 3) + word_points(text, MEDIUM_WORDS, 1)
+
+
+def file_points(file: Column, neighbors: Column, top_rank: Column) -> Column:
+    """Points of one changed file: how many files it is linked with, a symbol of high rank,
+    and what kind of file it is; tests have no points for their kind."""
+    config = reduce(lambda a, b: a | b, [file.endswith(e) for e in CONFIG_ENDINGS])
+    types = F.array_contains(F.split(file, "/"), "types") | file.endswith(".d.ts")
+    kind = F.when(is_test_file(file), 0).when(config, 2).when(types, 1).otherwise(0)
+    return F.when(neighbors >= 10, 4).when(neighbors >= 5, 3).otherwise(0) + F.when(top_rank > 0.01, 1).otherwise(0) + kind
+
+
+def assess(targets: DataFrame, affected: DataFrame) -> DataFrame:
+    """``(change_id, risk_score, risk)`` of sets of changes.
+
+    ``targets(change_id, file, neighbors, top_rank)`` give points each; words count once over
+    the paths of targets and ``affected(change_id, file)`` together.
+    """
+    own = targets.groupBy("change_id").agg(F.sum(file_points(F.col("file"), F.col("neighbors"), F.col("top_rank"))).alias("points"))
+    paths = targets.select("change_id", "file").unionByName(affected.select("change_id", "file"))
+    marks = [F.max(F.when(F.col("file").rlike(rf"(?i)\b{w}\b"), n).otherwise(0)) for ws, n in ((HIGH_WORDS, 3), (MEDIUM_WORDS, 1)) for w in ws]
+    domain = paths.groupBy("change_id").agg(reduce(lambda a, b: a + b, marks).alias("domain"))
+    score = (F.col("points") + F.coalesce("domain", F.lit(0))).cast("long")
+    scored = own.join(domain, "change_id", "left").select("change_id", score.alias("risk_score"))
+    return scored.withColumn("risk", F.when(F.col("risk_score") >= 6, "high").when(F.col("risk_score") >= 3, "medium").otherwise("low"))
+
+
+def missing_checks(changed: DataFrame, tests: DataFrame) -> DataFrame:
+    """``(language)`` of changes ``changed(file)`` without a test among ``tests(test_file)`` of their
+    language; TypeScript and Python are looked at."""
+    ends = lambda c, x: reduce(lambda a, b: a | b, [F.col(c).endswith(e) for e in x])
+    kinds = {"typescript": (".ts", ".tsx"), "python": (".py",)}
+    has = changed.agg(*[F.coalesce(F.bool_or(ends("file", x)), F.lit(False)).alias(k) for k, x in kinds.items()])
+    met = tests.agg(*[F.coalesce(F.bool_or(ends("test_file", x)), F.lit(False)).alias(f"{k}_t") for k, x in kinds.items()])
+    both = has.crossJoin(met)  # one row each
+    listed = F.array_compact(F.array(*[F.when(F.col(k) & ~F.col(f"{k}_t"), F.lit(k)) for k in kinds]))
+    return both.select(F.explode(listed).alias("language"))
 
 
 def contract_risks(symbols: DataFrame, references: DataFrame, routes: DataFrame, changed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import graph, joins, metrics, search
+from loomgraph.operators import graph, joins, metrics, risk, search
 from loomgraph.plans.catalog import query
 
 
@@ -295,16 +295,29 @@ def reading_order(spark, sf_dir):
     return top.select("file", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 70 ELSE 60 END AS score FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND CASE WHEN c_acctbal < 0 THEN 70 ELSE 60 END >= 70""")
+ORPHAN_KINDS = ["function", "class", "impl", "interface", "variable", "element"]
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment || '/' || c_custkey || CASE c_custkey % 11 WHEN 0 THEN '.json' WHEN 1 THEN '.test.py' ELSE '.py' END AS file,
+        ['function', 'class', 'impl', 'interface', 'variable', 'element'][c_nationkey % 6 + 1] AS kind,
+        CASE WHEN c_acctbal < 0 THEN 'private' WHEN c_acctbal > 9000 THEN 'exported' ELSE 'public' END AS visibility FROM customer),
+    s AS (SELECT id, greatest(0, least(100, CASE kind WHEN 'function' THEN 60 WHEN 'class' THEN 40 WHEN 'impl' THEN 15 WHEN 'interface' THEN 35 ELSE 30 END
+        - CASE WHEN contains(lower(file), 'test') THEN 20 ELSE 0 END - CASE WHEN ends_with(file, '.json') THEN 50 ELSE 0 END
+        + CASE WHEN visibility = 'private' THEN 10 ELSE 0 END + CASE WHEN kind IN ('class', 'impl') THEN 25 ELSE 0 END)) AS score, kind, file, visibility FROM c)
+    SELECT id, score FROM s WHERE kind <> 'element' AND visibility <> 'exported' AND NOT ends_with(file, '.json') AND score >= 40
+        AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def orphans(spark, sf_dir):
-    """Customers without pending orders, those in debt being private functions."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_acctbal") < 0).alias("private"))
+    """Customers without pending orders as symbols of all kinds."""
+    number = F.col("c_custkey")
+    ending = F.when(number % 11 == 0, ".json").when(number % 11 == 1, ".test.py").otherwise(".py")
+    customers = table(spark, sf_dir, "customer").select(
+        number.alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lit("/"), number.cast("string"), ending).alias("file"),
+        F.get(F.array(*[F.lit(k) for k in ORPHAN_KINDS]), F.col("c_nationkey") % 6).alias("kind"),
+        F.when(F.col("c_acctbal") < 0, "private").when(F.col("c_acctbal") > 9000, "exported").otherwise("public").alias("visibility"),
+    )
     edges = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    edges = edges.select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") - 1).alias("dst"))
-    visibility = F.when(F.col("private"), "private").otherwise("public")
-    score = metrics.orphan_score(F.lit("function"), F.lit(False), F.col("c_name"), visibility)
-    return graph.isolated(customers, edges).select("id", score.alias("score")).where("score >= 70")
+    edges = edges.select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") - 1).alias("dst"), F.lit("call").alias("kind"))
+    return metrics.orphans(customers, edges, least=40)
 
 
 @query("""SELECT l_partkey AS id, count(*) AS calls, count(*) * 5.0::DOUBLE AS risk FROM lineitem WHERE l_partkey NOT IN (
@@ -456,22 +469,11 @@ def route_match(spark, sf_dir):
     return joins.match_routes(routes, uses)
 
 
-@query("""WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t FROM events),
-    s AS (SELECT event_id AS span, user_id, t AS a, t + 60 * (3600 % (event_id % 97 + 30)) + 3600 AS b FROM e WHERE event_id % 5 = 0)
+@query("""WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events),
+    s AS (SELECT event_id AS span, user_id, t AS a, t + 60 * (3600 % (event_id % 97 + 30)) + 3600 AS b FROM e)
     SELECT e.event_id, s.span FROM e JOIN s ON e.user_id = s.user_id AND t BETWEEN a AND b
     QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY b - a, a DESC, span) = 1""")
 def enclosing_interval(spark, sf_dir):
-    """For each event the shortest session of its user that holds it."""
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("long")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("t"))
-    length = 60 * (3600 % (F.col("event_id") % 97 + 30)) + 3600
-    spans = events.where("event_id % 5 = 0").select(F.col("event_id").alias("span"), "user_id", F.col("t").alias("a"), (F.col("t") + length).alias("b"))
-    found = joins.enclosing(events, spans, "user_id", "t", "a", "b", 86400, ["event_id"], [F.col("span")])
-    return found.select("event_id", "span")
-
-
-@query(None)
-def enclosing_interval_all(spark, sf_dir):
     """For each event the shortest session of its user that holds it; every event begins one."""
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("long")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("t"))
@@ -498,23 +500,15 @@ def ranked_match(spark, sf_dir):
     return joins.best_tier([near, far], ["id"], [F.desc("bal"), F.col("target")]).select("id", "target", "stage")
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, {TOKENS} AS t FROM documents), b AS (SELECT item_id, text, {TOKENS} AS t FROM benchmark),
-    x AS (SELECT item_id, list_slice(t, 1, 5) AS h FROM b WHERE len(t) >= 5),
-    g AS (SELECT DISTINCT doc_id, list_slice(t, i, i + 4) AS h FROM d, unnest(range(1, len(t) - 3)) AS r(i)),
-    c AS (SELECT item_id, doc_id, 0 AS stage FROM x JOIN g USING (h))
-    SELECT item_id, doc_id, stage FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY stage, doc_id) = 1""")
+@query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), b AS (SELECT item_id, {TOKENS} AS t FROM benchmark),
+    x AS (SELECT DISTINCT item_id, list_slice(t, i, i + least(len(t), 5) - 1) AS h FROM b, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS r(i) WHERE len(t) > 0),
+    n AS (SELECT item_id, count(*) AS total, min(len(h)) AS size FROM x GROUP BY 1),
+    sizes AS (SELECT DISTINCT size FROM n),
+    g AS (SELECT DISTINCT doc_id, list_slice(t, i, i + size - 1) AS h FROM d, sizes, unnest(range(1, len(t) - size + 2)) AS r(i)),
+    c AS (SELECT item_id, doc_id, count(*) AS k FROM x JOIN g USING (h) GROUP BY 1, 2)
+    SELECT item_id, doc_id, CASE WHEN size < 5 THEN 2 WHEN k = total THEN 0 ELSE 1 END AS stage, k AS n_shared FROM c JOIN n USING (item_id)
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY stage, n_shared DESC, doc_id) = 1""")
 def test_match(spark, sf_dir):
-    """The first document that holds the first five tokens of each benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
-    items = items.select("item_id", F.slice("t", 1, 5).alias("h"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.slice("t", i, 5)))
-    found = docs.select("doc_id", grams.alias("h")).distinct().join(items, "h").select("item_id", "doc_id")
-    return joins.best_tier([found], ["item_id"], [F.col("doc_id")]).select("item_id", "doc_id", "stage")
-
-
-@query(None)
-def test_match_all(spark, sf_dir):
     """For each benchmark item the best document: one that holds all its distinct runs of
     five tokens, else the one that holds most of them; an item of fewer tokens is matched
     whole. Runs are compared as 64-bit hashes."""
@@ -561,65 +555,64 @@ def diag_parse(spark, sf_dir):
     return parse(lines).select("file", "line", "col", "severity")
 
 
-#: Words that raise the risk of a change.
-HIGH_WORDS, MEDIUM_WORDS = r"\b(auth|payment|security|password|token)\b", r"\b(api|data|user|config|session)\b"
+HIGH_SQL = " + ".join(f"3 * regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)')::INT" for w in risk.HIGH_WORDS)
+MEDIUM_SQL = " + ".join(f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)')::INT" for w in risk.MEDIUM_WORDS)
 
 
-@query(rf"""WITH s AS (SELECT conv_id, turn, 3 * (regexp_matches(lower(text), '{HIGH_WORDS}'))::INT + (regexp_matches(lower(text), '{MEDIUM_WORDS}'))::INT
-        + CASE WHEN length(text) > 200 THEN 3 ELSE 0 END AS score FROM conversations)
+@query(f"""WITH s AS (SELECT conv_id, turn, {HIGH_SQL} + {MEDIUM_SQL} + CASE WHEN length(text) > 200 THEN 3 ELSE 0 END AS score FROM conversations)
     SELECT conv_id, turn, score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS risk FROM s""")
 def risk_score(spark, sf_dir):
-    text = F.lower(F.col("text"))
-    score = 3 * text.rlike(HIGH_WORDS).cast("int") + text.rlike(MEDIUM_WORDS).cast("int") + F.when(F.length("text") > 200, 3).otherwise(0)
+    """The risk of each turn by all words of the rules; a long turn stands for five neighbours."""
+    score = risk.domain_points(F.col("text")) + risk.file_points(F.lit("x"), F.when(F.length("text") > 200, 5).otherwise(0), F.lit(0.0))
     found = table(spark, sf_dir, "conversations").select("conv_id", "turn", score.alias("score"))
     return found.withColumn("risk", T.level(F.col("score"), 6, 3))
 
 
-@query(None)
-def risk_score_all(spark, sf_dir):
-    """The risk of each turn by all words and points of the rules; a long turn stands for five neighbours."""
-    from loomgraph.operators import risk
-
-    turns = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("file"), F.when(F.length("text") > 200, 5).otherwise(0).alias("neighbors"), F.lit(0.0).alias("top_rank")
-    )
-    return risk.assess(turns).select("conv_id", "turn", F.col("risk_score").alias("score"), "risk")
+@query("""SELECT CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 2 THEN 'cpp' WHEN 3 THEN 'ruby' END AS language, count(*) AS files
+    FROM documents WHERE doc_id % 5 < 4 GROUP BY 1 ORDER BY files DESC, language LIMIT 3""")
+def language_histogram(spark, sf_dir):
+    """Documents as files of four languages and one that is none."""
+    ending = F.get(F.array(*[F.lit(e) for e in (".py", ".tsx", ".hh", ".RB", ".txt")]), (F.col("doc_id") % 5).cast("int"))
+    return metrics.language_histogram(table(spark, sf_dir, "documents").select(F.concat(F.lit("src/f"), "doc_id", ending).alias("file")))
 
 
-@query("""SELECT lang AS language, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, language LIMIT 3""")
-def language_histogram(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"))
-    return found.orderBy(F.desc("files"), "language").limit(3)
+METHODS = {"click": "get", "view": "POST", "error": "Put", "signup": "DELETE", "purchase": "patch"}
+METHOD_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v.upper()}'" for k, v in METHODS.items()) + " END"
 
 
-@query("""SELECT user_id AS file, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view,
-    count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1""")
+@query(f"""WITH r AS (SELECT user_id AS file, {METHOD_SQL} AS m FROM events) SELECT file, count(*) FILTER (m = 'GET') AS get, count(*) FILTER (m = 'POST') AS post,
+    count(*) FILTER (m = 'PUT') AS put, count(*) FILTER (m = 'DELETE') AS delete, count(*) FILTER (m = 'PATCH') AS patch, count(*) AS total FROM r GROUP BY 1""")
 def route_histogram(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    found = events.groupBy(F.col("user_id").alias("file")).pivot("event_type", ["click", "view", "error"]).count()
-    return found.na.fill(0)
+    """Events as routes of their user's file, by method."""
+    method = F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair])[F.col("event_type")]
+    return metrics.route_histogram(table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), method.alias("method")))
+
 
+SEVERITY_SQL = "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END"
 
-@query("""SELECT sum((event_type = 'error')::INT)::BIGINT AS errors, sum((value > 50)::INT)::BIGINT AS warnings, count(DISTINCT user_id) AS files,
-    CASE WHEN sum((event_type = 'error')::INT) > 0 THEN 'failed' WHEN sum((value > 50)::INT) > 0 THEN 'warning' ELSE 'passed' END AS status FROM events""")
+
+def issues(spark, sf_dir):
+    """Events as issues of their user's file."""
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("value") > 50, "warning").otherwise("info")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), severity.alias("severity"))
+
+
+@query(f"""WITH i AS (SELECT user_id AS file, {SEVERITY_SQL} AS s FROM events)
+    SELECT count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings, count(DISTINCT file) AS files,
+    CASE WHEN count(*) FILTER (s = 'error') > 0 THEN 'failed' WHEN count(*) FILTER (s = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS status FROM i""")
 def diagnostics_summary(spark, sf_dir):
-    found = table(spark, sf_dir, "events").agg(
-        F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") > 50).alias("warnings"), F.countDistinct("user_id").alias("files")
-    )
-    return found.withColumn("status", F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warning").otherwise("passed"))
+    return metrics.diagnostics_summary(issues(spark, sf_dir), spark.createDataFrame([("linter", "ran")], "tool string, state string"))
 
 
-@query("""SELECT source || '/' || doc_id || '.' || lang AS path, CASE WHEN doc_id % 2 = 0 THEN source ELSE '(root)' END AS module, source || '/' || doc_id || '.' || lang AS file
-    FROM documents WHERE lang = 'de'""")
-def module_bucket(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
-    path = F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang")
-    named = docs.select(path.alias("path"), F.when(F.col("doc_id") % 2 == 0, path).otherwise(F.concat("doc_id", F.lit(".x"))).alias("p"))
-    return named.select("path", T.module_bucket(F.col("p")).alias("module"), F.col("path").alias("file"))
+@query(f"""WITH i AS (SELECT user_id AS file, {SEVERITY_SQL} AS s FROM events)
+    SELECT file, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings FROM i GROUP BY 1 ORDER BY errors + warnings DESC, file LIMIT 20""")
+def diagnostics_by_file(spark, sf_dir):
+    return metrics.diagnostics_by_file(issues(spark, sf_dir))
 
 
-@query(None)
-def module_bucket_all(spark, sf_dir):
+@query("""SELECT concat_ws('/', source, concat_ws('.', doc_id::VARCHAR, lang)) AS path,
+    CASE WHEN doc_id % 2 = 1 OR source IS NULL THEN '(root)' ELSE source END AS module, concat_ws('/', source, concat_ws('.', doc_id::VARCHAR, lang)) AS file FROM documents""")
+def module_bucket(spark, sf_dir):
     """The module of every document; one without a language has a path without an ending."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", F.concat_ws(".", F.col("doc_id").cast("string"), "lang"))
@@ -641,33 +634,13 @@ def token_share(spark, sf_dir):
     return found.select("id", F.round("share", 4).alias("share"))
 
 
-@query("""SELECT p_brand AS file, CASE WHEN count(*) FILTER (p_size % 3 = 0) >= 25 THEN 'core' WHEN count(*) FILTER (p_type LIKE '%A%') >= 40 THEN 'model'
-    WHEN count(*) >= 10 THEN 'core' ELSE 'other' END AS role FROM part GROUP BY 1""")
-def file_roles(spark, sf_dir):
-    """Roles of brands by the numbers of their parts, scaled to the rule's thresholds."""
-    found = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(
-        F.count_if(F.col("p_size") % 3 == 0).alias("e"), F.count_if(F.contains("p_type", F.lit("A"))).alias("c"), F.count("*").alias("n")
-    )
-    role = T.file_role(F.concat(F.lit("x/"), "file"), F.when(F.col("e") >= 25, 3).otherwise(0), F.when(F.col("c") >= 40, 2).otherwise(0), F.lit(0), F.col("n"))
-    return found.select("file", role.alias("role"))
-
-
-@query(f"""WITH {STRONG}, s AS (SELECT DISTINCT src, dst FROM strong)
-    SELECT dst AS file, 'caller' AS reason FROM (SELECT src AS dst FROM s WHERE dst IN (3, 7)) WHERE dst NOT IN (3, 7) GROUP BY 1""")
+@query(f"""WITH {STRONG}, o AS (SELECT DISTINCT l_orderkey AS o, s_nationkey AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    along AS (SELECT x.f AS file, y.f AS neighbor FROM o x JOIN o y ON x.o = y.o AND x.f <> y.f GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY x.f ORDER BY count(*) DESC, y.f) <= 3),
+    every AS (SELECT src AS file, 'caller' AS reason FROM strong WHERE dst IN (3, 7) UNION SELECT neighbor, 'co-change' FROM along WHERE file IN (3, 7))
+    SELECT file, min(reason) AS reason FROM every WHERE file NOT IN (3, 7) GROUP BY 1""")
 def missed_files(spark, sf_dir):
-    from loomgraph.operators import risk
-
-    edges = strong_trade(spark, sf_dir).withColumn("kind", F.lit("call"))
-    home = nations(spark, sf_dir).select("id", F.col("id").alias("file"))
-    none = spark.createDataFrame([], "file int, neighbor int, place long")
-    return risk.missed_files(edges, home, home.where("file in (3, 7)").select("file"), none)
-
-
-@query(None)
-def missed_files_all(spark, sf_dir):
     """Nations that trade into two changed ones, or whose suppliers mostly share orders with theirs."""
-    from loomgraph.operators import risk
-
     edges = strong_trade(spark, sf_dir).withColumn("kind", F.lit("call"))
     home = nations(spark, sf_dir).select("id", F.col("id").alias("file"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("file"))
@@ -679,8 +652,6 @@ def missed_files_all(spark, sf_dir):
 @query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN 'covered' WHEN doc_id % 4 = 0 THEN 'missed' ELSE 'unexpected' END AS outcome FROM documents
     WHERE doc_id % 4 = 0 OR (doc_id % 3 = 0 AND doc_id % 5 <> 0)""")
 def session_compare(spark, sf_dir):
-    from loomgraph.operators import risk
-
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"))
     found = risk.compare_sessions(files.where("file % 5 = 0"), files.where("file % 4 = 0"), files.where("file % 3 = 0"))
     return found.withColumnRenamed("file", "id")

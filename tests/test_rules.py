@@ -10,9 +10,18 @@ def files(spark, names):
 
 
 def test_assess(spark):
-    rows = spark.createDataFrame([("src/auth/token.py", 12, 0.0), ("auth_service.py", 0, 0.0), ("package.json", 5, 0.5)], "file string, neighbors int, top_rank double")
-    got = {r.file: (r.risk_score, r.risk) for r in risk.assess(rows).collect()}
-    assert got == {"src/auth/token.py": (10, "high"), "auth_service.py": (0, "low"), "package.json": (6, "high")}
+    targets = [(1, "src/auth/token.py", 12, 0.0), (2, "auth_service.py", 0, 0.0), (3, "package.json", 5, 0.5), (4, "tests/types/x.py", 5, 0.0), (5, "src/types/x.ts", 4, 0.0), (5, "y.config.ts", 0, 0.02)]
+    affected = [(2, "src/session/a.py"), (2, "x/session/b.py"), (3, "ci/run.py"), (5, "build/x.js")]
+    rows = spark.createDataFrame(targets, "change_id int, file string, neighbors int, top_rank double")
+    got = {r.change_id: (r.risk_score, r.risk) for r in risk.assess(rows, spark.createDataFrame(affected, "change_id int, file string")).collect()}
+    # 5: types 1, config 2 with a high rank 1, the words config and build 1 each
+    assert got == {1: (10, "high"), 2: (3, "medium"), 3: (7, "high"), 4: (3, "medium"), 5: (6, "high")}
+
+
+def test_missing_checks(spark):
+    changed, tests = (spark.createDataFrame([(x,) for x in names], f"{c} string") for c, names in (("file", ["a.ts", "b.py", "c.go"]), ("test_file", ["b_test.py"])))
+    assert [r.language for r in risk.missing_checks(changed, tests).collect()] == ["typescript"]
+    assert risk.missing_checks(changed.limit(0), tests.limit(0)).count() == 0
 
 
 def test_contract_risks(spark):
