@@ -34,13 +34,16 @@ def best_tier(stages: list[DataFrame], by: list[str], order: list[Column]) -> Da
     return smallest(every, by, [F.col("stage"), *order])
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imported: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Targets of calls ``(call_id, file, line, name, call_kind)`` by name.
 
-    Candidates are callable symbols of that name. In order: those in files that the
-    caller's file imports, ``imported(file, target_file)``; the same file (for a member
-    call only methods there, and nothing beyond); the only one of all; the only exported
-    one. Within a tier the nearer line wins, then exported, file, line, id.
+    Candidates are callable symbols of that name. In order: those that the file binds by an
+    import, ``bound(file, name, target_file, target_name)``; those in files that the caller's
+    file imports, ``imported(file, target_file)``; the same file (for a member call only
+    methods there, and nothing beyond; a bound name is looked for no further); the only
+    one of all; the only exported one. Within a tier the nearer line wins, then exported,
+    file, line, id. Each tier is a join on file and name, or on the one symbol that a name
+    has, so a frequent name makes no pairs of all its calls and symbols.
     """
     from loomgraph.functions.text import CALLABLE_KINDS
 
@@ -48,22 +51,130 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imported: DataFrame) ->
         F.col("id").alias("target"), "name", F.col("kind").alias("target_kind"), F.col("file").alias("target_file"),
         F.col("line").alias("target_line"), (F.col("visibility") == "exported").alias("exported"),
     )
-    counts = callable_.groupBy("name").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"))
-    found = calls.join(callable_, "name").join(counts, "name")
-    known = imported.select("file", "target_file", F.lit(True).alias("imported")).distinct()
-    found = found.join(known, ["file", "target_file"], "left")
-    same = F.col("file") == F.col("target_file")
     member = F.col("call_kind") == "member"
-    tier = (
-        F.when(F.col("imported"), 0)
-        .when(member, F.when(same & (F.col("target_kind") == "method"), 1))
-        .when(same, 1)
-        .when(F.col("n") == 1, 2)
-        .when(F.col("exported") & (F.col("n_exported") == 1), 3)
+    known = imported.select("file", "target_file").distinct()
+    columns = ["call_id", "line", "target", "target_file", "target_line", "exported", "tier"]
+    tiers, free = [], calls
+    if bound is not None:
+        names = bound.select("file", "name", "target_file", "target_name").distinct()
+        there = callable_.withColumnRenamed("name", "target_name")
+        tiers.append(calls.join(names, ["file", "name"]).join(there, ["target_file", "target_name"]).withColumn("tier", F.lit(0)))
+        local = names.select("file", "name").distinct()
+        free = calls.where(~member).join(local, ["file", "name"], "left_anti").unionByName(calls.where(member))
+    # files that import and their targets' names, then calls: never calls by name alone
+    offered = known.join(callable_, "target_file")
+    tiers.append(calls.join(offered, ["file", "name"]).withColumn("tier", F.lit(1)))
+    at_home = free.join(callable_.withColumn("file", F.col("target_file")), ["file", "name"])
+    tiers.append(at_home.where(~member | (F.col("target_kind") == "method")).withColumn("tier", F.lit(2)))
+    single = callable_.groupBy("name").agg(
+        F.count("*").alias("n"), F.count_if("exported").alias("n_exported"),
+        F.min(F.struct("target", "target_file", "target_line", "exported")).alias("one"),
+        F.min(F.when(F.col("exported"), F.struct("target", "target_file", "target_line", "exported"))).alias("open"),
     )
+    pick = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_exported") == 1, F.col("open"))
+    single = single.select("name", pick.alias("p"), F.when(F.col("n") == 1, 3).otherwise(4).alias("tier")).where("p is not null")
+    tiers.append(free.where(~member).join(single, "name").select("*", "p.*"))
+    every = tiers[0].select(columns)
+    for other in tiers[1:]:
+        every = every.unionByName(other.select(columns))
     order = [F.col("tier"), F.abs(F.col("line") - F.col("target_line")), ~F.col("exported"), F.col("target_file"), F.col("target_line"), F.col("target")]
-    best = smallest(found.withColumn("tier", tier).where("tier is not null"), ["call_id"], order)
-    return best.select("call_id", "target", "tier")
+    return smallest(every, ["call_id"], order).select("call_id", "target", "tier")
+
+
+def mark_exported(symbols: DataFrame, exports: DataFrame) -> DataFrame:
+    """Symbols whose file exports their name locally, ``exports(file, source_name, kind)``, as exported."""
+    named = exports.where("kind = 'local'").select("file", F.col("source_name").alias("name")).distinct().withColumn("_open", F.lit(True))
+    found = symbols.join(named, ["file", "name"], "left")
+    return found.withColumn("visibility", F.when(F.col("_open"), "exported").otherwise(F.col("visibility"))).drop("_open").select(symbols.columns)
+
+
+def follow_exports(wanted: DataFrame, exports: DataFrame, depth: int = 3) -> DataFrame:
+    """``(file, name, target_file, target_name)``: where a name that a file offers is defined.
+
+    ``exports(file, exported_name, source_name, target_file, kind)`` are local, re-exported,
+    wildcard or namespace, the last three with the file they come from. Chains of at most
+    ``depth`` re-exports are followed; a name that no export mentions stays where it is.
+    """
+    front = wanted.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as")).distinct()
+    passed = exports.where("kind <> 'local' and target_file is not null")
+    done = None
+    for _ in range(depth):
+        named = passed.where("kind = 'reexport'").select(F.col("file").alias("at"), F.col("exported_name").alias("as"), F.col("target_file").alias("to"), F.coalesce("source_name", "exported_name").alias("to_name"))
+        every = passed.where("kind = 'wildcard'").select(F.col("file").alias("at"), F.col("target_file").alias("to"))
+        local = exports.where("kind = 'local'").select(F.col("file").alias("at"), F.col("exported_name").alias("as"), F.coalesce("source_name", "exported_name").alias("here")).distinct()
+        ends = front.join(local, ["at", "as"]).select("file", "name", F.col("at").alias("target_file"), F.col("here").alias("target_name"))
+        done = ends if done is None else done.unionByName(ends)
+        open_ = front.join(local.select("at", "as").distinct(), ["at", "as"], "left_anti")
+        direct = open_.join(named, ["at", "as"]).select("file", "name", F.col("to").alias("at"), F.col("to_name").alias("as"))
+        rest = open_.join(named.select("at", "as").distinct(), ["at", "as"], "left_anti").join(every, "at").select("file", "name", F.col("to").alias("at"), "as")
+        front = direct.unionByName(rest).distinct()
+    local = exports.where("kind = 'local'").select(F.col("file").alias("at"), F.col("exported_name").alias("as"), F.coalesce("source_name", "exported_name").alias("here")).distinct()
+    return done.unionByName(front.join(local, ["at", "as"]).select("file", "name", F.col("at").alias("target_file"), F.col("here").alias("target_name"))).distinct()
+
+
+def diagnostic_symbols(issues: DataFrame, symbols: DataFrame, edges: DataFrame, callers: int = 5) -> DataFrame:
+    """``(issue_id, symbol, confidence, callers)`` of ``issues(issue_id, file, line)``.
+
+    A symbol reaches to its end or 50 lines on; one that begins on the line is exact and
+    wins, else the first of the file; with the names of its first callers.
+    """
+    path = F.regexp_replace("file", r"^\./", "")
+    placed = issues.select("issue_id", path.alias("file"), F.col("line").alias("at"))
+    spans = symbols.select("file", "id", "name", F.col("line").alias("start"), F.greatest("end_line", F.col("line") + 50).alias("end"))
+    bucketed = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor(F.col("end") / 64))))
+    found = placed.withColumn("_bucket", F.floor(F.col("at") / 64)).join(bucketed, ["file", "_bucket"]).where("at between start and end")
+    best = smallest(found, ["issue_id"], [F.col("at") != F.col("start"), F.col("start"), F.col("id")])
+    named = edges.where("kind = 'call'").join(symbols.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src").select(F.col("dst").alias("id"), "caller").distinct()
+    named = named.join(best.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.slice(F.sort_array(F.collect_set("caller")), 1, callers).alias("callers"))
+    out = best.join(named, "id", "left")
+    confidence = F.when(F.col("at") == F.col("start"), "exact").otherwise("line")
+    return out.select("issue_id", F.col("name").alias("symbol"), confidence.alias("confidence"), F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
+
+
+def outermost(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(point_id, id)``: the first symbol of a file that holds a line, ``spans(file, id, line, end_line)``."""
+    bucketed = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("line") / 64), F.floor(F.greatest("line", "end_line") / 64))))
+    found = points.select("point_id", "file", F.col("line").alias("at"), F.floor(F.col("line") / 64).alias("_bucket")).join(bucketed, ["file", "_bucket"])
+    found = found.where((F.col("at") >= F.col("line")) & (F.col("at") <= F.greatest("line", "end_line")))
+    return smallest(found, ["point_id"], [F.col("line"), F.col("id")]).select("point_id", "id")
+
+
+def applicable_configs(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """``(file, config_path, place)``: the configurations in folders above a file, deepest first.
+
+    ``configs(config_path, config_dir)``. A file has a row for each folder above it, so the
+    join is by folder.
+    """
+    from loomgraph.functions.text import parent
+
+    parts = F.split(parent(F.col("file")), "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n))))
+    folders = files.select("file").distinct().select("file", F.explode(F.array_distinct(above)).alias("config_dir"))
+    found = folders.join(configs.select("config_path", "config_dir").distinct(), "config_dir")
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("file").orderBy(F.desc(F.length("config_dir")), "config_path")
+    return found.select("file", "config_path", F.row_number().over(order).cast("long").alias("place"))
+
+
+def alias_matches(imports: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(file, module, base, place)``: what import aliases make of modules.
+
+    ``rules(config_path, config_dir, alias_pattern, target_pattern)``: a pattern holds at most
+    one ``*``, which stands for any text that the target takes over; targets lie below the
+    configuration's folder.
+    """
+    near = applicable_configs(imports.select("file"), rules)
+    found = imports.select("file", "module").distinct().join(near, "file").join(rules, "config_path")
+    star = F.instr("alias_pattern", "*")
+    head, tail = F.substring_index("alias_pattern", "*", 1), F.substring_index("alias_pattern", "*", -1)
+    fits = F.when(star == 0, F.col("module") == F.col("alias_pattern")).otherwise(
+        F.col("module").startswith(head) & F.col("module").endswith(tail) & (F.length("module") >= F.length(head) + F.length(tail)))
+    held = F.when(star == 0, F.lit("")).otherwise(F.substring("module", F.length(head) + 1, F.length("module") - F.length(head) - F.length(tail)))
+    base = F.regexp_replace("target_pattern", r"^\./", "")
+    base = F.concat(F.substring_index(base, "*", 1), F.when(F.contains(base, F.lit("*")), F.concat(held, F.substring_index(base, "*", -1))).otherwise(F.lit("")))
+    base = F.when(F.col("config_dir") == "", base).otherwise(F.concat("config_dir", F.lit("/"), base))
+    return found.where(fits).select("file", "module", normal_path(base).alias("base"), "place").where("base is not null")
 
 
 #: What a relative import may leave out.
@@ -81,47 +192,96 @@ def normal_path(path: Column) -> Column:
     return F.when(~path.startswith("/") & parts.isNotNull(), F.concat_ws("/", parts))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+#: An import names what is built; the source has one of these endings instead.
+RUNTIME_ENDINGS = {".js": [".ts", ".tsx", ".jsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
+JAVA = ".java"
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, rules: DataFrame | None = None, exports: DataFrame | None = None, bundler: DataFrame | None = None) -> DataFrame:
     """Files that imports ``(file, module)`` name: ``(file, module, target_file, stage)``.
 
-    Stages: a relative path with a customary ending; a dotted path from the root; a file of
-    that stem and suffix; any file of that stem. A later stage counts only where no
-    earlier one finds anything, and a relative import is never looked for elsewhere.
+    Stages: 0 a relative path with a customary ending; 1 dotted Java; 2 a bundler's alias,
+    ``bundler(alias, target)``, from the root; 3 an alias or base folder of the nearest
+    configuration, ``rules`` of :func:`alias_matches`; 4 a package's exports,
+    ``exports(package, subpath, target)``; 5 a dotted path from the root; 6 files of that stem
+    and suffix; 7 of that stem and language; 8 the first three of that stem. A later stage
+    counts only where no earlier one finds anything; a relative import, a fitting bundler
+    alias and a package's export are never looked for elsewhere.
     """
-    from loomgraph.functions.text import parent, stem
+    from loomgraph.functions.text import language, parent, stem
 
     wanted = imports.select("file", "module").distinct()
     known = files.select(F.col("path").alias("target_file")).distinct()
-    endings = F.array(*[F.lit(e) for e in IMPORT_ENDINGS])
+    endings = F.array(*[F.lit(e) for e in [*IMPORT_ENDINGS, JAVA]])
 
-    def with_endings(df: DataFrame, base: Column) -> DataFrame:
+    def with_endings(df: DataFrame, base: Column, stage: int) -> DataFrame:
         df = df.withColumn("_base", base).where("_base is not null")
-        df = df.withColumn("target_file", F.explode(F.transform(endings, lambda e: F.concat("_base", e))))
-        return df.join(known, "target_file", "left_semi").drop("_base")
+        named = F.transform(endings, lambda e: F.concat("_base", e))
+        swapped = [F.when(F.col("_base").endswith(k), F.concat(F.regexp_replace("_base", r"\.[^.]*$", ""), F.lit(e))) for k, es in RUNTIME_ENDINGS.items() for e in es]
+        df = df.withColumn("target_file", F.explode(F.array_compact(F.concat(named, F.array(*swapped)))))
+        return df.join(known, "target_file", "left_semi").select("file", "module", "target_file", F.lit(stage).alias("stage")).distinct()
+
+    def without(df: DataFrame, *found: DataFrame) -> DataFrame:
+        for x in found:
+            df = df.join(x.select("file", "module").distinct(), ["file", "module"], "left_anti")
+        return df
 
-    relative = wanted.where(F.col("module").startswith("."))
     folder = parent(F.col("file"))
-    joined = F.when(folder == "", F.col("module")).otherwise(F.concat(folder, F.lit("/"), F.col("module")))
-    first = with_endings(relative, normal_path(joined)).withColumn("stage", F.lit(0))
-    absolute = wanted.where(~F.col("module").startswith("."))
-    second = with_endings(absolute, F.replace("module", F.lit("."), F.lit("/"))).withColumn("stage", F.lit(1))
-    rest = absolute.join(second.select("file", "module").distinct(), ["file", "module"], "left_anti")
-    last = F.element_at(F.split("module", "[./]"), -1)
-    stems = known.withColumn("_stem", stem(F.col("target_file")))
-    third = rest.withColumn("_stem", last).join(stems, "_stem")
-    suffix = lambda c: F.regexp_extract(c, r"\.([^./]*)$", 1)
-    third = third.withColumn("stage", F.when(suffix(F.col("file")) == suffix(F.col("target_file")), 2).otherwise(3)).drop("_stem")
-    least = third.groupBy("file", "module").agg(F.min("stage").alias("stage"))
-    third = third.join(least, ["file", "module", "stage"])
-    columns = ["file", "module", "target_file", "stage"]
-    return first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
+    inside = lambda path: F.when(folder == "", path).otherwise(F.concat(folder, F.lit("/"), path))
+    found = [with_endings(wanted.where(F.col("module").startswith(".")), normal_path(inside(F.col("module"))), 0)]
+    rest = wanted.where(~F.col("module").startswith("."))
+    java = rest.where(F.lower("file").endswith(JAVA) & F.contains("module", F.lit(".")))
+    found.append(with_endings(java, F.replace("module", F.lit("."), F.lit("/")), 1))
+    rest = without(rest, found[-1])
+    if bundler is not None:
+        named = rest.join(bundler.select("alias", "target").distinct(), (F.col("module") == F.col("alias")) | F.startswith("module", F.concat("alias", F.lit("/"))))
+        base = F.concat("target", F.expr("substring(module, length(alias) + 1)"))
+        found.append(with_endings(named, normal_path(F.regexp_replace(base, r"^\./", "")), 2))
+        rest = without(rest, named)
+    if rules is not None:
+        made = alias_matches(rest, rules)
+        hits = with_endings(made.withColumn("module", F.concat_ws("\n", F.col("place").cast("string"), "module")), F.col("base"), 3)
+        hits = hits.withColumns({"place": F.split("module", "\n")[0].cast("long"), "module": F.split("module", "\n")[1]})
+        first = hits.groupBy("file", "module").agg(F.min("place").alias("place"))
+        found.append(hits.join(first, ["file", "module", "place"]).select("file", "module", "target_file", "stage"))
+        rest = without(rest, found[-1])
+    if exports is not None:
+        path = F.when(F.col("module") == F.col("package"), ".").when(F.startswith("module", F.concat("package", F.lit("/"))), F.concat(F.lit("."), F.expr("substring(module, length(package) + 1)")))
+        named = rest.join(exports.select("package", "subpath", "target").distinct(), (F.col("module") == F.col("package")) | F.startswith("module", F.concat("package", F.lit("/"))))
+        named = named.withColumn("_path", path)
+        head, tail = F.substring_index("subpath", "*", 1), F.substring_index("subpath", "*", -1)
+        starred = F.contains("subpath", F.lit("*")) & F.col("_path").startswith(head) & F.col("_path").endswith(tail)
+        held = F.substring("_path", F.length(head) + 1, F.length("_path") - F.length(head) - F.length(tail))
+        named = named.where((F.col("_path") == F.col("subpath")) | starred)
+        base = F.when(F.contains("subpath", F.lit("*")), F.concat(F.substring_index("target", "*", 1), held, F.substring_index("target", "*", -1))).otherwise(F.col("target"))
+        found.append(with_endings(named, normal_path(F.regexp_replace(base, r"^\./", "")), 4))
+        rest = without(rest, named)
+    found.append(with_endings(rest, F.replace("module", F.lit("."), F.lit("/")), 5))
+    rest = without(rest, found[-1])
+    last = F.regexp_replace(F.element_at(F.split("module", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    keyed = rest.withColumn("_stem", F.explode(F.array_distinct(F.array(last, F.element_at(F.split("module", "[./]"), -1)))))
+    near = keyed.join(known.withColumn("_stem", stem(F.col("target_file"))), "_stem").drop("_stem").distinct()
+    suffix = lambda c: F.lower(F.regexp_extract(c, r"\.([^./]*)$", 1))
+    same = language(F.col("file")) == language(F.col("target_file"))
+    near = near.withColumn("stage", F.when(suffix(F.col("file")) == suffix(F.col("target_file")), 6).when(same, 7).otherwise(8))
+    least = near.groupBy("file", "module").agg(F.min("stage").alias("stage"))
+    near = near.join(least, ["file", "module", "stage"])
+    from loomgraph.operators.metrics import top_per_group
+
+    few = top_per_group(near.where("stage = 8"), ["file", "module"], [F.col("target_file")], 3).drop("place")
+    found.append(near.where("stage < 8").unionByName(few.select(near.columns)))
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other.select(every.columns))
+    return every
 
 
 def match_routes(routes: DataFrame, uses: DataFrame) -> DataFrame:
     """Uses ``(use_id, path)`` with the route ``(template)`` they call: equal or normalised
-    first (high), then by pattern (medium).
+    first (high), then by pattern (medium), then by what stands before a last parameter (low).
 
-    Patterns are compared among paths of equally many segments.
+    Patterns are compared among paths of equally many segments; a use is looked up by its
+    own beginnings, and has to go on beyond one by more than a slash.
     """
     from loomgraph.functions.text import route_pattern, route_template
 
@@ -133,4 +293,10 @@ def match_routes(routes: DataFrame, uses: DataFrame) -> DataFrame:
     pattern = open_.withColumn("_n", segments(F.col("path"))).join(
         known.withColumn("_n", segments(F.col("form"))).withColumn("_pattern", route_pattern(F.col("form"))).drop("form"), "_n"
     ).where(F.regexp("path", F.col("_pattern"))).select("use_id", "template", F.lit("medium").alias("confidence"))
-    return best_tier([exact, pattern], ["use_id"], [F.col("template")]).select("use_id", "template", "confidence")
+    before = F.regexp_extract("form", r"^(.*)/\{[^/]*$", 1)
+    heads = known.where(F.contains("form", F.lit("/{"))).select("template", before.alias("_head"), F.length(before).alias("_length"))
+    lengths = heads.agg(F.collect_set("_length")).first()[0]  # of templates, few
+    begun = open_.select("use_id", "path", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")).alias("_length"))
+    begun = begun.where(F.length("path") > F.col("_length") + 1).withColumn("_head", F.expr("substring(path, 1, _length)"))
+    prefix = begun.join(heads, ["_head", "_length"]).select("use_id", "template", F.lit("low").alias("confidence"))
+    return best_tier([exact, pattern, prefix], ["use_id"], [F.col("template")]).select("use_id", "template", "confidence")

@@ -460,8 +460,11 @@ def link_graph(spark, sf_dir):
 
 
 @query(r"""WITH u AS (SELECT page_id AS use_id, regexp_extract(url, '://[^/]*([^?#]*)', 1) AS path FROM pages),
-    r(template, pattern) AS (VALUES ('/en/:id', '^/en/[^/]+$'), ('/:lang/:id', '^/[^/]+/[^/]+$'), ('/fr/:id', '^/fr/[^/]+$'))
-    SELECT use_id, min(template) AS template, 'medium' AS confidence FROM u JOIN r ON regexp_matches(path, pattern) GROUP BY 1""")
+    r(template, pattern) AS (VALUES ('/en/:id', '^/en/[^/]+$'), ('/:lang/:id', '^/[^/]+/[^/]+$'), ('/fr/:id', '^/fr/[^/]+$')),
+    m AS (SELECT use_id, min(template) AS template, 'medium' AS confidence FROM u JOIN r ON regexp_matches(path, pattern) GROUP BY 1),
+    h(template, head) AS (VALUES ('/en/:id', '/en'), ('/:lang/:id', '/{lang}'), ('/fr/:id', '/fr'))
+    SELECT * FROM m UNION ALL SELECT use_id, min(template), 'low' FROM u JOIN h ON starts_with(path, head) AND length(path) > length(head) + 1
+    WHERE use_id NOT IN (SELECT use_id FROM m) GROUP BY 1""")
 def route_match(spark, sf_dir):
     path = F.regexp_extract("url", "://[^/]*([^?#]*)", 1)
     uses = table(spark, sf_dir, "pages").select(F.col("page_id").alias("use_id"), path.alias("path"))

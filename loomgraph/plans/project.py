@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import metrics, related, risk, search
+from loomgraph.operators import graph, joins, metrics, related, risk, search
 from loomgraph.plans.catalog import query
 
 KINDS = "CASE p_size % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' WHEN 3 THEN 'interface' ELSE 'element' END"
@@ -180,7 +180,7 @@ def expanded_query(spark, sf_dir):
     return search.keyword_rows(spark, TOPIC_WORDS).withColumnRenamed("keyword", "word")
 
 
-IMPORTS = "SELECT DISTINCT a.file, regexp_replace(b.file, '\\.[^./]*$', '') AS module FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE edges.kind = 'import' AND src % 7 = 0"
+IMPORTS = "SELECT DISTINCT a.file, regexp_replace(b.file, '\\.[^./]*$', '') AS module FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE edges.kind = 'import'"
 
 
 @query(f"""WITH {WITH}, tests AS (SELECT file AS t FROM files WHERE {IS_TEST}), bare AS (SELECT file, regexp_replace(regexp_replace({STEM}, '_test$', ''), '^test_', '') AS bare FROM files),
@@ -193,7 +193,7 @@ IMPORTS = "SELECT DISTINCT a.file, regexp_replace(b.file, '\\.[^./]*$', '') AS m
 def related_tests(spark, sf_dir):
     """The tests of every file: by name, folder, import and reference."""
     files, symbols, edges = relations(spark, sf_dir)
-    ends = edges.where("kind = 'import' and src % 7 = 0").join(symbols.select(F.col("id").alias("src"), "file"), "src").join(
+    ends = edges.where("kind = 'import'").join(symbols.select(F.col("id").alias("src"), "file"), "src").join(
         symbols.select(F.col("id").alias("dst"), F.regexp_replace("file", r"\.[^./]*$", "").alias("module")), "dst")
     none = spark.createDataFrame([], "a string, b string, n long")
     found = related.related_tests(files, files, ends.select("file", "module").distinct(), edges, symbols, none)
@@ -217,3 +217,99 @@ def risk_assess(spark, sf_dir):
     targets = metrics.full_analysis(files, symbols, edges).join(ranks, "file").select(F.col("file").alias("change_id"), "file", "neighbors", "top_rank")
     ends = edges.where("kind = 'import'").join(symbols.select(F.col("id").alias("src"), "file"), "src").join(symbols.select(F.col("id").alias("dst"), F.col("file").alias("change_id")), "dst")
     return risk.assess(targets, ends.where("file <> change_id").select("change_id", "file").distinct())
+
+
+#: The two files that each file imports most from.
+LINKS = """links AS (SELECT a.file AS src, b.file AS dst FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.file <> b.file AND edges.kind = 'import' GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY a.file ORDER BY count(*) DESC, b.file) <= 2)"""
+TOPS = """tops AS (SELECT file, id FROM symbols QUALIFY row_number() OVER (PARTITION BY file ORDER BY CASE visibility WHEN 'exported' THEN 3 WHEN 'public' THEN 2 WHEN 'private' THEN 1 ELSE 0 END
+        + CASE WHEN kind IN ('class', 'interface') THEN 4 WHEN kind IN ('function', 'method') THEN 3 ELSE 1 END DESC, line, id) <= 3)"""
+
+
+def sparse(spark, sf_dir):
+    """``files``, ``symbols`` and the import edges from each file to the two that it imports most
+    from: of all edges, which link every file with nearly every other, those that tell files apart."""
+    files, symbols, edges = relations(spark, sf_dir)
+    ends = edges.where("kind = 'import'").join(symbols.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(symbols.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
+    counts = ends.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    best = metrics.top_per_group(counts, ["a"], [F.desc("n"), F.col("b")], 2).select("a", "b")
+    return files, symbols, ends.join(best, ["a", "b"], "left_semi").select("src", "dst", "kind")
+
+
+@query(f"WITH {WITH}, {TOPS} SELECT file, id FROM tops")
+def top_symbols(spark, sf_dir):
+    return graph.top_symbols(relations(spark, sf_dir)[1])
+
+
+@query(f"WITH {WITH}, {LINKS}, {TOPS} SELECT DISTINCT a.id AS src, b.id AS dst, 0.35::DOUBLE AS weight, 'import' AS kind FROM links JOIN tops a ON a.file = src JOIN tops b ON b.file = dst WHERE a.id <> b.id")
+def import_edges(spark, sf_dir):
+    _, symbols, edges = sparse(spark, sf_dir)
+    links = graph.file_edges(edges, symbols)
+    return graph.import_edges(symbols, links.select(F.col("src").alias("file"), F.col("dst").alias("target_file")))
+
+
+LANGUAGE = "CASE WHEN {0} LIKE '%.py' THEN 'python' WHEN {0} LIKE '%.tsx' THEN 'tsx' ELSE 'typescript' END"
+
+
+@query(f"""WITH RECURSIVE {WITH}, {LINKS}, back AS (SELECT dst AS a, src AS b FROM links WHERE {LANGUAGE.format("src")} = {LANGUAGE.format("dst")}),
+    seed AS (SELECT file FROM files WHERE file LIKE 'src/auth/%'),
+    walk(file, hop) AS (SELECT file, 0 FROM seed UNION SELECT b, hop + 1 FROM walk JOIN back ON a = file WHERE hop < 2),
+    best AS (SELECT file, min(hop) AS hop FROM walk GROUP BY 1)
+    SELECT file AS test_file, hop, CASE WHEN EXISTS (SELECT 1 FROM links l WHERE l.src = file AND l.dst LIKE 'src/auth/%') THEN 'imports a changed file' WHEN hop = 1 THEN 'refers to a changed file' ELSE 'depends on a changed file' END AS reason
+    FROM best WHERE hop > 0 AND {IS_TEST}""")
+def affected(spark, sf_dir):
+    """The tests that a change of all files of src/auth reaches in two steps."""
+    files, symbols, edges = sparse(spark, sf_dir)
+    links = graph.file_edges(edges, symbols).select(F.col("src").alias("file"), F.col("dst").alias("target_file"))
+    found = graph.affected_tests(edges, symbols, files.where("file like 'src/auth/%'"), links)
+    return found.select("test_file", "hop", "reason")
+
+
+@query(f"""WITH {WITH}, {LINKS}, t AS (SELECT file FROM files WHERE file LIKE 'lib/queue/%'), one AS (SELECT src AS file, 1 AS o FROM links WHERE dst IN (SELECT file FROM t)
+        UNION SELECT dst, 2 FROM links WHERE src IN (SELECT file FROM t)), f AS (SELECT file, min(o) AS o FROM one WHERE file NOT IN (SELECT file FROM t) GROUP BY 1)
+    SELECT file, 1 AS hop, CASE o WHEN 1 THEN 'high' ELSE 'medium' END AS confidence FROM f""")
+def impact_files(spark, sf_dir):
+    files, symbols, edges = sparse(spark, sf_dir)
+    return graph.impact_files(edges, symbols, files.where("file like 'lib/queue/%'"))
+
+
+@query(f"""WITH {WITH}, u AS (SELECT DISTINCT dst AS id, src FROM edges WHERE dst IN (SELECT id FROM symbols WHERE file LIKE 'lib/queue/%') AND src IN (SELECT id FROM symbols WHERE NOT file LIKE 'lib/queue/%')),
+    p AS (SELECT id, src FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src) <= 10) SELECT id, string_agg(src, ',' ORDER BY src) AS callers FROM p GROUP BY 1""")
+def type_impact(spark, sf_dir):
+    files, symbols, edges = relations(spark, sf_dir)
+    found = graph.type_impact(edges, symbols, files.where("file like 'lib/queue/%'"))
+    return found.select("id", F.concat_ws(",", F.transform("callers", lambda x: x.cast("string"))).alias("callers"))
+
+
+@query(f"""WITH {WITH}, {LINKS}, callers AS (SELECT a.id AS call_id, a.file, a.line, b.name, CASE WHEN a.id % 2 = 0 THEN 'member' ELSE 'direct' END AS call_kind
+        FROM symbols a JOIN symbols b ON b.id = (a.id * 7 + 3) % (SELECT count(*) FROM part)),
+    c AS (SELECT id AS target, name, kind, file AS tf, line AS tl, visibility = 'exported' AS ex FROM symbols WHERE kind IN ('function', 'method')),
+    k AS (SELECT name, count(*) AS n, count(*) FILTER (ex) AS ne FROM c GROUP BY 1),
+    m AS (SELECT call_id, target, tf, tl, ex, line, CASE WHEN EXISTS (SELECT 1 FROM links l WHERE l.src = callers.file AND l.dst = tf) THEN 1
+        WHEN callers.file = tf AND (call_kind = 'direct' OR kind = 'method') THEN 2 WHEN call_kind = 'direct' AND n = 1 THEN 3 WHEN call_kind = 'direct' AND ex AND ne = 1 THEN 4 END AS tier FROM callers JOIN c USING (name) JOIN k USING (name))
+    SELECT call_id, target, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY tier, abs(line - tl), NOT ex, tf, tl, target) = 1""")
+def call_targets(spark, sf_dir):
+    """Every symbol calls the name of another one."""
+    _, symbols, edges = sparse(spark, sf_dir)
+    n = symbols.count()
+    other = symbols.select(F.col("id").alias("to"), F.col("name").alias("called"))
+    calls = symbols.withColumn("to", (F.col("id") * 7 + 3) % n).join(other, "to").select(
+        F.col("id").alias("call_id"), "file", "line", F.col("called").alias("name"), F.when(F.col("id") % 2 == 0, "member").otherwise("direct").alias("call_kind"))
+    links = graph.file_edges(edges, symbols).select(F.col("src").alias("file"), F.col("dst").alias("target_file"))
+    return joins.resolve_calls(calls, symbols, links)
+
+
+@query(f"""WITH {WITH}, fs AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS k FROM files),
+    placed AS (SELECT event_id AS issue_id, file, (event_id * 13 % 550)::INT AS pos FROM events JOIN fs ON k = event_id % (SELECT count(*) FROM files)),
+    c AS (SELECT issue_id, name, (line = pos) AS is_exact, row_number() OVER (PARTITION BY issue_id ORDER BY line <> pos, line, id) AS r FROM placed JOIN symbols USING (file) WHERE pos BETWEEN line AND line + 50)
+    SELECT issue_id, name AS symbol, CASE WHEN is_exact THEN 'exact' ELSE 'line' END AS confidence FROM c WHERE r = 1""")
+def diagnostic_symbols(spark, sf_dir):
+    """Events as issues on lines of the project's files."""
+    from pyspark.sql import Window as W
+
+    files, symbols, edges = relations(spark, sf_dir)
+    numbered = files.select("file", (F.row_number().over(W.orderBy("file")) - 1).alias("k"))  # some hundred files
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.col("event_id") % files.count())
+    issues = events.join(numbered, "k").select(F.col("event_id").alias("issue_id"), "file", (F.col("event_id") * 13 % 550).cast("int").alias("line"))
+    found = joins.diagnostic_symbols(issues, symbols.withColumn("end_line", F.col("line")), edges)
+    return found.select("issue_id", "symbol", "confidence")
