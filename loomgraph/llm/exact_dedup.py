@@ -62,7 +62,7 @@ def _digests(key_bytes: int, with_text: bool, held: tuple[bytes, int] | None):
     """A map of batches (id, text) to (id, n_cp, sha, key) or, for hits, with the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows = {"id": [], "n_cp": [], "sha": [], "key": [], "norm": []}
             for id_, text in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py() or ""

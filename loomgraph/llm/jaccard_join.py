@@ -16,7 +16,7 @@ from loomgraph.llm.shared import gone, stored
 from loomgraph.llm.words import mix, word_hashes
 
 #: Cells of the frequency sketch: 2**SKETCH_BITS counters of four bytes.
-SKETCH_BITS = 24
+SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Sets that a task remembers, to leave out copies of them.
 REMEMBERED = 1 << 20
 #: Shingles for each range of signatures, at most: a task merges one range.
@@ -89,14 +89,17 @@ def _survey(width: int, bits: int, parts: int, kind: pa.Schema):
     """
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
         waiting: list[np.ndarray] = []
         seen: set[int] = set()
+        each = (1 << bits) // parts
 
         def count():
-            cells, n = np.unique(np.concatenate(waiting) >> np.uint64(64 - bits), return_counts=True)
-            counts[cells.astype(np.int64)] += n.astype(np.uint32)
+            cells, n = np.unique((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
             waiting.clear()
+            cuts = np.searchsorted(cells, np.arange(parts + 1) * each)
+            some = [slice(cuts[k], cuts[k + 1]) for k in range(parts)]
+            told = {"part": pa.array(range(parts), pa.int32()), "counts": pa.array([packed_counts(cells[x] - np.uint32(k * each), n[x]) for k, x in enumerate(some)], pa.binary())}
+            return pa.RecordBatch.from_arrays([told[f.name] if f.name in told else pa.nulls(parts, f.type) for f in kind], schema=kind)
 
         for batch in batches:
             for part in _groups(batch):
@@ -113,20 +116,32 @@ def _survey(width: int, bits: int, parts: int, kind: pa.Schema):
                 made = [pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(shorts, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*made, *[c.cast(f.type) for c, f in zip(part.columns[1:], list(kind)[5:], strict=True)]], schema=kind)
                 if sum(map(len, waiting)) > 1 << 20:
-                    count()
+                    yield count()
                 if len(seen) > REMEMBERED:
                     seen.clear()
         if waiting:
-            count()
-        told = {"part": pa.array(range(parts), pa.int32()), "counts": pa.array([packed(p) for p in np.split(counts, parts)], pa.binary())}
-        yield pa.RecordBatch.from_arrays([told[f.name] if f.name in told else pa.nulls(parts, f.type) for f in kind], schema=kind)
+            yield count()
 
     return run
 
 
-def _add_sketches(group: pa.Table) -> pa.Table:
-    total = sum(unpacked(c, np.uint32) for c in group["counts"].to_pylist())
-    return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
+def packed_counts(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted cells as differences, and their counts."""
+    made = packed(np.diff(cells, prepend=np.uint32(0)).astype(np.uint32))
+    return len(made).to_bytes(8, "little") + made + packed(counts.astype(np.uint32))
+
+
+def _add_sketches(size: int):
+    """Adds the counts of a stretch of ``size`` cells."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint32)
+        for data in group["counts"].to_pylist():
+            cut = 8 + int.from_bytes(data[:8], "little")
+            total[np.cumsum(unpacked(data[8:cut], np.uint32), dtype=np.uint32)] += unpacked(data[cut:], np.uint32)
+        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
+
+    return run
 
 
 def allowed_losses(n: int, percent: int) -> int:
@@ -544,7 +559,7 @@ def join(
     made = [("n", T.LongType()), ("node", T.LongType()), ("short", T.BinaryType()), ("part", T.IntegerType()), ("counts", T.BinaryType())]
     shape = T.StructType([*[T.StructField(*c) for c in made], *[T.StructField(f.name, f.dataType) for f in base.schema.fields[1:]]])  # all may be null
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    survey = stored(base.mapInArrow(_survey(width, sketch_bits, 64, to_arrow_schema(shape)), shape), "jaccard-survey")
+    survey = stored(base.mapInArrow(_survey(width, sketch_bits, SKETCH_PARTS, to_arrow_schema(shape)), shape), "jaccard-survey")
     rows = survey.where("part is null").drop("short", "part", "counts")
     parts = max(parts, (rows.agg(F.sum("n")).first()[0] or 0) // RANGE_SHINGLES)
     # texts without shingles are linked with nothing
@@ -554,7 +569,7 @@ def join(
     texts = base.where("id is not null").select("text", "id")
 
     cells = survey.where("part is not null").select("part", "counts")
-    cells = stored(cells.groupBy("part").applyInArrow(_add_sketches, "part int, counts binary"), "jaccard-sketch")
+    cells = stored(cells.groupBy("part").applyInArrow(_add_sketches((1 << sketch_bits) // SKETCH_PARTS), "part int, counts binary"), "jaccard-sketch")
     counted = [unpacked(bytes(r["counts"]), np.uint32) for r in cells.orderBy("part").collect()]  # 2**sketch_bits counters
     flags = np.packbits(_frequent_cells(np.concatenate(counted))).tobytes() if counted else bytes(1 << sketch_bits >> 3)
     gone(cells)

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from loomgraph.llm.shared import process_cache
 
 #: Texts are hashed in pieces of about so many bytes.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15 | 2), np.uint64(0xBF58476D1CE4E5B9)
 
 
