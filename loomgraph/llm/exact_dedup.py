@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.shared import stored
+from loomgraph.llm.shared import let_go, stored
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bits per digest of a run's filter, and probes.
@@ -62,6 +62,7 @@ def _digests(key_bytes: int, with_text: bool, held: tuple[bytes, int] | None):
     """A map of batches (id, text) to (id, n_cp, sha, key) or, for hits, with the text."""
 
     def run(batches):
+        let_go("encoders")
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows = {"id": [], "n_cp": [], "sha": [], "key": [], "norm": []}
             for id_, text in zip(batch.column(0), batch.column(1), strict=True):

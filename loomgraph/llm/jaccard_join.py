@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.exact_dedup import FILTER_BITS, HELD_FILTER_BYTES, filter_of, may_hold
 from loomgraph.llm.language_model import packed, unpacked
-from loomgraph.llm.shared import gone, stored
+from loomgraph.llm.shared import gone, let_go, stored
 from loomgraph.llm.words import mix, word_hashes
 
 #: Cells of the frequency sketch: 2**SKETCH_BITS counters of four bytes.
@@ -89,6 +89,7 @@ def _survey(width: int, bits: int, parts: int, kind: pa.Schema):
     """
 
     def run(batches):
+        let_go("encoders")
         waiting: list[np.ndarray] = []
         seen: set[int] = set()
         each = (1 << bits) // parts

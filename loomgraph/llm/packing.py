@@ -82,6 +82,7 @@ def _tokenise(tokenizer_json: str, end_id: int, id_type):
                 keys = curve_keys(np.stack([document_vector(x) for x in found]))
                 data = [[r[0] for r in rows], keys, [x.astype("<u4" if x.dtype.itemsize == 4 else "<u2").tobytes() for x in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, kind, strict=True)], schema=kind)
+        encode.settle()
 
     return run, encoder(tokenizer_json, False).dtype.str
 

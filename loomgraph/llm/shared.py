@@ -85,6 +85,11 @@ def process_cache(name: str, make=dict):
     return kept[name]
 
 
+def let_go(name: str) -> None:
+    """Drops a value of :func:`process_cache` when the worker turns to another operator."""
+    sys.__dict__.get("_loomgraph_cache", {}).pop(name, None)
+
+
 def put_file(folder: str, name: str, data: bytes) -> str:
     """Writes a file into a folder given as a URI, in one step as others see it.
 

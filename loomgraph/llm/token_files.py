@@ -130,6 +130,7 @@ def _writer(folder: str, tokenizer_json: str, end_id: int, keeps_space: bool, fi
                         names, arrays, count, seq = [], [], 0, seq + 1
         if names:
             yield close()
+        encode.settle()
 
     return run
 

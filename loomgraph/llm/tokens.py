@@ -16,6 +16,7 @@ from loomgraph.llm.shared import process_cache
 
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+WAITING = 300_000
 SHORT = 9
 MARKS = ".,;:!?"
 
@@ -80,6 +81,13 @@ class ChunkEncoder:
                     del known[chunk]
         return found
 
+    def settle(self) -> None:
+        """At the end of a task: a worker that waits for another holds short chunks alone."""
+        if len(self.known) > WAITING:
+            short = [(c, ids) for c, ids in self.known.items() if len(c) <= SHORT][:WAITING]
+            self.known.clear()
+            self.known.update({"": b""} | dict(short))
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
