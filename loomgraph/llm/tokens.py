@@ -34,7 +34,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.marked = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
+        self.marks = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
+        self.heads = sorted({c for m in marks for c in (m[0].lower(), m[0].upper())})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {"": b""}
@@ -57,8 +58,10 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. One that holds the string of an added token, which the tokenizer
         looks for before it cuts, is encoded as a whole."""
-        if self.marked and any(map(self.marked.search, texts)):
-            return [self.whole(t) if self.marked.search(t) else self.encode([t])[0] for t in texts]
+        marked = [self.marked(t) for t in texts]
+        if any(marked):
+            rest = iter(self.encode([t for t, m in zip(texts, marked, strict=True) if not m]))
+            return [self.whole(t) if m else next(rest) for t, m in zip(texts, marked, strict=True)]
         known, cut = self.known, [self.chunks(t) for t in texts]
         missing = set().union(*cut).difference(known)
         if missing and self.keeps_space:
@@ -81,6 +84,10 @@ class ChunkEncoder:
                     del known[chunk]
         return found
 
+    def marked(self, text: str) -> bool:
+        """Whether a text may hold the string of an added token; most lack even its first letter."""
+        return any(h in text for h in self.heads) and self.marks.search(text) is not None
+
     def settle(self) -> None:
         """At the end of a task: a worker that waits for another holds short chunks alone."""
         if len(self.known) > WAITING:
