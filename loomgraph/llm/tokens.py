@@ -7,10 +7,14 @@ itself always cuts, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from loomgraph.llm.shared import process_cache
 
@@ -18,7 +22,15 @@ from loomgraph.llm.shared import process_cache
 REMEMBERED = 1_000_000
 WAITING = 300_000
 SHORT = 9
-MARKS = ".,;:!?"
+#: Letters and signs that no normal form joins, and the pieces both kinds of tokenizer cut them into.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|"
+PLAIN = re.compile(f"[{LETTERS}]+")
+PIECE = re.compile(f" ?(?:[{LETTERS}]+|[{SIGNS}]+)|\n")
+MIXED = re.compile(f" ?(?:[{LETTERS}]+|[{SIGNS}]+)(?:\n?(?:[{LETTERS}]+|[{SIGNS}]+))*")
+#: Words that one call encodes together.
+TOGETHER = 50
+#: Chunks whose ids are laid out at a time.
+BLOCK = 1 << 18
 
 
 class ChunkEncoder:
@@ -40,6 +52,10 @@ class ChunkEncoder:
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {"": b""}
         self.safe = re.compile(r"(?<=\S)(?= \S)")
+        # which ids begin a word with its space, or else end a word
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
 
     def chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
@@ -62,22 +78,28 @@ class ChunkEncoder:
         if any(marked):
             rest = iter(self.encode([t for t, m in zip(texts, marked, strict=True) if not m]))
             return [self.whole(t) if m else next(rest) for t, m in zip(texts, marked, strict=True)]
+        with no_collection():
+            return self.encode_plain(texts)
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         known, cut = self.known, [self.chunks(t) for t in texts]
-        missing = set().union(*cut).difference(known)
+        words, codes = numbered(cut)
+        missing = set(words).difference(known)
         if missing and self.keeps_space:
             # white space after a space: cut such a text more carefully
             odd = {c for c in missing if not self.clean(c)}
             if odd:
                 cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
-                missing = set().union(*cut).difference(known)
+                words, codes = numbered(cut)
+                missing = set(words).difference(known)
         if len(known) + len(missing) > REMEMBERED:  # short chunks are the ones that come again
             short = {c: ids for c, ids in known.items() if len(c) <= SHORT}
             known.clear()
             known.update(short if 2 * len(short) < REMEMBERED else {"": b""})
-            missing = set().union(*cut).difference(known)
+            missing = set(words).difference(known)
         if missing:
             self.learn(missing)
-        found = [np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype) for parts in cut]
+        found = spread([known[w] for w in words], codes, np.array([len(p) for p in cut]), self.dtype)
         if self.keeps_space:  # chunks that are right only where they stood are not remembered
             for chunk in missing:
                 if not self.clean(chunk):
@@ -99,15 +121,72 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def learn(self, missing: set[str]) -> None:
-        """Encodes chunks. A mark at the end of a letter is always a piece of its own, so
-        the chunk without it, often known or wanted too, is encoded instead."""
+        """Encodes chunks. One of letters and signs is cut into its pieces, often known or
+        wanted too, and these are encoded instead; words go to the tokenizer together."""
         known = self.known
-        marked = {c for c in missing if c[-1] in MARKS and len(c) > 1 and c[-2].lower().isalpha() and c[-2] < "\u0250"}
-        order = list((missing - marked).union(c[:-1] for c in marked).union(c[-1] for c in marked).difference(known))
-        for chunk, got in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+        mixed = {c: p for c in missing if MIXED.fullmatch(c) and len(p := PIECE.findall(c)) > 1}
+        wanted = missing.difference(mixed).union(*mixed.values()).difference(known)
+        first = 1 if self.keeps_space else 0
+        plain = [c for c in wanted if PLAIN.fullmatch(c, first) and (not first or c[0] == " ")]
+        self.learn_words(plain)
+        rest = list(wanted.difference(plain))
+        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[chunk] = np.array(got.ids, self.dtype).tobytes()
-        for chunk in marked:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+        for chunk, pieces in mixed.items():
+            known[chunk] = b"".join(map(known.__getitem__, pieces))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encodes words side by side and cuts their ids where a word begins or ends. Where the
+        cuts are not as many as the words, each word is encoded alone."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        joined = [("" if self.keeps_space else " ").join(g) for g in groups]
+        width = self.dtype.itemsize
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.dtype)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(group):
+                for word in group:
+                    self.known[word] = self.whole(word).tobytes()
+                continue
+            ends = (np.append(edges[1:], len(ids)) if self.keeps_space else edges + 1) * width
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(group, ends.tolist(), strict=True):
+                self.known[word] = raw[start:end]
+                start = end
+
+
+@contextmanager
+def no_collection():
+    """Keeps the collector of cycles from walking the chunks again and again; there are no cycles in them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def numbered(cut: list[list[str]]) -> tuple[list[str], np.ndarray]:
+    """The distinct chunks of all texts, and the number of the chunk at each place."""
+    coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def spread(kinds: list[bytes], codes: np.ndarray, counts: np.ndarray, dtype: np.dtype) -> list[np.ndarray]:
+    """The ids of each text: ``kinds`` holds the ids of each distinct chunk, ``codes`` the chunks
+    of all texts in a row, of which each text has its count."""
+    data = np.frombuffer(b"".join(kinds), dtype)
+    lengths = np.fromiter(map(len, kinds), np.int64, len(kinds)) // dtype.itemsize
+    starts = np.cumsum(lengths) - lengths
+    blocks, ends = [], np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(lengths[codes], out=ends[1:])
+    for i in range(0, len(codes), BLOCK):
+        part, to = codes[i : i + BLOCK], ends[i : i + BLOCK + 1] - ends[i]
+        blocks.append(data[np.repeat(starts[part] - to[:-1], lengths[part]) + np.arange(to[-1])])
+    ids = np.concatenate(blocks) if blocks else data
+    bounds = ends[np.concatenate(([0], np.cumsum(counts)))] if len(counts) else ends[:1]
+    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def encoder(tokenizer_json: str, keeps_space: bool) -> ChunkEncoder:
