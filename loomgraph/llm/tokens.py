@@ -24,9 +24,10 @@ WAITING = 300_000
 SHORT = 9
 #: Letters and signs that no normal form joins, and the pieces both kinds of tokenizer cut them into.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|"
-PLAIN = re.compile(f"[{LETTERS}]+")
-PIECE = re.compile(f" ?(?:[{LETTERS}]+|[{SIGNS}]+)|\n")
-MIXED = re.compile(f" ?(?:[{LETTERS}]+|[{SIGNS}]+)(?:\n?(?:[{LETTERS}]+|[{SIGNS}]+))*")
+RUN = f"(?:[{LETTERS}]++|[{SIGNS}]++)"  # possessive: a run is never taken in parts, so no match takes long
+PLAIN = re.compile(f" ?[{LETTERS}]++")
+PIECE = re.compile(f" ?{RUN}|\\n")
+MIXED = re.compile(f" ?{RUN}(?:\\n?{RUN})*+")
 #: Words that one call encodes together.
 TOGETHER = 50
 #: Chunks whose ids are laid out at a time.
@@ -124,10 +125,10 @@ class ChunkEncoder:
         """Encodes chunks. One of letters and signs is cut into its pieces, often known or
         wanted too, and these are encoded instead; words go to the tokenizer together."""
         known = self.known
-        mixed = {c: p for c in missing if MIXED.fullmatch(c) and len(p := PIECE.findall(c)) > 1}
+        other = [c for c in missing if not PLAIN.fullmatch(c)]
+        mixed = {c: p for c in other if MIXED.fullmatch(c) and len(p := PIECE.findall(c)) > 1}
         wanted = missing.difference(mixed).union(*mixed.values()).difference(known)
-        first = 1 if self.keeps_space else 0
-        plain = [c for c in wanted if PLAIN.fullmatch(c, first) and (not first or c[0] == " ")]
+        plain = [c for c in wanted if (c[0] == " ") == self.keeps_space and PLAIN.fullmatch(c)]
         self.learn_words(plain)
         rest = list(wanted.difference(plain))
         for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
