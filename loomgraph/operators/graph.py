@@ -7,56 +7,89 @@ checkpoint folder, so a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+#: Shuffle files of a job go at its end, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{warehouse}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
-def pagerank(
-    vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6, cut_every: int = 4
-) -> DataFrame:
+def _written(df: DataFrame, write) -> str:
+    """A fresh folder into which ``write(writer, folder)`` has put the rows."""
+    spark = df.sparkSession
+    folder, before = f"{_shared(spark)}/{uuid.uuid4().hex}", spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        write(df.write.option("compression", "zstd"), folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return folder
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6) -> DataFrame:
     """``(id, rank)`` by weighted power iteration; ranks are divided by their sum each round.
 
     Sources whose total weight is not a positive number send nothing. ``tolerance`` ends
-    the loop once no rank moves by more; None runs all iterations. The sum that ranks are
-    divided by follows from the ranks before: what arrives is what senders had. It is a
-    window of one row beside each, so a round is one join and one aggregate; lineage is cut
-    every ``cut_every`` rounds.
+    the loop once no rank moves by more; None runs all iterations. Edges are exchanged once
+    and lie in the shared folder in buckets by source, sorted and compressed. A round brings
+    each bucket the ranks of its sources, sums by target and writes the vertices alone; the
+    vertices of the round before and its shuffle files are deleted.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    out = out.where((F.col("total") > 0) & ~F.isnan("total") & (F.col("total") < float("inf")))
-    ids = vertices.select("id").distinct()
-    known = ids.select(F.col("id").alias("dst"))
-    shares = edges.join(out, "src").join(known, "dst", "left_semi").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("share"))
-    sent = shares.groupBy("src").agg(F.sum("share").alias("sends"))
-    ids = _cut(ids.join(sent, ids["id"] == sent["src"], "left").select("id", F.coalesce("sends", F.lit(0.0)).alias("sends")))
-    shares = _cut(shares)
-    n = ids.count()
-    if not n:
-        return ids.select("id", F.lit(0.0).alias("rank"))
-    ranks = ids.select("id", "sends", F.lit(1.0 / n).alias("rank"))
-    for round_ in range(1, iterations + 1):
-        total = ranks.agg((F.lit(1 - damping) + damping * F.sum(F.col("rank") * F.col("sends"))).alias("sum"))  # one row
-        got = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        raw = ranks.join(got, ranks["id"] == got["dst"], "left").join(F.broadcast(total))
-        value = (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))) / F.col("sum")
-        moved = raw.select("id", "sends", F.col("rank").alias("old"), value.alias("rank"))
-        last = round_ == iterations
-        if tolerance is not None or round_ % cut_every == 0 or last:
-            moved = _cut(moved)
-        ranks = moved.select("id", "sends", "rank")
-        if tolerance is not None and moved.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-            break
-    return ranks.select("id", "rank")
+    spark = vertices.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"loomgraph_edges_{uuid.uuid4().hex}"
+    sent = edges.select("src", "dst", "weight").repartition(buckets, "src").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    there = _written(
+        sent.sortWithinPartitions("src", "dst"),
+        lambda writer, folder: writer.bucketBy(buckets, "src").sortBy("src", "dst").option("path", folder).saveAsTable(name),
+    )
+    kept = lambda df: _written(df, lambda writer, folder: writer.parquet(folder))
+    try:
+        links = spark.table(name)
+        out = links.groupBy("src").agg(F.sum("weight").cast("double").alias("total"))
+        out = out.where((F.col("total") > 0) & ~F.isnan("total") & (F.col("total") < float("inf")))
+        ids = vertices.select("id").distinct()
+        ranks = ids.join(out, ids["id"] == out["src"], "left").select("id", "total", F.lit(1.0).alias("old"), F.lit(1.0).alias("raw"))
+        shape, folder = ranks.schema, kept(ranks)
+        ranks = spark.read.schema(shape).parquet(folder)
+        n = total = ranks.count()
+        for _ in range(iterations if n else 0):
+            rank = F.col("raw") / F.lit(float(total))
+            pushed = ranks.where("total is not null").select(F.col("id").alias("src"), (rank / F.col("total")).alias("push"))
+            got = links.join(pushed.hint("shuffle_hash"), "src").groupBy("dst").agg(F.sum(F.col("push") * F.col("weight")).alias("got"))
+            value = F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))
+            last, folder = folder, kept(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "total", rank.alias("old"), value.alias("raw")))
+            _deleted(spark, last)
+            ranks = spark.read.schema(shape).parquet(folder)
+            total = ranks.agg(F.sum("raw")).first()[0]
+            if tolerance is not None and ranks.agg(F.max(F.abs(F.col("raw") / F.lit(total) - F.col("old")))).first()[0] < tolerance:
+                break
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _deleted(spark, there)
+    return ranks.select("id", (F.col("raw") / F.lit(float(total or 1))).alias("rank"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:

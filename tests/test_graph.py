@@ -157,3 +157,19 @@ def test_route_matching(spark):
     uses = spark.createDataFrame([(1, "/users/me"), (2, "/users/7"), (3, "/users/{id}"), (4, "/none")], "use_id long, path string")
     got = {r.use_id: (r.template, r.confidence) for r in joins.match_routes(routes, uses).collect()}
     assert got == {1: ("/users/me", "high"), 2: ("/users/:id", "medium"), 3: ("/users/:id", "high")}
+
+
+def test_pagerank_keeps_its_edges_once_and_packed(spark):
+    import os
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400), 1.0, "call") for _ in range(60_000)]
+    edges = spark.createDataFrame(pairs, "src int, dst int, weight double, kind string")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for f in fs)
+    graph.pagerank(vertices(spark, "ab"), edge_table(spark, []))
+    before, tables = held(), len(spark.catalog.listTables())
+    ids = spark.range(401).selectExpr("cast(id as int) id")
+    got = {r["id"]: r["rank"] for r in graph.pagerank(ids, edges, iterations=3, tolerance=None).collect()}
+    want = plain_pagerank(list(range(401)), [(a, b, w) for a, b, w, _ in pairs], 3)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert held() - before < 100_000 and len(spark.catalog.listTables()) == tables  # the last vertices alone are left
