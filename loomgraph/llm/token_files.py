@@ -58,10 +58,10 @@ def unpack_block(data: memoryview) -> np.ndarray:
     places = np.frombuffer(data, "<u2", n, 7)
     patches = np.frombuffer(data, "<u4", n, 7 + 2 * n)
     planes = np.frombuffer(data, np.uint8, width * BLOCK // 8, 7 + 6 * n).reshape(width, BLOCK // 8)
-    bits = np.unpackbits(planes, axis=1)
-    values = np.zeros(BLOCK, np.uint32)
-    for b in range(width):
-        values |= bits[b].astype(np.uint32) << np.uint32(b)
+    size = next(n for n in (1, 2, 4) if width <= 8 * n)  # bytes of a value
+    bits = np.zeros((8 * size, BLOCK), np.uint8)
+    bits[8 * size - width :] = np.unpackbits(planes[::-1], axis=1)
+    values = np.packbits(np.ascontiguousarray(bits.T)).view(f">u{size}").astype(np.uint32)
     values[places] = patches
     return values + np.uint32(low)
 

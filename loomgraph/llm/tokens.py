@@ -10,11 +10,11 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import pyarrow as pa
 
 from loomgraph.llm.shared import process_cache
 
@@ -28,6 +28,8 @@ RUN = f"(?:[{LETTERS}]++|[{SIGNS}]++)"  # possessive: a run is never taken in pa
 PLAIN = re.compile(f" ?[{LETTERS}]++")
 PIECE = re.compile(f" ?{RUN}|\\n")
 MIXED = re.compile(f" ?{RUN}(?:\\n?{RUN})*+")
+#: Among chunks behind a zero each, a space with white space or nothing behind it.
+ODD = re.compile("\0 (?:[\\s\0]|$)")
 #: Words that one call encodes together.
 TOGETHER = 50
 #: Chunks whose ids are laid out at a time.
@@ -51,7 +53,8 @@ class ChunkEncoder:
         self.heads = sorted({c for m in marks for c in (m[0].lower(), m[0].upper())})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {"": b""}
+        # chunks by number; the ids of number n are the bytes of raw between ends n and n + 1
+        self.known, self.raw, self.ends = {"": 0}, bytearray(), array("q", [0, 0])
         self.safe = re.compile(r"(?<=\S)(?= \S)")
         # which ids begin a word with its space, or else end a word
         vocab = self.tokenizer.get_vocab()
@@ -68,9 +71,12 @@ class ChunkEncoder:
         parts[-1] += text[len(body) :]
         return parts
 
-    def clean(self, chunk: str) -> bool:
-        """Whether a cut before the chunk is one that the tokenizer always makes."""
-        return chunk[:1] != " " or (len(chunk) > 1 and not chunk[1].isspace())
+    @staticmethod
+    def unclean(chunks: set[str]) -> set[str]:
+        """The chunks before which the tokenizer does not always make a cut."""
+        if not ODD.search("\0" + "\0".join(chunks)):
+            return set()
+        return {c for c in chunks if c[:1] == " " and (len(c) == 1 or c[1].isspace())}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. One that holds the string of an added token, which the tokenizer
@@ -84,28 +90,68 @@ class ChunkEncoder:
 
     def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         known, cut = self.known, [self.chunks(t) for t in texts]
-        words, codes = numbered(cut)
-        missing = set(words).difference(known)
-        if missing and self.keeps_space:
+        flat, codes, missing = self.numbered(cut)
+        odd = self.unclean(missing) if self.keeps_space else None
+        if odd:
             # white space after a space: cut such a text more carefully
-            odd = {c for c in missing if not self.clean(c)}
-            if odd:
-                cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
-                words, codes = numbered(cut)
-                missing = set(words).difference(known)
+            cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
+            flat, codes, missing = self.numbered(cut)
+            odd = self.unclean(missing)
         if len(known) + len(missing) > REMEMBERED:  # short chunks are the ones that come again
-            short = {c: ids for c, ids in known.items() if len(c) <= SHORT}
-            known.clear()
-            known.update(short if 2 * len(short) < REMEMBERED else {"": b""})
-            missing = set(words).difference(known)
+            short = [c for c in known if len(c) <= SHORT]
+            self.keep(short if 2 * len(short) < REMEMBERED else [])
+            flat, codes, missing = self.numbered(cut)
         if missing:
             self.learn(missing)
-        found = spread([known[w] for w in words], codes, np.array([len(p) for p in cut]), self.dtype)
-        if self.keeps_space:  # chunks that are right only where they stood are not remembered
-            for chunk in missing:
-                if not self.clean(chunk):
-                    del known[chunk]
-        return found
+            open_ = np.flatnonzero(codes < 0)
+            codes[open_] = np.fromiter(map(known.__getitem__, map(flat.__getitem__, open_.tolist())), np.int64, len(open_))
+        ids, ends = self.laid(codes)
+        bounds = ends[np.cumsum([0, *map(len, cut)])].tolist()
+        for chunk in odd or ():  # chunks that are right only where they stood are not remembered
+            known.pop(chunk, None)
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def numbered(self, cut: list[list[str]]) -> tuple[list[str], np.ndarray, set[str]]:
+        """The chunks of all texts in a row, the number of each or -1, and those without one."""
+        flat = list(chain.from_iterable(cut))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        return flat, codes, set(map(flat.__getitem__, np.flatnonzero(codes < 0).tolist()))
+
+    def put(self, chunks, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Numbers new chunks, whose ids lie in a row and have these ends."""
+        n, base = len(self.ends) - 1, len(self.raw)
+        self.known.update(zip(chunks, range(n, n + len(ends)), strict=True))
+        self.raw += ids.tobytes()
+        self.ends.frombytes((base + ends.astype(np.int64) * self.dtype.itemsize).tobytes())
+
+    def put_lists(self, chunks: list[str], lists: list[list[int]]) -> None:
+        ids = np.fromiter(chain.from_iterable(lists), self.dtype)
+        self.put(chunks, ids, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
+
+    def put_joined(self, chunks, parts: list[list[str]]) -> None:
+        """Numbers chunks whose ids are those of known ones in a row."""
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64)
+        ids, ends = self.laid(codes)
+        self.put(chunks, ids, ends[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+
+    def keep(self, chunks: list[str]) -> None:
+        """Forgets all but these chunks."""
+        chunks = [c for c in chunks if c]
+        ids, ends = self.laid(np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)))
+        self.known.clear()
+        self.known[""], self.raw, self.ends = 0, bytearray(), array("q", [0, 0])
+        self.put(chunks, ids, ends[1:])
+
+    def laid(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered chunks in a row, and the places before and behind each."""
+        data, ends = np.frombuffer(self.raw, self.dtype), np.array(self.ends) // self.dtype.itemsize
+        starts, lengths = ends[:-1], np.diff(ends)
+        blocks, ends = [], np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(lengths[codes], out=ends[1:])
+        for i in range(0, len(codes), BLOCK):
+            part, to = codes[i : i + BLOCK], ends[i : i + BLOCK + 1] - ends[i]
+            blocks.append(data[np.repeat(starts[part] - to[:-1], lengths[part]) + np.arange(to[-1])])
+        return np.concatenate(blocks) if blocks else np.zeros(0, self.dtype), ends
 
     def marked(self, text: str) -> bool:
         """Whether a text may hold the string of an added token; most lack even its first letter."""
@@ -114,9 +160,7 @@ class ChunkEncoder:
     def settle(self) -> None:
         """At the end of a task: a worker that waits for another holds short chunks alone."""
         if len(self.known) > WAITING:
-            short = [(c, ids) for c, ids in self.known.items() if len(c) <= SHORT][:WAITING]
-            self.known.clear()
-            self.known.update({"": b""} | dict(short))
+            self.keep([c for c in self.known if len(c) <= SHORT][:WAITING])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -124,36 +168,35 @@ class ChunkEncoder:
     def learn(self, missing: set[str]) -> None:
         """Encodes chunks. One of letters and signs is cut into its pieces, often known or
         wanted too, and these are encoded instead; words go to the tokenizer together."""
-        known = self.known
-        other = [c for c in missing if not PLAIN.fullmatch(c)]
-        mixed = {c: p for c in other if MIXED.fullmatch(c) and len(p := PIECE.findall(c)) > 1}
-        wanted = missing.difference(mixed).union(*mixed.values()).difference(known)
-        plain = [c for c in wanted if (c[0] == " ") == self.keeps_space and PLAIN.fullmatch(c)]
+        known, plain, mixed, rest = self.known, [], {}, []
+        pieces = set()
+        for chunk in missing:
+            if PLAIN.fullmatch(chunk):
+                (plain if (chunk[0] == " ") == self.keeps_space else rest).append(chunk)
+            elif MIXED.fullmatch(chunk) and len(found := PIECE.findall(chunk)) > 1:
+                mixed[chunk] = found
+                pieces.update(found)
+            else:
+                rest.append(chunk)
+        for piece in pieces.difference(missing).difference(known):
+            (plain if (piece[0] == " ") == self.keeps_space and PLAIN.fullmatch(piece) else rest).append(piece)
         self.learn_words(plain)
-        rest = list(wanted.difference(plain))
-        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(got.ids, self.dtype).tobytes()
-        for chunk, pieces in mixed.items():
-            known[chunk] = b"".join(map(known.__getitem__, pieces))
+        self.put_lists(rest, [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        self.put_joined(mixed, list(mixed.values()))
 
     def learn_words(self, words: list[str]) -> None:
         """Encodes words side by side and cuts their ids where a word begins or ends. Where the
         cuts are not as many as the words, each word is encoded alone."""
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         joined = [("" if self.keeps_space else " ").join(g) for g in groups]
-        width = self.dtype.itemsize
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.dtype)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(group):
-                for word in group:
-                    self.known[word] = self.whole(word).tobytes()
+                self.put_lists(group, [self.whole(word).tolist() for word in group])
                 continue
-            ends = (np.append(edges[1:], len(ids)) if self.keeps_space else edges + 1) * width
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(group, ends.tolist(), strict=True):
-                self.known[word] = raw[start:end]
-                start = end
+            ends = np.append(edges[1:], len(ids)) if self.keeps_space else edges + 1
+            self.put(group, ids[: ends[-1]], ends)
 
 
 @contextmanager
@@ -168,28 +211,6 @@ def no_collection():
             gc.enable()
 
 
-def numbered(cut: list[list[str]]) -> tuple[list[str], np.ndarray]:
-    """The distinct chunks of all texts, and the number of the chunk at each place."""
-    coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
-
-
-def spread(kinds: list[bytes], codes: np.ndarray, counts: np.ndarray, dtype: np.dtype) -> list[np.ndarray]:
-    """The ids of each text: ``kinds`` holds the ids of each distinct chunk, ``codes`` the chunks
-    of all texts in a row, of which each text has its count."""
-    data = np.frombuffer(b"".join(kinds), dtype)
-    lengths = np.fromiter(map(len, kinds), np.int64, len(kinds)) // dtype.itemsize
-    starts = np.cumsum(lengths) - lengths
-    blocks, ends = [], np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(lengths[codes], out=ends[1:])
-    for i in range(0, len(codes), BLOCK):
-        part, to = codes[i : i + BLOCK], ends[i : i + BLOCK + 1] - ends[i]
-        blocks.append(data[np.repeat(starts[part] - to[:-1], lengths[part]) + np.arange(to[-1])])
-    ids = np.concatenate(blocks) if blocks else data
-    bounds = ends[np.concatenate(([0], np.cumsum(counts)))] if len(counts) else ends[:1]
-    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-
 def encoder(tokenizer_json: str, keeps_space: bool) -> ChunkEncoder:
     """The encoder of this worker process."""
     kept = process_cache("encoders")

@@ -584,3 +584,28 @@ def test_links_within_and_across_blocks(spark, monkeypatch):
     got = jaccard_join.join(spark.createDataFrame(table, SCHEMA)).collect()
     assert {r.doc_id: r.n_links for r in got} == brute_links(table)
     assert {r.doc_id: r.component_id for r in got} == brute_components(table)
+
+
+def test_chunks_are_laid_out_by_number_and_forgotten(monkeypatch):
+    import random
+
+    from loomgraph.llm import token_files, tokens
+
+    rng = random.Random(2)
+    words = ["und", "so", "Straße", "x.y", "a,b!", "\n", "tab\tbed", "日本", "1234", " ", "é", " ", "weiter..."]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", str(rng.randrange(50))]) for _ in range(rng.randrange(40))) for _ in range(120)]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        monkeypatch.setattr(tokens, "REMEMBERED", 60)
+        monkeypatch.setattr(tokens, "WAITING", 20)
+        made = tokens.ChunkEncoder(tokenizer_json(name), keeps)
+        for i in range(0, len(texts), 10):
+            part = texts[i : i + 10]
+            assert [x.tolist() for x in made.encode(part)] == [made.whole(t).tolist() for t in part]
+            made.settle()
+            assert len(made.known) <= 21
+            assert len(made.raw) == made.ends[-1] and max(made.known.values()) <= len(made.ends) - 2
+    for top in (1, 2, 256, 257, 1 << 16, 1 << 20, 1 << 32):
+        ids = np.array([rng.randrange(top) for _ in range(1500)], np.uint32)
+        data, starts = token_files.pack_blocks(ids)
+        got = np.concatenate([token_files.unpack_block(memoryview(data)[int(s) :]) for s in starts[:-1]])
+        assert (got[:1500] == ids).all()
