@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import stored
+from loomgraph.llm.shared import stored, trimmed
 from loomgraph.llm.tokens import encoder, slices
 
 #: Buckets of a document vector; dimensions of its projection and bits of each.
@@ -75,6 +75,7 @@ def _tokenise(tokenizer_json: str, end_id: int, id_type):
     kind = pa.schema([("id", id_type), ("curve", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        trimmed()  # of what other operators' tasks left in this worker
         encode = encoder(tokenizer_json, False)
         for batch in batches:
             for rows in slices(batch):

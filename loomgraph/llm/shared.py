@@ -6,6 +6,7 @@ import os
 import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,16 @@ def let_go(name: str) -> None:
     sys.__dict__.get("_loomgraph_cache", {}).pop(name, None)
 
 
+def trimmed() -> None:
+    """Gives memory that this worker no longer uses back to the system, where that is possible."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def put_file(folder: str, name: str, data: bytes) -> str:
     """Writes a file into a folder given as a URI, in one step as others see it.
 

@@ -16,10 +16,10 @@ from itertools import chain, repeat
 
 import numpy as np
 
-from loomgraph.llm.shared import process_cache
+from loomgraph.llm.shared import process_cache, trimmed
 
-#: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Chunks that a worker remembers before it starts afresh: as many as a dictionary holds before it grows to 2^21 places.
+REMEMBERED = 690_000
 WAITING = 300_000
 SHORT = 9
 #: Letters and signs that no normal form joins, and the pieces both kinds of tokenizer cut them into.
@@ -32,6 +32,8 @@ MIXED = re.compile(f" ?{RUN}(?:\\n?{RUN})*+")
 ODD = re.compile("\0 (?:[\\s\0]|$)")
 #: Words that one call encodes together.
 TOGETHER = 50
+#: Chunks that the tokenizer is given at a time: what it returns for one takes up to a kilobyte.
+AT_ONCE = 10_000
 #: Chunks whose ids are laid out at a time.
 BLOCK = 1 << 18
 
@@ -98,7 +100,8 @@ class ChunkEncoder:
             flat, codes, missing = self.numbered(cut)
             odd = self.unclean(missing)
         if len(known) + len(missing) > REMEMBERED:  # short chunks are the ones that come again
-            short = [c for c in known if len(c) <= SHORT]
+            del flat, codes, missing
+            short = [c for c in known if 0 < len(c) <= SHORT]
             self.keep(short if 2 * len(short) < REMEMBERED else [])
             flat, codes, missing = self.numbered(cut)
         if missing:
@@ -135,22 +138,29 @@ class ChunkEncoder:
         self.put(chunks, ids, ends[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
 
     def keep(self, chunks: list[str]) -> None:
-        """Forgets all but these chunks."""
-        chunks = [c for c in chunks if c]
-        ids, ends = self.laid(np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)))
+        """Forgets all but these chunks, and empties the list: the texts are made anew once all are
+        free, as a few old ones all over the memory would keep it from the system."""
+        codes = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        (ids, ends), lengths = self.laid(codes), list(map(len, chunks))
+        joined = "".join(chunks).encode("utf-32-le", "surrogatepass")
+        chunks.clear()
         self.known.clear()
         self.known[""], self.raw, self.ends = 0, bytearray(), array("q", [0, 0])
-        self.put(chunks, ids, ends[1:])
+        trimmed()
+        cuts = np.cumsum([0, *lengths]) * 4
+        self.put([joined[a:b].decode("utf-32-le", "surrogatepass") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], ids, ends[1:])
 
     def laid(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered chunks in a row, and the places before and behind each."""
-        data, ends = np.frombuffer(self.raw, self.dtype), np.array(self.ends) // self.dtype.itemsize
-        starts, lengths = ends[:-1], np.diff(ends)
+        data, known, size = np.frombuffer(self.raw, self.dtype), np.frombuffer(self.ends, np.int64), self.dtype.itemsize
         blocks, ends = [], np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(lengths[codes], out=ends[1:])
         for i in range(0, len(codes), BLOCK):
-            part, to = codes[i : i + BLOCK], ends[i : i + BLOCK + 1] - ends[i]
-            blocks.append(data[np.repeat(starts[part] - to[:-1], lengths[part]) + np.arange(to[-1])])
+            part = codes[i : i + BLOCK]
+            starts = known[part] // size
+            lengths = known[part + 1] // size - starts
+            to = np.concatenate([[0], np.cumsum(lengths)])
+            ends[i + 1 : i + len(to)] = ends[i] + to[1:]
+            blocks.append(data[np.repeat(starts - to[:-1], lengths) + np.arange(to[-1])])
         return np.concatenate(blocks) if blocks else np.zeros(0, self.dtype), ends
 
     def marked(self, text: str) -> bool:
@@ -160,7 +170,7 @@ class ChunkEncoder:
     def settle(self) -> None:
         """At the end of a task: a worker that waits for another holds short chunks alone."""
         if len(self.known) > WAITING:
-            self.keep([c for c in self.known if len(c) <= SHORT][:WAITING])
+            self.keep([c for c in self.known if 0 < len(c) <= SHORT][:WAITING])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -181,13 +191,18 @@ class ChunkEncoder:
         for piece in pieces.difference(missing).difference(known):
             (plain if (piece[0] == " ") == self.keeps_space and PLAIN.fullmatch(piece) else rest).append(piece)
         self.learn_words(plain)
-        self.put_lists(rest, [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i : i + AT_ONCE]
+            self.put_lists(some, [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
         self.put_joined(mixed, list(mixed.values()))
 
     def learn_words(self, words: list[str]) -> None:
         """Encodes words side by side and cuts their ids where a word begins or ends. Where the
         cuts are not as many as the words, each word is encoded alone."""
-        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for i in range(0, len(words), AT_ONCE):
+            self.learn_groups([words[j : min(j + TOGETHER, i + AT_ONCE)] for j in range(i, min(i + AT_ONCE, len(words)), TOGETHER)])
+
+    def learn_groups(self, groups: list[list[str]]) -> None:
         joined = [("" if self.keeps_space else " ").join(g) for g in groups]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.dtype)
@@ -220,14 +235,16 @@ def encoder(tokenizer_json: str, keeps_space: bool) -> ChunkEncoder:
     return kept[key]
 
 
-def slices(batch, max_chars: int = 4_000_000):
-    """The rows of an Arrow batch of (id, text, ...) as lists of bounded text size."""
+def slices(batch, max_chars: int = 1_000_000):
+    """The rows of an Arrow batch of (id, text, ...) as lists of bounded text size; the batch
+    is turned into Python's texts a few rows at a time."""
     rows, size = [], 0
-    for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-        rows.append(row)
-        size += len(row[1] or "")
-        if size >= max_chars:
-            yield rows
-            rows, size = [], 0
+    for at in range(0, batch.num_rows, 256):
+        for row in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+            rows.append(row)
+            size += len(row[1] or "")
+            if size >= max_chars:
+                yield rows
+                rows, size = [], 0
     if rows:
         yield rows

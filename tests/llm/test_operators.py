@@ -609,3 +609,33 @@ def test_chunks_are_laid_out_by_number_and_forgotten(monkeypatch):
         data, starts = token_files.pack_blocks(ids)
         got = np.concatenate([token_files.unpack_block(memoryview(data)[int(s) :]) for s in starts[:-1]])
         assert (got[:1500] == ids).all()
+
+
+@pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_memory_is_bounded(name, keeps, monkeypatch):
+    """The tokenizer gets few chunks at a time, batches become texts a few rows at a time, and
+    chunks that stay have the ids that they had."""
+    monkeypatch.setattr(tokens, "AT_ONCE", 100)
+    made, sizes = tokens.ChunkEncoder(tokenizer_json(name), keeps), []
+
+    class Watched:
+        def __getattr__(self, attr):
+            return getattr(plain, attr)
+
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(sum(max(1, len(t.split())) for t in texts) if not keeps else len(texts))
+            return plain.encode_batch_fast(texts, **kw)
+
+    plain, made.tokenizer = made.tokenizer, Watched()
+    texts = [" ".join(f"w{i}x{j} wort{chr(97 + i % 26)}{chr(97 + j)} é{i}" for j in range(20)) for i in range(60)] + ["퟿ 𝒳y 中文 a", ""]
+    first = [x.tolist() for x in made.encode(texts)]
+    assert first == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(sizes) > 10 and max(sizes) <= 100
+    monkeypatch.setattr(tokens, "WAITING", 50)
+    made.settle()
+    assert len(made.known) == 51
+    assert [x.tolist() for x in made.encode(texts)] == first
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 3000] * 999 + [None])], ["id", "text"])
+    cut = list(tokens.slices(batch))
+    assert [r for rows in cut for r in rows] == list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    assert max(sum(len(t or "") for _, t in rows) for rows in cut) < 1_010_000
