@@ -1,8 +1,10 @@
 """An interpolated modified Kneser-Ney model of any order in sorted hash arrays.
 
 The corpus is counted in one exchange of packed arrays for each order. The counts lie in files of sorted
-64-bit hashes in the shared folder, one for each range of hashes, which workers map into
-memory and search; no task ever holds the model.
+keys in the shared folder, one for each range of keys, which workers map into
+memory and search; no task ever holds the model. A word's key is its 64-bit hash; a gram's has as many bits
+as the rank of its context and the id of its last word need. A file holds an index over the high bits of its
+keys and the low bits in whole bytes, and a byte for each count that fits one.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import dropped, get_file, new_folder, process_cache, put_file, stored
-from loomgraph.llm.words import mix, unmix, word_hashes
+from loomgraph.llm.words import word_hashes
 
 #: The hash that stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Distinct keys that a task collects before it sends them off.
 COLLECTED = 2_000_000
+#: Odd factors that spread the bits of a gram's key.
+_FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text for each range of hashes, at most: a task merges the grams of one range.
 RANGE_BYTES = 64 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -41,6 +45,16 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
 
 
+def packed_sorted(x: np.ndarray, shift: int = 0) -> bytes:
+    """A sorted array as the differences of its values, without ``shift`` low bits, which are 0."""
+    x = x.astype(np.uint64) >> np.uint64(shift)
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes, shift: int = 0) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64) << np.uint64(shift)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -52,8 +66,8 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Collector:
     """Counts keys and gives them out as packed arrays by range of hashes."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.held = bits, [], 0
+    def __init__(self, bits: int, width: int = 64):
+        self.bits, self.shift, self.parts, self.held = bits, 64 - width, [], 0
 
     def add(self, keys: np.ndarray):
         found, counts = np.unique(keys, return_counts=True)
@@ -81,7 +95,7 @@ class Collector:
             low, high = cuts[b], cuts[b + 1]
             if high > low:
                 out[0].append(b)
-                out[1].append(packed(keys[low:high]))
+                out[1].append(packed_sorted(keys[low:high], self.shift))
                 out[2].append(packed(counts[low:high]))
         self.parts, self.held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PACKED, strict=True)], schema=_PACKED)
@@ -125,43 +139,123 @@ def mapped(uri: str) -> np.ndarray:
 
 
 def count_bytes(counts: np.ndarray) -> bytes:
-    """Counts as they lie in a file: four bytes each, or eight where one needs more."""
+    """Counts of four bytes each, or eight where one needs more."""
     return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64).tobytes()
 
 
+def small_bytes(counts: np.ndarray) -> bytes:
+    """Counts as they lie in a file: a byte each. 255 stands for one that is listed behind
+    them, after the list of places; the width of these tells the size."""
+    over = np.flatnonzero(counts >= 255)
+    listed = len(over).to_bytes(8, "little") + over.astype(np.uint64).tobytes() + count_bytes(counts[over])
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + listed
+
+
+def small_values(data: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The counts that :func:`small_bytes` wrote of ``n``, all or at some places."""
+    out = (data[:n] if at is None else data[:n][at]).astype(np.uint64)
+    over = np.flatnonzero(out == 255)
+    if len(over):
+        k = int(data[n : n + 8].view(np.uint64)[0])
+        places, values = data[n + 8 : n + 8 + 8 * k].view(np.uint64), data[n + 8 + 8 * k :]
+        values = values.view(np.uint64 if len(values) == 8 * k else np.uint32)
+        out[over] = values[np.searchsorted(places, (over if at is None else at[over]).astype(np.uint64))]
+    return out
+
+
+def key_shape(n: int, rest: int) -> tuple[int, int]:
+    """Of ``n`` keys of a range that differ in ``rest`` bits: the low bytes that are kept of
+    each, and the bits above these, over which there is an index."""
+    low = -(-max(1, rest - max(0, n.bit_length() - 2)) // 8)
+    return low, max(0, rest - 8 * low)
+
+
+def key_bytes(keys: np.ndarray, bits: int, width: int) -> bytes:
+    """The file of a range's keys: where each value of the high bits begins, then the low bytes."""
+    low, high = key_shape(len(keys), width - bits)
+    plain = (keys >> np.uint64(64 - width)) & np.uint64((1 << (width - bits)) - 1)
+    starts = np.searchsorted(plain >> np.uint64(8 * low), np.arange((1 << high) + 1, dtype=np.uint64)) if high else np.array([0, len(keys)])
+    return starts.astype(np.uint32).tobytes() + plain.view(np.uint8).reshape(-1, 8)[:, :low].tobytes() + bytes(8)
+
+
+class KeyFile:
+    """The keys of one range as :func:`key_bytes` wrote them, searched where they lie."""
+
+    def __init__(self, data: np.ndarray, n: int, bucket: int, bits: int, width: int):
+        self.n, self.rest, self.shift = n, width - bits, np.uint64(64 - width)
+        self.low, high = key_shape(n, self.rest)
+        self.head = bucket << self.rest
+        size = 4 * ((1 << high) + 1)
+        self.starts = data[:size].view(np.uint32)
+        self.lows = np.ndarray((n,), "<u8", data[size:], strides=(self.low,))
+        self.mask = np.uint64((1 << 8 * self.low) - 1)
+
+    def slots(self, plain: np.ndarray) -> np.ndarray:
+        return (plain >> np.uint64(8 * self.low)).astype(np.int64) if self.low < 8 else np.zeros(len(plain), np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        plain = (keys >> self.shift) & np.uint64((1 << self.rest) - 1)
+        slot, want = self.slots(plain), plain & self.mask
+        at, end = self.starts[slot].astype(np.int64), self.starts[slot + 1].astype(np.int64)
+        size = end - at
+        while size.any():  # the first of at, .. at + size that is not less lies among them
+            half = size >> 1
+            less = (size > 0) & ((self.lows[np.minimum(at + half, self.n - 1)] & self.mask) < want)
+            at = np.where(less, at + half + 1, at)
+            size = np.where(less, size - half - 1, half)
+        met = (at < end) & ((self.lows[np.minimum(at, self.n - 1)] & self.mask) == want)
+        return np.where(met, at, -1)
+
+    def keys(self, at: np.ndarray | None = None) -> np.ndarray:
+        """The keys, all or at some places."""
+        if at is None:
+            slot, low = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts.astype(np.int64))), self.lows & self.mask
+        else:
+            slot, low = np.searchsorted(self.starts, at, "right") - 1, self.lows[at] & self.mask
+        high = slot.astype(np.uint64) << np.uint64(8 * self.low) if self.low < 8 else np.uint64(0)
+        return (np.uint64(self.head) | high | low) << self.shift
+
+
 class HashArrays:
-    """Sorted hashes in one file per hash range, with arrays of values beside them."""
+    """Sorted keys in one file per range, with arrays of counts beside them. Keys have ``width``
+    bits, the highest of 64; the low ones of a gram's key are its word before it is mixed."""
 
-    def __init__(self, folder: str, kind: str, bits: int, sizes: dict[int, int]):
-        self.folder, self.kind, self.bits = folder, kind, bits
+    def __init__(self, folder: str, kind: str, bits: int, sizes: dict[int, int], width: int = 64):
+        self.folder, self.kind, self.bits, self.width = folder, kind, bits, width
         self.sizes = np.array([sizes.get(b, 0) for b in range(1 << bits)], np.int64)
         self.bases = np.concatenate([[0], np.cumsum(self.sizes)])
 
-    def file(self, bucket: int, column: str, dtype=None) -> np.ndarray:
-        """The values of a range; without a type they are counts, whose width the size tells."""
-        data = mapped(f"{self.folder}/{self.kind}-{column}-{bucket:05d}")
-        return data.view(dtype or (np.uint64 if len(data) == 8 * self.sizes[bucket] else np.uint32))
+    def file(self, bucket: int, column: str) -> np.ndarray:
+        return np.asarray(mapped(f"{self.folder}/{self.kind}-{column}-{bucket:05d}"))
+
+    def key_file(self, bucket: int) -> KeyFile:
+        return KeyFile(self.file(bucket, "keys"), int(self.sizes[bucket]), bucket, self.bits, self.width)
+
+    def counts(self, bucket: int, column: str, at: np.ndarray | None = None) -> np.ndarray:
+        return small_values(self.file(bucket, column), int(self.sizes[bucket]), at)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """For each of the sorted keys its rank among all, or -1."""
         found = np.full(len(keys), -1, np.int64)
         cuts = np.searchsorted((keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             if self.sizes[b]:
-                some, there = keys[cuts[b] : cuts[b + 1]], self.file(b, "keys", np.uint64)
-                at = np.minimum(np.searchsorted(there, some), len(there) - 1)
-                found[cuts[b] : cuts[b + 1]] = np.where(there[at] == some, at + self.bases[b], -1)
+                at = self.key_file(b).find(keys[cuts[b] : cuts[b + 1]])
+                found[cuts[b] : cuts[b + 1]] = np.where(at >= 0, at + self.bases[b], -1)
         return found
 
-    def values(self, ranks: np.ndarray, column: str, dtype=None) -> np.ndarray:
-        """The values at ranks, 0 for rank -1; counts without a type."""
-        out = np.zeros(len(ranks), dtype or np.uint64)
+    def values(self, ranks: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """The keys or counts at ranks, 0 for rank -1, column by column."""
+        out = [np.zeros(len(ranks), np.uint64) for _ in columns]
         known = np.flatnonzero(ranks >= 0)
         order = known[np.argsort(ranks[known], kind="stable")]
         cuts = np.searchsorted(ranks[order], self.bases)
-        for b in np.flatnonzero(np.diff(cuts)):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             some = order[cuts[b] : cuts[b + 1]]
-            out[some] = self.file(b, column, dtype)[ranks[some] - self.bases[b]]
+            at = ranks[some] - self.bases[b]
+            for column, to in zip(columns, out, strict=True):
+                to[some] = self.key_file(b).keys(at) if column == "keys" else self.counts(b, column, at)
         return out
 
 
@@ -199,7 +293,7 @@ def gram_steps(levels: dict, ids: np.ndarray, before: np.ndarray, order: int):
         if m == 2:
             left[before[:-1]] = begin
         known = (left >= 0) & (ids >= 0)
-        keys = gram_keys(left[known], ids[known])
+        keys = gram_keys(left[known], ids[known], key_bits(levels, m))
         ranks = None
         if m in levels:
             distinct, back = np.unique(keys, return_inverse=True)
@@ -208,27 +302,45 @@ def gram_steps(levels: dict, ids: np.ndarray, before: np.ndarray, order: int):
         yield m, left, known, keys, ranks
 
 
-def gram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+def key_bits(levels: dict, m: int) -> tuple[int, int]:
+    """The bits of a key of ``m`` words, and those of them that the last word's id needs."""
+    right = int(levels[1].bases[-1]).bit_length()
+    return max(int(levels[m - 1].bases[-1]).bit_length() + right, levels[1].bits), right
 
 
-def gram_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    plain = unmix(keys)
-    return (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def gram_keys(left: np.ndarray, right: np.ndarray, bits: tuple[int, int]) -> np.ndarray:
+    """One to one, with the high bits spread: the halves are folded and multiplied in ``bits[0]`` bits."""
+    width, low = bits
+    half, mask = np.uint64((width + 1) // 2), np.uint64((1 << width) - 1)
+    x = (left.astype(np.uint64) << np.uint64(low)) | right.astype(np.uint64)
+    for factor in _FACTORS:
+        x = ((x ^ (x >> half)) * np.uint64(factor)) & mask
+    return (x ^ (x >> half)) << np.uint64(64 - width)
+
+
+def gram_parts(keys: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    width, low = bits
+    half, mask = np.uint64((width + 1) // 2), np.uint64((1 << width) - 1)
+    x = keys >> np.uint64(64 - width)
+    for factor in reversed(_FACTORS):
+        x = ((x ^ (x >> half)) * np.uint64(pow(factor, -1, 1 << 64))) & mask
+    x = x ^ (x >> half)
+    return (x >> np.uint64(low)).astype(np.int64), (x & np.uint64((1 << low) - 1)).astype(np.int64)
 
 
 def suffix_ranks(levels: dict, m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The ranks, among grams of one order less, of grams of order ``m`` without their first word."""
     if m == 2:
         return right
-    inner = suffix_ranks(levels, m - 1, *gram_parts(levels[m - 1].values(left, "keys", np.uint64)))
-    distinct, back = np.unique(gram_keys(inner, right), return_inverse=True)
+    bits = key_bits(levels, m - 1)
+    inner = suffix_ranks(levels, m - 1, *gram_parts(levels[m - 1].values(left, "keys")[0], bits))
+    distinct, back = np.unique(gram_keys(inner, right, bits), return_inverse=True)
     return levels[m - 1].find(distinct)[back]
 
 
 def _count_grams(bits: int, levels: dict, m: int):
     def run(batches):
-        collector = Collector(bits)
+        collector = Collector(bits, key_bits(levels, m)[0])
         for batch in batches:
             for part in _pieces(batch):
                 tokens, before = _with_ends(_training(part).column(1))
@@ -241,18 +353,18 @@ def _count_grams(bits: int, levels: dict, m: int):
     return run
 
 
-def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpacked(k, np.uint64) for k in group["keys"].to_pylist()])
+def _merged(group: pa.Table, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([unpacked_sorted(k, 64 - width) for k in group["keys"].to_pylist()])
     counts = np.concatenate([unpacked(c, np.int64) for c in group["counts"].to_pylist()])
     return summed(keys, counts)
 
 
-def _write_words(folder: str):
+def _write_words(folder: str, bits: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
         keys, counts = _merged(group)
-        put_file(folder, f"words-keys-{bucket:05d}", keys.tobytes())
-        put_file(folder, f"words-counts-{bucket:05d}", count_bytes(counts))
+        put_file(folder, f"words-keys-{bucket:05d}", key_bytes(keys, bits, 64))
+        put_file(folder, f"words-counts-{bucket:05d}", small_bytes(counts))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
     return run
@@ -262,12 +374,12 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=5)[1:5].tolist()
 
 
-def _write_grams(folder: str, m: int):
+def _write_grams(folder: str, m: int, bits: int, width: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
-        keys, counts = _merged(group)
-        put_file(folder, f"grams{m}-keys-{bucket:05d}", keys.tobytes())
-        put_file(folder, f"grams{m}-raw-{bucket:05d}", count_bytes(counts))
+        keys, counts = _merged(group, width)
+        put_file(folder, f"grams{m}-keys-{bucket:05d}", key_bytes(keys, bits, width))
+        put_file(folder, f"grams{m}-raw-{bucket:05d}", small_bytes(counts))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "counts": pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))})
 
     return run
@@ -276,10 +388,10 @@ def _write_grams(folder: str, m: int):
 def _final(level: HashArrays, bucket: int, top: bool) -> np.ndarray:
     """The counts that the model uses: as met for the highest order, else of distinct words
     to the left; grams at the beginning of a text have none and keep the count as met."""
-    raw = level.file(bucket, "raw")
+    raw = level.counts(bucket, "raw")
     if top:
-        return np.asarray(raw)
-    lower = level.file(bucket, "lower")
+        return raw
+    lower = level.counts(bucket, "lower")
     return np.where(lower > 0, lower, raw)
 
 
@@ -291,7 +403,7 @@ def _send(to: HashArrays, cells: np.ndarray, weights: np.ndarray, width: int):
     cells, sums = summed(cells, weights)
     cuts = np.searchsorted(cells, to.bases * width)
     parts = np.flatnonzero(to.sizes).tolist()
-    rows = [[packed(x[cuts[p] : cuts[p + 1]]) for p in parts] for x in (cells, sums)]
+    rows = [[pack(x[cuts[p] : cuts[p + 1]]) for p in parts] for x, pack in ((cells, packed_sorted), (sums, packed))]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], schema=_SUMS)
 
 
@@ -302,7 +414,7 @@ def _suffixes(levels: dict, m: int):
         for batch in batches:
             for bucket in batch.column(0).to_pylist():
                 if levels[m].sizes[bucket]:
-                    ends = suffix_ranks(levels, m, *gram_parts(levels[m].file(bucket, "keys", np.uint64)))
+                    ends = suffix_ranks(levels, m, *gram_parts(levels[m].key_file(bucket).keys(), key_bits(levels, m)))
                     yield _send(levels[m - 1], ends, np.ones(len(ends), np.int64), 1)
 
     return run
@@ -315,9 +427,10 @@ def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
         for batch in batches:
             for bucket in batch.column(0).to_pylist():
                 if levels[m].sizes[bucket]:
-                    left, _ = gram_parts(levels[m].file(bucket, "keys", np.uint64))
+                    left, _ = gram_parts(levels[m].key_file(bucket).keys(), key_bits(levels, m))
                     counts = _final(levels[m], bucket, top).astype(np.int64)
-                    put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", count_bytes(counts))
+                    if not top:
+                        put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", small_bytes(counts))
                     cells = np.concatenate([left * 4, left * 4 + np.minimum(counts, 3)])
                     yield _send(contexts, cells, np.concatenate([counts, np.ones(len(left), np.int64)]), 4)
 
@@ -328,25 +441,29 @@ def _summed_table(group: pa.Table, to: HashArrays, width: int) -> tuple[int, np.
     part = group["part"][0].as_py()
     flat = np.zeros(int(to.sizes[part]) * width, np.int64)
     for cells, sums in zip(group["cells"].to_pylist(), group["sums"].to_pylist(), strict=True):
-        flat[unpacked(cells, np.int64) - width * int(to.bases[part])] += unpacked(sums, np.int64)
+        flat[unpacked_sorted(cells).astype(np.int64) - width * int(to.bases[part])] += unpacked(sums, np.int64)
     return part, flat.reshape(-1, width)
 
 
 def _write_lower(to: HashArrays):
     def run(group: pa.Table) -> pa.Table:
         part, table = _summed_table(group, to, 1)
-        put_file(to.folder, f"{to.kind}-lower-{part:05d}", count_bytes(table[:, 0]))
+        put_file(to.folder, f"{to.kind}-lower-{part:05d}", small_bytes(table[:, 0]))
         final = table[:, 0] if to.kind == "words" else _final(to, part, False)
         return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([_counts_of_counts(final)], pa.list_(pa.int64()))})
 
     return run
 
 
-def _write_contexts(to: HashArrays, high: np.ndarray):
+#: What is kept of a context: the sum of counts, and how many are 1, 2, 3 or more.
+_OF_CONTEXT = ("total", "ones", "twos", "more")
+
+
+def _write_contexts(to: HashArrays):
     def run(group: pa.Table) -> pa.Table:
         part, table = _summed_table(group, to, 4)
-        put_file(to.folder, f"{to.kind}-total-{part:05d}", count_bytes(table[:, 0]))
-        put_file(to.folder, f"{to.kind}-freed-{part:05d}", (table[:, 1:].astype(np.float64) @ high).tobytes())
+        for i, column in enumerate(_OF_CONTEXT):
+            put_file(to.folder, f"{to.kind}-{column}-{part:05d}", small_bytes(table[:, i]))
         return pa.table({"part": pa.array([part], pa.int32())})
 
     return run
@@ -376,17 +493,16 @@ def _score(levels: dict, contexts: dict, model: dict, id_type):
                 tokens, before = _with_ends(part.column(1))
                 distinct, back = np.unique(tokens, return_inverse=True)
                 found = vocab.find(distinct)
-                value = lambda name: vocab.values(found, name).astype(np.float64)  # noqa: B023, E731
-                count, ending = value("counts"), value("lower")
+                count, ending = (x.astype(np.float64) for x in vocab.values(found, "counts", "lower"))
                 base = np.log10((count + 1) / (model["tokens"] + size))
                 # words: distinct left neighbours, discounted; the rest spread evenly over all words and one unknown
                 kept = np.maximum(ending - losses[1][np.minimum(ending, 3).astype(int)], 0) / max(1, model["pairs"])
                 p = (kept + model["word_rest"] / size)[back]
                 for m, left, _, _, ranks in gram_steps(levels, found[back], before, order):
                     some, again = np.unique(left, return_inverse=True)
-                    total = contexts[m - 1].values(some, "total").astype(np.float64)[again]
-                    freed = contexts[m - 1].values(some, "freed", np.float64)[again]
-                    seen = levels[m].values(ranks, "counts").astype(np.float64)
+                    total, *numbers = contexts[m - 1].values(some, *_OF_CONTEXT)
+                    total, freed = total.astype(np.float64)[again], (np.stack(numbers, axis=1).astype(np.float64) @ losses[m][1:])[again]
+                    seen = levels[m].values(ranks, "raw" if m == order else "counts")[0].astype(np.float64)
                     direct = np.maximum(seen - losses[m][np.minimum(seen, 3).astype(int)], 0)
                     met = (total > 0) & ((freed > 0) | (direct > 0))
                     p = np.where(met, (direct + freed * p) / np.where(met, total, 1.0), p)
@@ -430,7 +546,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     bits = max(1, (ranges - 1).bit_length())
     shape, sums = "bucket int, keys binary, counts binary", "part int, cells binary, sums binary"
     found = stored(
-        rows.mapInArrow(_count_words(bits), shape).groupBy("bucket").applyInArrow(_write_words(folder), "bucket int, n long, total long"), "lm-words"
+        rows.mapInArrow(_count_words(bits), shape).groupBy("bucket").applyInArrow(_write_words(folder, bits), "bucket int, n long, total long"), "lm-words"
     ).collect()  # a row per range of hashes
     vocab = HashArrays(folder, "words", bits, {r["bucket"]: r["n"] for r in found})
     tokens = sum(r["total"] for r in found)
@@ -440,11 +556,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     total = lambda rows_: [sum(r["counts"][i] for r in rows_) for i in range(4)]
     levels, seen = {1: vocab}, {}
     for m in range(2, order + 1):
+        width, _ = key_bits(levels, m)
         heads = stored(
             rows.mapInArrow(_count_grams(bits, levels, m), shape).groupBy("bucket").applyInArrow(
-                _write_grams(folder, m), "bucket int, n long, counts array<bigint>"), "lm-grams"
+                _write_grams(folder, m, bits, width), "bucket int, n long, counts array<bigint>"), "lm-grams"
         ).collect()
-        levels = levels | {m: HashArrays(folder, f"grams{m}", bits, {r["bucket"]: r["n"] for r in heads})}
+        levels = levels | {m: HashArrays(folder, f"grams{m}", bits, {r["bucket"]: r["n"] for r in heads}, width)}
         if m < order and int(levels[m].bases[-1]) >= 1 << 32:
             raise ValueError(f"more than 2**32 grams of {m} words: their numbers would not fit into keys")
         seen[m] = total(heads)
@@ -457,9 +574,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     contexts[1] = HashArrays(folder, "words", bits, dict(enumerate(vocab.sizes.tolist())) | last)
     for m in range(2, order + 1):
         by_context = buckets.mapInArrow(_contexts(levels, m, contexts[m - 1], m == order), sums).groupBy("part")
-        stored(by_context.applyInArrow(_write_contexts(contexts[m - 1], found_discounts[m]), "part int"), "lm-contexts")
+        stored(by_context.applyInArrow(_write_contexts(contexts[m - 1]), "part int"), "lm-contexts")
         for b in np.flatnonzero(levels[m].sizes):
-            for column in ("raw", "lower"):
+            for column in ("raw", "lower") if m < order else ():
                 dropped(spark, f"{folder}/grams{m}-{column}-{b:05d}")
     of_words, low = seen[1], found_discounts[1]
     n_pairs, n_words = int(levels[2].bases[-1]), int(vocab.bases[-1])

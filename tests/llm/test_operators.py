@@ -639,3 +639,48 @@ def test_encoder_memory_is_bounded(name, keeps, monkeypatch):
     cut = list(tokens.slices(batch))
     assert [r for rows in cut for r in rows] == list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
     assert max(sum(len(t or "") for _, t in rows) for rows in cut) < 1_010_000
+
+
+def test_language_model_files_are_small():
+    """Keys of grams are one to one with their parts in few bits, are found in their files, and
+    counts take a byte each; a file of a gram needs less than half of the former 12 bytes."""
+    rng = np.random.default_rng(5)
+
+    class Level:
+        bits = 2
+
+        def __init__(self, n):
+            self.bases = np.array([0, n])
+
+    for words_, contexts, n in ((1, 1, 1), (3, 2, 5), (50_000, 400_000, 200_000), ((1 << 32) - 2, (1 << 32) - 1, 3000)):
+        shape = language_model.key_bits({1: Level(words_), 2: Level(contexts)}, 3)
+        left, right = rng.integers(0, contexts, n), rng.integers(0, words_, n)
+        keys = language_model.gram_keys(left, right, shape)
+        back = language_model.gram_parts(keys, shape)
+        assert (back[0] == left).all() and (back[1] == right).all()
+        keys = np.unique(keys)
+        assert len(keys) == len({*zip(left.tolist(), right.tolist(), strict=True)})
+        shift = 64 - shape[0]
+        assert (language_model.unpacked_sorted(language_model.packed_sorted(keys, shift), shift) == keys).all()
+        for b in range(4):
+            some = keys[(keys >> np.uint64(62)) == b]
+            if len(some):
+                data = language_model.key_bytes(some, 2, shape[0])
+                made = language_model.KeyFile(np.frombuffer(data, np.uint8), len(some), b, 2, shape[0])
+                assert (made.find(some) == np.arange(len(some))).all() and (made.keys() == some).all()
+                places = rng.integers(0, len(some), 50)
+                assert (made.keys(places) == some[places]).all()
+                others = np.setdiff1d((some + (np.uint64(1) << np.uint64(shift)))[:-1], some)
+                assert (made.find(others) == -1).all()
+                counts = np.ones(len(some), np.int64)
+                counts[::997] = 300
+                assert n < 100_000 or len(data) + len(language_model.small_bytes(counts)) < 6 * len(some)
+    for counts in ([], [1, 254, 255, 256, 7], [2**31 * 3, 1, 2**32 + 5, 255]):
+        counts = np.array(counts, np.int64)
+        data = np.frombuffer(language_model.small_bytes(counts), np.uint8)
+        assert language_model.small_values(data, len(counts)).tolist() == counts.tolist()
+        at = np.arange(len(counts))[::-1]
+        assert language_model.small_values(data, len(counts), at).tolist() == counts[::-1].tolist()
+    hashes = np.unique(rng.integers(0, 1 << 64, 1000, np.uint64)) >> np.uint64(2)
+    made = language_model.KeyFile(np.frombuffer(language_model.key_bytes(hashes, 2, 64), np.uint8), len(hashes), 0, 2, 64)
+    assert (made.find(hashes) == np.arange(len(hashes))).all() and (made.keys() == hashes).all() and made.find(hashes[:1] ^ np.uint64(1)) == [-1]
