@@ -15,6 +15,8 @@ from loomgraph.llm.tokens import encoder, slices
 
 #: Buckets of a document vector; dimensions of its projection and bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 3, 10
+#: Chunks that a worker remembers: as many as a dictionary holds before it grows to 2^21 places.
+REMEMBERED = 690_000
 
 
 def projection() -> np.ndarray:
@@ -76,7 +78,7 @@ def _tokenise(tokenizer_json: str, end_id: int, id_type):
 
     def run(batches):
         trimmed()  # of what other operators' tasks left in this worker
-        encode = encoder(tokenizer_json, False)
+        encode = encoder(tokenizer_json, False, REMEMBERED)
         for batch in batches:
             for rows in slices(batch):
                 found = [np.append(x, np.array(end_id, x.dtype)) for x in encode.encode([t or "" for _, t in rows])]

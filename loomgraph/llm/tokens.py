@@ -18,8 +18,8 @@ import numpy as np
 
 from loomgraph.llm.shared import process_cache, trimmed
 
-#: Chunks that a worker remembers before it starts afresh: as many as a dictionary holds before it grows to 2^21 places.
-REMEMBERED = 690_000
+#: Chunks that a worker remembers before it starts afresh, where the caller sets no other bound.
+REMEMBERED = 1_000_000
 WAITING = 300_000
 SHORT = 9
 #: Letters and signs that no normal form joins, and the pieces both kinds of tokenizer cut them into.
@@ -45,7 +45,7 @@ class ChunkEncoder:
     all white space; else it drops white space.
     """
 
-    def __init__(self, tokenizer_json: str, keeps_space: bool):
+    def __init__(self, tokenizer_json: str, keeps_space: bool, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class ChunkEncoder:
         self.marks = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
         self.heads = sorted({c for m in marks for c in (m[0].lower(), m[0].upper())})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
-        self.keeps_space = keeps_space
+        self.keeps_space, self.remembered = keeps_space, remembered
         # chunks by number; the ids of number n are the bytes of raw between ends n and n + 1
         self.known, self.raw, self.ends = {"": 0}, bytearray(), array("q", [0, 0])
         self.safe = re.compile(r"(?<=\S)(?= \S)")
@@ -99,10 +99,11 @@ class ChunkEncoder:
             cut = [self.safe.split(t) if odd.intersection(p) else p for t, p in zip(texts, cut, strict=True)]
             flat, codes, missing = self.numbered(cut)
             odd = self.unclean(missing)
-        if len(known) + len(missing) > REMEMBERED:  # short chunks are the ones that come again
+        most = self.remembered or REMEMBERED
+        if len(known) + len(missing) > most:  # short chunks are the ones that come again
             del flat, codes, missing
             short = [c for c in known if 0 < len(c) <= SHORT]
-            self.keep(short if 2 * len(short) < REMEMBERED else [])
+            self.keep(short if 2 * len(short) < most else [])
             flat, codes, missing = self.numbered(cut)
         if missing:
             self.learn(missing)
@@ -226,12 +227,12 @@ def no_collection():
             gc.enable()
 
 
-def encoder(tokenizer_json: str, keeps_space: bool) -> ChunkEncoder:
+def encoder(tokenizer_json: str, keeps_space: bool, remembered: int | None = None) -> ChunkEncoder:
     """The encoder of this worker process."""
     kept = process_cache("encoders")
     key = (hash(tokenizer_json), keeps_space)
     if key not in kept:
-        kept[key] = ChunkEncoder(tokenizer_json, keeps_space)
+        kept[key] = ChunkEncoder(tokenizer_json, keeps_space, remembered)
     return kept[key]
 
 
