@@ -30,6 +30,11 @@ COLLECTED = 2_000_000
 _FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text for each range of hashes, at most: a task merges the grams of one range.
 RANGE_BYTES = 64 << 20
+#: Bytes of text for each pair of ranges, at least, as long as ``RANGE_BYTES`` allows: each range
+#: sends a row of sums to each, and so many bytes keep the rows in proportion to the text.
+PAIR_BYTES = 32 << 10
+#: Keys that a task works on at once when it goes through those of a range.
+PIECE = 1 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -63,6 +68,13 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
 
 
+def range_bits(size: int, cores: int) -> int:
+    """The bits that number the ranges of hashes of ``size`` bytes of text: two ranges for each
+    core, fewer if pairs of ranges had less than ``PAIR_BYTES``, more if a range had over ``RANGE_BYTES``."""
+    pairs = (size // PAIR_BYTES).bit_length() - 1
+    return max(1, min((2 * cores - 1).bit_length(), pairs // 2), (-(-size // RANGE_BYTES) - 1).bit_length())
+
+
 class Collector:
     """Counts keys and gives them out as packed arrays by range of hashes."""
 
@@ -173,9 +185,15 @@ def key_shape(n: int, rest: int) -> tuple[int, int]:
 def key_bytes(keys: np.ndarray, bits: int, width: int) -> bytes:
     """The file of a range's keys: where each value of the high bits begins, then the low bytes."""
     low, high = key_shape(len(keys), width - bits)
-    plain = (keys >> np.uint64(64 - width)) & np.uint64((1 << (width - bits)) - 1)
-    starts = np.searchsorted(plain >> np.uint64(8 * low), np.arange((1 << high) + 1, dtype=np.uint64)) if high else np.array([0, len(keys)])
-    return starts.astype(np.uint32).tobytes() + plain.view(np.uint8).reshape(-1, 8)[:, :low].tobytes() + bytes(8)
+    heads = np.arange(1 << high, dtype=np.uint64) << np.uint64(8 * low + 64 - width) if high else np.zeros(1, np.uint64)
+    if len(keys):
+        heads |= keys[0] >> np.uint64(64 - bits) << np.uint64(64 - bits)
+    starts = np.append(np.searchsorted(keys, heads).astype(np.uint32), np.uint32(len(keys)))
+    lows = np.zeros(len(keys) * low + 8, np.uint8)
+    for at in range(0, len(keys), PIECE):
+        plain = (keys[at : at + PIECE] >> np.uint64(64 - width)) & np.uint64((1 << (width - bits)) - 1)
+        lows[at * low : (at + len(plain)) * low] = plain.view(np.uint8).reshape(-1, 8)[:, :low].reshape(-1)
+    return b"".join([starts, lows])
 
 
 class KeyFile:
@@ -216,6 +234,11 @@ class KeyFile:
         high = slot.astype(np.uint64) << np.uint64(8 * self.low) if self.low < 8 else np.uint64(0)
         return (np.uint64(self.head) | high | low) << self.shift
 
+    def pieces(self):
+        """All keys in order, ``PIECE`` at a time."""
+        for at in range(0, self.n, PIECE):
+            yield self.keys(np.arange(at, min(self.n, at + PIECE)))
+
 
 class HashArrays:
     """Sorted keys in one file per range, with arrays of counts beside them. Keys have ``width``
@@ -353,10 +376,27 @@ def _count_grams(bits: int, levels: dict, m: int):
     return run
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
+
+
 def _merged(group: pa.Table, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpacked_sorted(k, 64 - width) for k in group["keys"].to_pylist()])
-    counts = np.concatenate([unpacked(c, np.int64) for c in group["counts"].to_pylist()])
-    return summed(keys, counts)
+    """Distinct keys in order with the sums of their counts, a stretch of keys at a time."""
+    keys = [unpacked_sorted(k.as_py(), 64 - width) for k in group["keys"]]
+    counts = [narrow(unpacked(c.as_py(), np.int64)) for c in group["counts"]]
+    some = np.sort(np.concatenate([k[:: 1 + PIECE // 1024] for k in keys]))  # at least one of each
+    n = sum(map(len, keys)) // PIECE
+    edges = np.unique(some[np.arange(1, n + 1) * len(some) // (n + 1)])
+    cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in keys]
+    parts = []
+    for i in range(len(edges) + 1):
+        stretch = [slice(c[i], c[i + 1]) for c in cuts]
+        of_keys, of_counts = (np.concatenate([x[part] for x, part in zip(xs, stretch, strict=True)]) for xs in (keys, counts))
+        found, sums = summed(of_keys, of_counts.astype(np.int64))
+        parts.append((found, narrow(sums)))
+    del keys, counts
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _write_words(folder: str, bits: int):
@@ -371,7 +411,7 @@ def _write_words(folder: str, bits: int):
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
-    return np.bincount(np.minimum(counts, 5), minlength=5)[1:5].tolist()
+    return [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
 
 
 def _write_grams(folder: str, m: int, bits: int, width: int):
@@ -398,15 +438,35 @@ def _final(level: HashArrays, bucket: int, top: bool) -> np.ndarray:
 _SUMS = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())])
 
 
-def _send(to: HashArrays, cells: np.ndarray, weights: np.ndarray, width: int):
-    """Sums of weights by cell, ``width`` cells for each rank, by range; a row for each range."""
-    cells, sums = summed(cells, weights)
-    cuts = np.searchsorted(cells, to.bases * width)
+def _send(to: HashArrays, ranks: np.ndarray, counts: np.ndarray | None = None):
+    """Sums by rank and range, a row for each range: how often a rank is met or, if there are
+    counts, in four cells for each rank the sum of these and how many are 1, 2, 3 or more."""
+    if counts is None:
+        ranks = np.sort(ranks)
+    else:
+        order = np.argsort(ranks)
+        ranks, counts = ranks[order], counts[order]
+        del order
+    cuts = np.searchsorted(ranks, to.bases.astype(ranks.dtype))
     parts = np.flatnonzero(to.sizes).tolist()
-    rows = [[pack(x[cuts[p] : cuts[p + 1]]) for p in parts] for x, pack in ((cells, packed_sorted), (sums, packed))]
+    rows = [[], []]
+    for p in parts:
+        cells, weights = ranks[cuts[p] : cuts[p + 1]].astype(np.int64), None
+        if counts is not None:
+            weights = counts[cuts[p] : cuts[p + 1]].astype(np.int64)
+            cells = np.concatenate([cells * 4, cells * 4 + np.minimum(weights, 3)])
+            weights = np.concatenate([weights, np.ones(len(weights), np.int64)])
+        cells, sums = summed(cells, np.ones(len(cells), np.int64) if weights is None else weights)
+        rows[0].append(packed_sorted(cells))
+        rows[1].append(packed(sums))
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(r, pa.binary()) for r in rows]], schema=_SUMS)
 
 
+def _ranks_of(keys: KeyFile, of) -> np.ndarray:
+    """``of`` each key of a file, a rank of a lower order: these are below 2**32."""
+    return np.concatenate([of(k).astype(np.uint32) for k in keys.pieces()])
+
+
 def _suffixes(levels: dict, m: int):
     """For ranges of grams, how many distinct ones end with each gram of one order less."""
 
@@ -414,8 +474,7 @@ def _suffixes(levels: dict, m: int):
         for batch in batches:
             for bucket in batch.column(0).to_pylist():
                 if levels[m].sizes[bucket]:
-                    ends = suffix_ranks(levels, m, *gram_parts(levels[m].key_file(bucket).keys(), key_bits(levels, m)))
-                    yield _send(levels[m - 1], ends, np.ones(len(ends), np.int64), 1)
+                    yield _send(levels[m - 1], _ranks_of(levels[m].key_file(bucket), lambda k: suffix_ranks(levels, m, *gram_parts(k, key_bits(levels, m)))))
 
     return run
 
@@ -427,12 +486,10 @@ def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
         for batch in batches:
             for bucket in batch.column(0).to_pylist():
                 if levels[m].sizes[bucket]:
-                    left, _ = gram_parts(levels[m].key_file(bucket).keys(), key_bits(levels, m))
-                    counts = _final(levels[m], bucket, top).astype(np.int64)
+                    counts = narrow(_final(levels[m], bucket, top))
                     if not top:
                         put_file(levels[m].folder, f"grams{m}-counts-{bucket:05d}", small_bytes(counts))
-                    cells = np.concatenate([left * 4, left * 4 + np.minimum(counts, 3)])
-                    yield _send(contexts, cells, np.concatenate([counts, np.ones(len(left), np.int64)]), 4)
+                    yield _send(contexts, _ranks_of(levels[m].key_file(bucket), lambda k: gram_parts(k, key_bits(levels, m))[0]), counts)
 
     return run
 
@@ -440,8 +497,8 @@ def _contexts(levels: dict, m: int, contexts: HashArrays, top: bool):
 def _summed_table(group: pa.Table, to: HashArrays, width: int) -> tuple[int, np.ndarray]:
     part = group["part"][0].as_py()
     flat = np.zeros(int(to.sizes[part]) * width, np.int64)
-    for cells, sums in zip(group["cells"].to_pylist(), group["sums"].to_pylist(), strict=True):
-        flat[unpacked_sorted(cells).astype(np.int64) - width * int(to.bases[part])] += unpacked(sums, np.int64)
+    for cells, sums in zip(group["cells"], group["sums"], strict=True):
+        flat[unpacked_sorted(cells.as_py()).astype(np.int64) - width * int(to.bases[part])] += unpacked(sums.as_py(), np.int64)
     return part, flat.reshape(-1, width)
 
 
@@ -542,8 +599,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     kind = rows.schema["id"].dataType
     folder = new_folder(spark, "language-model")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    bits = max(1, (ranges - 1).bit_length())
+    bits = range_bits(size, spark.sparkContext.defaultParallelism)
     shape, sums = "bucket int, keys binary, counts binary", "part int, cells binary, sums binary"
     found = stored(
         rows.mapInArrow(_count_words(bits), shape).groupBy("bucket").applyInArrow(_write_words(folder, bits), "bucket int, n long, total long"), "lm-words"

@@ -684,3 +684,57 @@ def test_language_model_files_are_small():
     hashes = np.unique(rng.integers(0, 1 << 64, 1000, np.uint64)) >> np.uint64(2)
     made = language_model.KeyFile(np.frombuffer(language_model.key_bytes(hashes, 2, 64), np.uint8), len(hashes), 0, 2, 64)
     assert (made.find(hashes) == np.arange(len(hashes))).all() and (made.keys() == hashes).all() and made.find(hashes[:1] ^ np.uint64(1)) == [-1]
+
+
+def test_language_model_rows_follow_the_text(spark, docs, monkeypatch):
+    """A row of sums goes from each range of hashes to each: their pairs stay in proportion to the
+    text, however many partitions a shuffle has, and the ranges and stretches change no score."""
+    used, sent, write, send = [], spark.sparkContext.accumulator(0), language_model._write_words, language_model._send
+
+    def counted(*args):
+        batch = send(*args)
+        sent.add(batch.num_rows)
+        return batch
+
+    monkeypatch.setattr(language_model, "_write_words", lambda folder, bits: (used.append(bits), write(folder, bits))[1])
+    monkeypatch.setattr(language_model, "_send", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = [language_model.score(docs, order=3).collect()]
+        size = sum(len((r[1] or "").encode()) for r in rows())
+        assert sent.value <= 4 * max(4, size // (32 << 10)) and used == [1]
+        for name, value in (("PAIR_BYTES", 64), ("RANGE_BYTES", 1 << 11), ("PIECE", 3)):
+            monkeypatch.setattr(language_model, name, value)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        got.append(language_model.score(docs, order=3).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert used[1] > 4
+    want = brute_scores(rows(), 3)[0]
+    assert all(collections.Counter((r.doc_id, round(r.score, 5)) for r in some) == want for some in got)
+
+
+def test_ranges_of_the_language_model():
+    """Pairs of ranges are in proportion to the text up to 32 GB; beyond, ranges are of a fixed size."""
+    pair, most = language_model.PAIR_BYTES, language_model.RANGE_BYTES
+    for size in (0, 1, 10**6, 10**8, 10**9, 10**10, 3 * 10**10, 10**12):
+        for cores in (1, 6, 200, 5000):
+            n = 1 << language_model.range_bits(size, cores)
+            assert n * most >= size and (n * n * pair <= max(size, 4 * pair) or size > 32 << 30 and n * most < 2 * size)
+
+
+@pytest.mark.parametrize("width", [40, 64])
+def test_ranges_are_merged_in_stretches(monkeypatch, width):
+    rng = np.random.default_rng(7)
+    made = [np.unique(rng.integers(0, 1 << 12, 300, np.uint64)) << np.uint64(64 - width) for _ in range(9)] + [np.array([5], np.uint64) << np.uint64(64 - width)] * 2
+    counts = [rng.integers(1, 400, len(k)) for k in made]
+    counts[0][0] = 1 << 40
+    group = pa.table({"keys": [language_model.packed_sorted(k, 64 - width) for k in made], "counts": [language_model.packed(c) for c in counts]})
+    want = language_model.summed(np.concatenate(made), np.concatenate(counts))
+    for piece in (1, 100, 1 << 20):
+        monkeypatch.setattr(language_model, "PIECE", piece)
+        keys, sums = language_model._merged(group, width)
+        assert (keys == want[0]).all() and sums.tolist() == want[1].tolist()
+        found = language_model.KeyFile(np.frombuffer(language_model.key_bytes(keys, 2, width), np.uint8), len(keys), 0, 2, width)
+        assert (found.find(keys) == np.arange(len(keys))).all() and (np.concatenate([*found.pieces()]) == keys).all()
